@@ -18,7 +18,8 @@ every other.  A candidate must pass the size ratio and a bitmap bound: a bit set
 in one bitmap only stands for an element missing from the other set, so the bit
 counts bound the overlap from above.  Survivors are decided by intersecting the
 sorted hash arrays.  Tiles left with more than one component after that compare
-the sets of different components, so exactly the pairs that could still matter.
+the sets of different components, block against block of a bounded size, so exactly
+the pairs that could still matter; only pairs that pass the bound leave a task.
 
 *Skew.*  Every task first collapses equal tiles among its own rows, so a tile that
 a third of all documents share arrives as one row per batch.
@@ -39,6 +40,10 @@ from lodeframe.llm.graph import connected_components
 from lodeframe.llm.words import Words, encoded_blocks, mix, shingle_hashes
 
 _ROUNDS = 8
+#: Most documents in one block of a tile.
+BLOCK_ROWS = 1024
+#: Ids are broadcast to pick texts up to this many (16 MB of them); beyond it they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 _U32 = np.uint64(32)
 
 
@@ -60,20 +65,26 @@ def shingle_sets(raw: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def bitmap(elements: np.ndarray) -> bytes:
-    """Bitmap of at least twice as many bits as elements (a power of two, 64 at least)."""
-    bits = max(64, 1 << (2 * len(elements) - 1).bit_length()) if len(elements) else 64
+    """Bitmap of at least four times as many bits as elements (a power of two, 64 at least)."""
+    bits = max(64, 1 << (4 * len(elements) - 1).bit_length()) if len(elements) else 64
     flags = np.zeros(bits, np.uint8)
     flags[(elements & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
 
 
+def fold(bits: bytes) -> bytes:
+    """Half as many bits; elements that met in one bit before still do."""
+    words = np.frombuffer(bits, np.uint64)
+    return (words[: len(words) // 2] | words[len(words) // 2 :]).tobytes() if len(words) > 1 else bits
+
+
 def overlap_bound(x: bytes, nx: int, y: bytes, ny: int) -> int:
     """Upper bound of the intersection size of two sets from their bitmaps."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
+        a = np.frombuffer(fold(a.tobytes()), np.uint64)
     while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
+        b = np.frombuffer(fold(b.tobytes()), np.uint64)
     only_x = int(np.bitwise_count(a & ~b).sum())
     only_y = int(np.bitwise_count(b & ~a).sum())
     return min(nx - only_x, ny - only_y)
@@ -246,6 +257,81 @@ def _intersections(k: int, percent: int):
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal keys, over batch borders, as one table each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+        change = np.zeros(batch.num_rows, bool)
+        change[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        if held:
+            last = [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in keys]
+            change[0] = any(c[0] != x for c, x in zip(columns, last, strict=True))
+        starts = [*np.flatnonzero(change).tolist(), batch.num_rows]
+        if starts[0]:
+            held.append(batch.slice(0, starts[0]))
+        for start, end in zip(starts[:-1], starts[1:], strict=True):
+            if held:
+                yield pa.Table.from_batches(held)
+            held = [batch.slice(start, end - start)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _across(percent: int):
+    """Blocks of a tile, rows sorted by (tile, left, right): pairs of different components that pass the bound."""
+
+    def words_of(sketches: list[bytes]) -> np.ndarray:
+        width = min(map(len, sketches))
+        out = []
+        for s in sketches:
+            while len(s) > width:
+                s = fold(s)
+            out.append(s)
+        return np.frombuffer(b"".join(out), np.uint64).reshape(len(out), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found_a, found_b = [], []
+        for rows in _groups(batches, ["tile", "lo", "hi"]):
+            block, doc, part, least, most = (rows.column(c).to_numpy() for c in ("block", "doc", "part", "least", "most"))
+            lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+            bits = words_of(rows.column("bits").to_pylist())
+            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            step = max(1, (1 << 21) // (8 * bits.shape[1] * max(1, len(right))))
+            for at in range(0, len(left), step):
+                x = left[at : at + step]
+                open_ = (part[x][:, None] != part[right]) & (100 * most[x][:, None] >= percent * least[right]) & (100 * most[right] >= percent * least[x][:, None])
+                if lo == hi:
+                    open_ &= doc[x][:, None] < doc[right]
+                i, j = np.nonzero(open_)
+                if not len(i):
+                    continue
+                a, b = bits[x[i]], bits[right[j]]
+                na, nb = most[x[i]], most[right[j]]
+                c = np.minimum(na - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+                # with several rows of one id the sizes are ranges; the bound then holds for the largest only
+                ok = (100 * c >= percent * (na + nb - c)) | (least[x[i]] != na) | (least[right[j]] != nb)
+                p, q = doc[x[i][ok]], doc[right[j][ok]]
+                found_a.append(np.minimum(p, q))
+                found_b.append(np.maximum(p, q))
+            if sum(map(len, found_a)) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+                found_a, found_b = [], []
+        if found_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+
+    return run
+
+
+def _pick(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose id is listed; ids travel to the texts while their number is bounded."""
+    ids = stored(ids.distinct())
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b): those that link."""
     of = lambda c: sets.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}{y}{c}") for x, y in (("n", ""), ("f1", "_"), ("f2", "_"), ("bits", "_"))))
@@ -259,7 +345,7 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent:
     asked = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("doc_id")).unionByName(
         salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("doc_id"))
     )
-    met = asked.join(texts, "doc_id").select("a", "salt", "role", "doc_id", "text")
+    met = asked.join(_pick(texts, asked.select("doc_id")), "doc_id").select("a", "salt", "role", "doc_id", "text")
     met = met.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return equal.unionByName(met.mapInArrow(_intersections(k, percent), "a long, b long"))
 
@@ -295,10 +381,14 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_
         rows = stars.join(open_tiles, "tile", "left_semi")
         members = rows.select("tile", "doc").unionByName(rows.select("tile", F.col("rep").alias("doc"))).distinct()
         members = members.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
-        members = stored(members.join(own.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("least"), F.max("n").alias("most")), "doc").select("tile", "doc", "part", "least", "most"))
-        m1, m2 = (members.select("tile", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "part", "least", "most"))) for i in (1, 2))
-        across = m1.join(m2, "tile").where(f"part1 < part2 and 100 * most1 >= {percent} * least2 and 100 * most2 >= {percent} * least1")
-        across = across.select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct()
+        members = stored(members.select("tile", "doc", "part"))
+        mixed = members.groupBy("tile").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+        sketch = own.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max_by("bits", "n").alias("bits"))
+        members = members.join(mixed.where("p <> q").select("tile", "blocks"), "tile").join(sketch, "doc")
+        members = members.withColumn("block", F.expr("pmod(xxhash64(doc), blocks)"))
+        tiled = members.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        tiled = tiled.select("tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "part", "least", "most", "bits")
+        across = tiled.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi").mapInArrow(_across(percent), "a long, b long").distinct()
         across = across.join(apart, ["a", "b"], "left_anti")
         more = stored(_links(across, own, known, k, percent))
         if not more.isEmpty():
