@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids are broadcast to pick texts up to this many (16 MB of them); beyond it they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,3 +38,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark)}/lodeframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def pick(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose ``doc_id`` is listed; ids travel to the texts while their number is bounded."""
+    ids = stored(ids.distinct())
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")

@@ -35,15 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import stored
+from lodeframe.llm.frames import pick, stored
 from lodeframe.llm.graph import connected_components
 from lodeframe.llm.words import Words, encoded_blocks, mix, shingle_hashes
 
 _ROUNDS = 8
 #: Most documents in one block of a tile.
 BLOCK_ROWS = 1024
-#: Ids are broadcast to pick texts up to this many (16 MB of them); beyond it they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 _U32 = np.uint64(32)
 
 
@@ -325,13 +323,6 @@ def _across(percent: int):
     return run
 
 
-def _pick(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts whose id is listed; ids travel to the texts while their number is bounded."""
-    ids = stored(ids.distinct())
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-
-
 def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b): those that link."""
     of = lambda c: sets.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}{y}{c}") for x, y in (("n", ""), ("f1", "_"), ("f2", "_"), ("bits", "_"))))
@@ -345,7 +336,7 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent:
     asked = salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("doc_id")).unionByName(
         salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("doc_id"))
     )
-    met = asked.join(_pick(texts, asked.select("doc_id")), "doc_id").select("a", "salt", "role", "doc_id", "text")
+    met = asked.join(pick(texts, asked.select("doc_id")), "doc_id").select("a", "salt", "role", "doc_id", "text")
     met = met.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return equal.unionByName(met.mapInArrow(_intersections(k, percent), "a long, b long"))
 

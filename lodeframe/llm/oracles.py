@@ -1,3 +1,90 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+
+_OP2 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0) AS x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM both_ JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
+"""
+
+_OP3 = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20) AS x),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) AS x WHERE k > 1),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+judged AS (
+  SELECT doc_id, word, p, coalesce(max(i) OVER (PARTITION BY doc_id ORDER BY p) >= p - 19, false) AS removed
+  FROM (SELECT word.doc_id, word, p, i FROM word LEFT JOIN later ON later.doc_id = word.doc_id AND later.i = word.p) AS x),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE removed) AS n_removed,
+         string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT removed) AS t
+  FROM judged GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents AS d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+_OP5 = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, sum(size) AS source_size, 3 * sum(size) AS lim FROM d GROUP BY 1),
+t AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+u AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(lim) OVER k, 0) AS rest_words, sum(weight) OVER () - coalesce(sum(weight) OVER k, 0) AS rest_weight,
+         row_number() OVER (ORDER BY lim / weight, source NULLS LAST) AS place
+  FROM t WINDOW k AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT place, CAST(rest_words AS DOUBLE) / CAST(rest_weight AS DOUBLE) AS rate FROM u WHERE lim / weight >= rest_words / rest_weight ORDER BY place LIMIT 1),
+g AS (
+  SELECT source, CAST(source_size AS BIGINT) AS source_size, CASE WHEN f.place IS NULL OR u.place < f.place THEN CAST(lim AS DOUBLE) ELSE weight * rate END AS target
+  FROM u LEFT JOIN f ON true),
+p AS (
+  SELECT d.doc_id, d.source, size, source_size, target,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(greatest(0, least(a + size, floor(target)) - a) + greatest(0, least(source_size + a + size, floor(target)) - source_size - a)
+            + greatest(0, least(2 * source_size + a + size, floor(target)) - 2 * source_size - a) AS BIGINT) AS taken
+FROM p
+"""
+
+_OP6 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
+k AS (
+  SELECT doc_id, sha256(t) AS text_sha256, first_value(doc_id) OVER (PARTITION BY t ORDER BY c DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY t) AS group_size
+  FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+"""
+
+_OP9 = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": _OP2,
+    "op3_substring_dedup": _OP3,
+    "op5_source_mixing": _OP5,
+    "op6_exact_dedup": _OP6,
+    "op9_exact_topk": _OP9,
+}

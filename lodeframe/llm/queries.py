@@ -7,16 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import ngram_join
+from lodeframe.llm.exact_dedup import exact_duplicates
+from lodeframe.llm.mixing import mix_sources
+from lodeframe.llm.ngram_join import ngram_jaccard_components
+from lodeframe.llm.packing import pack_documents
+from lodeframe.llm.substring_dedup import remove_repeated_passages
+from lodeframe.llm.topk import exact_topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """The tokenizer of the packing query, looked up where the tokenizers are installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes at 4-word shingles and a Jaccard similarity of 0.85."""
-    return ngram_join.ngram_jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return ngram_jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after removing repeated passages of 20 words and more."""
+    kept = remove_repeated_passages(table(spark, sf_dir, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by weights 1, 2, 3 takes of every document."""
+    return mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts that are equal but for white space."""
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return exact_topk(table(spark, sf_dir, "embeddings"), k=5, query_mod=50, scale=256)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 ids."""
+    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), capacity=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_ngram_jaccard_join, op3_substring_dedup, op5_source_mixing, op6_exact_dedup, op9_exact_topk, op10_packing)
+}
