@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.llm.exact_dedup import exact_duplicates
+from lodeframe.llm.language import languages_of
 from lodeframe.llm.mixing import mix_sources
 from lodeframe.llm.ngram_join import ngram_jaccard_components
 from lodeframe.llm.packing import pack_documents
+from lodeframe.llm.quality import quality_of
 from lodeframe.llm.substring_dedup import remove_repeated_passages
 from lodeframe.llm.topk import exact_topk
 
@@ -26,6 +28,11 @@ def tokenizer_file() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels that are not held out."""
+    return quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes at 4-word shingles and a Jaccard similarity of 0.85."""
     return ngram_jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
@@ -47,6 +54,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from documents that are not held out."""
+    return languages_of(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector."""
     return exact_topk(table(spark, sf_dir, "embeddings"), k=5, query_mod=50, scale=256)
@@ -59,5 +71,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op3_substring_dedup, op5_source_mixing, op6_exact_dedup, op9_exact_topk, op10_packing)
+    f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_substring_dedup, op5_source_mixing, op6_exact_dedup, op7_language_id, op9_exact_topk, op10_packing)
 }
