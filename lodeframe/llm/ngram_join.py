@@ -13,13 +13,13 @@ therefore names only its first ``d+1`` segments by digest: a tile is the group o
 sets that share one.  (Sets with too few non-empty segments repeat this with a
 rehash; the last round names empty segments as well, so no link is lost.)
 
-*Bounds.*  In a tile every set is compared with one representative, not with
-every other.  A candidate must pass the size ratio and a bitmap bound: a bit set
+*Bounds.*  In a tile every set is compared with one hub, the member that shares most
+tiles with others, not with every other.  A candidate must pass the size ratio and a bitmap bound: a bit set
 in one bitmap only stands for an element missing from the other set, so the bit
 counts bound the overlap from above.  Survivors are decided by intersecting the
 sorted hash arrays.  Tiles left with more than one component after that compare
-the sets of different components, block against block of a bounded size, so exactly
-the pairs that could still matter; only pairs that pass the bound leave a task.
+the sets of different components, block against block of a bounded size; only pairs
+that pass the bound leave a task.
 
 *Skew.*  Every task first collapses equal tiles among its own rows, so a tile that
 a third of all documents share arrives as one row per batch.
@@ -63,8 +63,8 @@ def shingle_sets(raw: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def bitmap(elements: np.ndarray) -> bytes:
-    """Bitmap of at least four times as many bits as elements (a power of two, 64 at least)."""
-    bits = max(64, 1 << (4 * len(elements) - 1).bit_length()) if len(elements) else 64
+    """Bitmap of at least twice as many bits as elements (a power of two, 64 at least)."""
+    bits = max(64, 1 << (2 * len(elements) - 1).bit_length()) if len(elements) else 64
     flags = np.zeros(bits, np.uint8)
     flags[(elements & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -136,14 +136,6 @@ def tiles_of(elements: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def first_of_equal(keys: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key then ``then``; returns (order, index into order of the first row with the same key)."""
-    order = np.lexsort((*then[::-1], keys))
-    ranked = keys[order]
-    new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, bool)
-    return order, np.flatnonzero(new)[np.cumsum(new) - 1] if len(ranked) else np.zeros(0, np.int64)
-
-
 def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +153,7 @@ def _set_rows(k: int):
 
 
 def _tile_rows(k: int, percent: int):
-    """Rows (spread, tile, rep, doc): rows with rep = doc stand for their batch, the others are settled here."""
+    """Rows (spread, tile, doc, head, crowd): heads stand for their batch, ``crowd`` if others of it share the tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,44 +167,47 @@ def _tile_rows(k: int, percent: int):
             if not tiles:
                 continue
             tile, doc = np.concatenate(tiles), np.concatenate(docs)
-            order, first = first_of_equal(tile, doc)
+            order = np.lexsort((doc, tile))
             tile, doc = tile[order], doc[order]
-            rep = doc[first]
-            spread = np.where(rep == doc, tile, mix(tile + doc.astype(np.uint64)))
             once = np.ones(len(tile), bool)
             once[1:] = (tile[1:] != tile[:-1]) | (doc[1:] != doc[:-1])
-            cols = [pa.array(x[once]) for x in (spread.view(np.int64), tile.view(np.int64), rep, doc)]
-            yield pa.RecordBatch.from_arrays(cols, names=["spread", "tile", "rep", "doc"])
+            tile, doc = tile[once], doc[once]
+            head = np.ones(len(tile), bool)
+            head[1:] = tile[1:] != tile[:-1]
+            crowd = np.zeros(len(tile), bool)
+            crowd[:-1] = head[:-1] & ~head[1:]
+            spread = np.where(head, tile, mix(tile + doc.astype(np.uint64)))
+            cols = [pa.array(x) for x in (spread.view(np.int64), tile.view(np.int64), doc, head, crowd)]
+            yield pa.RecordBatch.from_arrays(cols, names=["spread", "tile", "doc", "head", "crowd"])
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (spread, tile, doc): link the batches' representatives of a tile to the smallest."""
-    tile_now, rep_now = None, None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (spread, tile): members of the tiles that more than one document is in."""
+    waiting = None  # a head that nobody has joined so far
+    last_tile = None
     for batch in batches:
-        spread, tile, rep, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("spread", "tile", "rep", "doc"))
-        if not len(tile):
+        if not batch.num_rows:
             continue
-        own = rep == doc
-        head = np.zeros(len(tile), bool)
-        head[own] = True
-        at = np.flatnonzero(own)
-        new_rep = rep.copy()
+        tile, doc, head, crowd = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "doc", "head", "crowd"))
+        out_tile, out_doc = [tile[~head]], [doc[~head]]
+        at = np.flatnonzero(head)
         if len(at):
-            t, d = tile[at], doc[at]
-            new = np.concatenate(([t[0] != tile_now or tile_now is None], t[1:] != t[:-1]))
-            if not new[0]:
-                group_rep = np.concatenate(([rep_now], d[new]))
-                index = np.cumsum(new)
-            else:
-                group_rep = d[new]
-                index = np.cumsum(new) - 1
-            new_rep[at] = group_rep[index]
-            tile_now, rep_now = t[-1], new_rep[at][-1]
-        keep = new_rep != doc
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tile, new_rep, doc)], names=["tile", "rep", "doc"])
+            t, d, c = tile[at], doc[at], crowd[at]
+            joins = np.zeros(len(t), bool)  # shares its tile with the head before
+            joins[1:] = t[1:] == t[:-1]
+            joins[0] = last_tile is not None and t[0] == last_tile
+            if joins[0] and waiting is not None:
+                out_tile.append(np.array([waiting[0]], np.int64))
+                out_doc.append(np.array([waiting[1]], np.int64))
+            keep = joins | c
+            keep[:-1] |= joins[1:]
+            out_tile.append(t[keep])
+            out_doc.append(d[keep])
+            waiting = None if keep[-1] else (t[-1], d[-1])
+            last_tile = t[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_tile)), pa.array(np.concatenate(out_doc))], names=["tile", "doc"])
 
 
 def _bounded(percent: int):
@@ -279,7 +274,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def _across(percent: int):
-    """Blocks of a tile, rows sorted by (tile, left, right): pairs of different components that pass the bound."""
+    """Blocks of a tile, rows sorted by (tile, lo, hi): pairs of different components that pass the bound."""
 
     def words_of(sketches: list[bytes]) -> np.ndarray:
         width = min(map(len, sketches))
@@ -311,7 +306,7 @@ def _across(percent: int):
                 c = np.minimum(na - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
                 # with several rows of one id the sizes are ranges; the bound then holds for the largest only
                 ok = (100 * c >= percent * (na + nb - c)) | (least[x[i]] != na) | (least[right[j]] != nb)
-                p, q = doc[x[i][ok]], doc[right[j][ok]]
+                p, q = doc[x[i[ok]]], doc[right[j[ok]]]
                 found_a.append(np.minimum(p, q))
                 found_b.append(np.maximum(p, q))
             if sum(map(len, found_a)) >= 50_000:
@@ -358,31 +353,28 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = stored(texts.mapInArrow(_set_rows(k), "doc_id long, n long, f1 long, f2 long, bits binary"))
     known = texts.where("doc_id is not null")
-    tiles = known.mapInArrow(_tile_rows(k, percent), "spread long, tile long, rep long, doc long")
-    stars = stored(tiles.repartition("spread").sortWithinPartitions("spread", "tile", "doc").mapInArrow(_stars, "tile long, rep long, doc long"))
-    pairs = stored(stars.select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct())
+    tiles = known.mapInArrow(_tile_rows(k, percent), "spread long, tile long, doc long, head boolean, crowd boolean")
+    members = stored(tiles.repartition("spread").sortWithinPartitions("spread", "tile").mapInArrow(_shared, "tile long, doc long"))
+    sharing = members.groupBy("doc").agg(F.count("*").alias("tiles"))
+    # bitwise not turns the order of ids round
+    hubs = members.join(sharing, "doc").groupBy("tile").agg(F.max(F.struct("tiles", F.expr("~doc").alias("d"))).alias("hub"))
+    hubs = hubs.select("tile", F.expr("~hub.d").alias("a"))
+    pairs = members.join(hubs, "tile").where("a <> doc").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
     own = sets.where("doc_id is not null and n > 0")
-    links = stored(_links(pairs, own, known, k, percent))
+    sketch = own.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max_by("bits", "n").alias("bits"))
+    tried = stored(pairs)
+    links = stored(_links(tried, own, known, k, percent))
     parts = connected_components(links)
-    label = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-    apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    apart = stored(apart.where("coalesce(a_part, a) <> coalesce(b_part, b)").select("a", "b"))
-    if not apart.isEmpty():
-        open_tiles = stars.join(apart, (stars.rep == apart.a) & (stars.doc == apart.b), "left_semi").select("tile").distinct()
-        rows = stars.join(open_tiles, "tile", "left_semi")
-        members = rows.select("tile", "doc").unionByName(rows.select("tile", F.col("rep").alias("doc"))).distinct()
-        members = members.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
-        members = stored(members.select("tile", "doc", "part"))
-        mixed = members.groupBy("tile").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-        sketch = own.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max_by("bits", "n").alias("bits"))
-        members = members.join(mixed.where("p <> q").select("tile", "blocks"), "tile").join(sketch, "doc")
-        members = members.withColumn("block", F.expr("pmod(xxhash64(doc), blocks)"))
-        tiled = members.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        tiled = tiled.select("tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "part", "least", "most", "bits")
-        across = tiled.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi").mapInArrow(_across(percent), "a long, b long").distinct()
-        across = across.join(apart, ["a", "b"], "left_anti")
-        more = stored(_links(across, own, known, k, percent))
-        if not more.isEmpty():
-            parts = connected_components(links.unionByName(more))
+    parted = members.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("tile", "doc", F.coalesce("component", "doc").alias("part"))
+    mixed = parted.groupBy("tile").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    # only these tiles can still join components
+    dealt = parted.join(mixed.where("p <> q").select("tile", "blocks"), "tile").join(sketch, "doc").withColumn("block", F.expr("pmod(xxhash64(doc), blocks)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = dealt.select("tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "part", "least", "most", "bits")
+    dealt = dealt.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi")
+    across = dealt.mapInArrow(_across(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    more = stored(_links(across, own, known, k, percent))
+    if not more.isEmpty():
+        parts = connected_components(links.unionByName(more))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
