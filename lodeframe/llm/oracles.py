@@ -88,3 +88,28 @@ ORACLES: dict[str, str] = {
     "op6_exact_dedup": _OP6,
     "op9_exact_topk": _OP9,
 }
+
+ORACLES["op8_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT doc_id, text, CAST(no AS INTEGER) AS no, w, md5(concat_ws(' ', CAST(len(w) AS VARCHAR), array_to_string(w[1:3], ' '))) AS leaf, md5(m) AS form, line
+  FROM (SELECT *, string_split(m, ' ') AS w
+        FROM (SELECT *, trim(regexp_replace(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS m
+              FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM d WHERE text <> '') AS x) AS y) AS z),
+f AS (SELECT leaf, form, count(DISTINCT doc_id) AS docs, any_value(w) AS w FROM l WHERE w <> [''] GROUP BY 1, 2),
+t AS (
+  SELECT leaf, w AS template FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY docs DESC, form) AS k, sum(docs) OVER (PARTITION BY leaf) AS most FROM f) AS x
+  WHERE k = 1 AND most >= 5),
+m AS (
+  SELECT l.doc_id, l.no, l.leaf FROM l JOIN t ON t.leaf = l.leaf
+  WHERE w <> [''] AND 100 * len([p FOR p IN list_zip(w, template) IF p[1] = p[2]]) >= 60 * len(w)),
+r AS (SELECT leaf FROM m GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+cut AS (
+  SELECT doc_id, no FROM m WHERE leaf IN (SELECT leaf FROM r)
+  UNION SELECT l.doc_id, l.no FROM l JOIN f ON f.leaf = l.leaf AND f.form = l.form WHERE f.docs >= 5),
+k AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(cut.no) AS n_dropped, string_agg(line, chr(10) ORDER BY l.no) FILTER (WHERE cut.no IS NULL) AS kept_text
+  FROM l LEFT JOIN cut ON cut.doc_id = l.doc_id AND cut.no = l.no GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

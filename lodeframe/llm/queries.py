@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.llm.exact_dedup import exact_duplicates
+from lodeframe.llm.html_extract import extract_main_text
 from lodeframe.llm.language import languages_of
+from lodeframe.llm.line_dedup import drop_template_lines
 from lodeframe.llm.mixing import mix_sources
 from lodeframe.llm.ngram_join import ngram_jaccard_components
 from lodeframe.llm.packing import pack_documents
@@ -44,6 +46,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by weights 1, 2, 3 takes of every document."""
     return mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
@@ -59,6 +66,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages_of(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left after dropping templates that recur in five documents and more."""
+    kept = drop_template_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector."""
     return exact_topk(table(spark, sf_dir, "embeddings"), k=5, query_mod=50, scale=256)
@@ -71,5 +84,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_substring_dedup, op5_source_mixing, op6_exact_dedup, op7_language_id, op9_exact_topk, op10_packing)
+    f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_substring_dedup, op4_html_extraction, op5_source_mixing, op6_exact_dedup, op7_language_id, op8_line_dedup, op9_exact_topk, op10_packing)
 }
