@@ -14,10 +14,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import pick, stored
+from lodeframe.llm.frames import pick, sized, stored
 from lodeframe.llm.words import WHITESPACE
 
 PRIME = (1 << 120) - 119
@@ -104,3 +104,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = groups(rows, key)
     out = rows.join(found.drop("unlike"), key)
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+
+
+def keep_one_of_equal(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) without the rows that :func:`exact_duplicates` drops."""
+    rows = stored(exact_duplicates(docs))
+    gone, stays = rows.where("not kept"), rows.where("kept")
+    # ids that stay in one row and go in another cannot be told apart by id
+    if gone.join(stays, gone.doc_id.eqNullSafe(stays.doc_id), "left_semi").isEmpty():
+        return docs.join(sized(gone.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    squeezed = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
+    order = Window.partitionBy("doc_id", "__sha").orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
+    numbered = docs.withColumn("__sha", squeezed).withColumn("__place", F.row_number().over(order))
+    ids = stays.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text"))
+    return numbered.where("__place = 1").join(ids, F.expr("doc_id <=> __id and __sha = __text"), "left_semi").select(*docs.columns)

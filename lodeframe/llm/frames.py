@@ -40,8 +40,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``df``, marked for broadcast while it has no more rows than ``most``."""
+    df = stored(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def pick(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``texts`` whose ``doc_id`` is listed; ids travel to the texts while their number is bounded."""
-    ids = stored(ids.distinct())
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    return texts.join(sized(ids.distinct()), "doc_id", "left_semi")

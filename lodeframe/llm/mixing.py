@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import stored
+from lodeframe.llm.frames import sized, stored
 from lodeframe.llm.words import WORD_PATTERN
 
 #: Fractional part of the golden ratio, in units of 2**-31 (nearest odd number).
@@ -152,4 +152,4 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     """
     times = mix_sources(docs, weights, most).where("size > 0").select("doc_id", F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("times")).where("times > 0")
     copies = times.withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select("doc_id")
-    return docs.join(copies, "doc_id").select(*docs.columns)
+    return docs.join(sized(copies), "doc_id").select(*docs.columns)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import pick, stored
+from lodeframe.llm.frames import pick, sized, stored
 from lodeframe.llm.graph import connected_components
 from lodeframe.llm.words import Words, encoded_blocks, mix, shingle_hashes
 
@@ -378,3 +378,10 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_
         parts = connected_components(links.unionByName(more))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one_of_similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with only the document of the smallest id of each component."""
+    parts = ngram_jaccard_components(docs, k, percent)
+    gone = sized(parts.where("component_id <> doc_id").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

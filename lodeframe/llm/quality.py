@@ -172,16 +172,31 @@ def held_out(id_column: str, parts: int, part: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def _fit_from(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where("label is not null").where(~held_out("doc_id", 5, 0))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label")).withColumn("hash", F.xxhash64("doc_id"))
+    # at most TRAIN_ROWS ids travel to the texts
+    few = known.orderBy("hash", "doc_id").limit(TRAIN_ROWS).select("doc_id", "label")
+    return fit_quality(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least 0.3; learns as :func:`quality_of` does."""
+    model = docs.sparkSession.sparkContext.broadcast(_fit_from(docs, labels))  # SLOTS + 1 floats
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [scores(raw, model.value) for _, raw in encoded_blocks(batch.column("text"))]
+            yield batch.filter(pa.array(np.concatenate(found) >= THRESHOLD)) if found else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
     Learns from ``labels`` (doc_id, quality) of documents that are not held out (crc32 of the id
     modulo 5 is 0).  Of several labels of one id the smallest counts.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where("label is not null").where(~held_out("doc_id", 5, 0))
-    known = known.groupBy("doc_id").agg(F.min("label").alias("label")).withColumn("hash", F.xxhash64("doc_id"))
-    # at most TRAIN_ROWS ids travel to the texts
-    few = known.orderBy("hash", "doc_id").limit(TRAIN_ROWS).select("doc_id", "label")
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
-    scored = score_quality(docs, fit_quality(labelled))
+    scored = score_quality(docs, _fit_from(docs, labels))
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")

@@ -83,6 +83,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_substring_dedup, op4_html_extraction, op5_source_mixing, op6_exact_dedup, op7_language_id, op8_line_dedup, op9_exact_topk, op10_packing)
+    f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_substring_dedup, op4_html_extraction, op5_source_mixing, op6_exact_dedup, op7_language_id, op8_line_dedup, op9_exact_topk, op10_packing, pipeline)
 }
