@@ -13,6 +13,9 @@ Anchors seen once are dropped.
 *Extension.*  Only windows that contain a repeated anchor are hashed over their full
 length (96 bits) and compared by earliest start.
 
+*Copies.*  Of documents with the same words all but the first are repeats as a whole
+and stay out of both steps.
+
 Each task first settles repeats among its own rows: of equal keys in a batch only
 the earliest goes to the shuffle, so a passage that a third of all documents share
 arrives as one row per batch.
@@ -20,6 +23,7 @@ arrives as one row per batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import stored
+from lodeframe.llm.frames import sized, stored
 from lodeframe.llm.words import Words, encoded_blocks, mix, shingle_hashes
 
 #: Perfect difference covers: period -> positions.
@@ -54,6 +58,19 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, h1, h2): number of words and 128-bit hash of the whole word sequence."""
+    for batch in batches:
+        count, one, two = [], [], []
+        for value in batch.column("text"):
+            words = (value.as_py() or "").encode("utf-8", "surrogatepass").split()
+            digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+            count.append(len(words))
+            one.append(int.from_bytes(digest[:8], "little", signed=True))
+            two.append(int.from_bytes(digest[8:], "little", signed=True))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (count, one, two))], names=["doc_id", "n", "h1", "h2"])
+
+
 def _anchors(window: int):
     period, cover, size = plan(window)
 
@@ -83,6 +100,8 @@ def _anchors(window: int):
             known = ~head
             known[:-1] |= ~head[1:]
             spread = np.where(head, key, mix(key + doc.astype(np.uint64) * _SALT + pos.astype(np.uint64)))
+            order = np.lexsort((pos, doc))  # rows of a document together compress best
+            spread, key, doc, pos, head, known = (c[order] for c in (spread, key, doc, pos, head, known))
             yield pa.RecordBatch.from_arrays([_long(spread), _long(key), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(head), pa.array(known)], names=["spread", "key", "doc", "pos", "head", "known"])
 
     return run
@@ -160,32 +179,36 @@ def _windows(window: int):
             new[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)
             begins = np.flatnonzero(new)
             ends = np.append(begins[1:], len(d)) - 1 if len(d) else begins
-            zero = np.zeros(len(begins), np.int64)
             spread = mix(d[begins].astype(np.uint64) + _SALT * p[begins].astype(np.uint64))
+            one, two, doc, pos = (c[head] for c in (one, two, doc, pos))
+            order = np.lexsort((pos, doc))
+            one, two, doc, pos = one[order], (two << np.uint64(32) | pos.astype(np.uint64))[order], doc[order], pos[order]
             columns = [
-                np.concatenate((one[head].view(np.int64), spread.view(np.int64))),
-                np.concatenate((two[head].astype(np.int64), zero)),
-                np.concatenate((doc[head], d[begins])),
-                np.concatenate((pos[head], p[begins])).astype(np.int32),
-                np.concatenate((pos[head], p[ends])).astype(np.int32) + np.int32(1),
-                np.concatenate((np.zeros(int(head.sum()), bool), np.ones(len(begins), bool))),
+                pa.array(np.concatenate((one.view(np.int64), spread.view(np.int64)))),
+                pa.array(np.concatenate((two.view(np.int64), p[begins]))),
+                pa.array(np.concatenate((doc, d[begins]))),
+                # null: a head, else the end of a range settled here
+                pa.array(np.concatenate((np.zeros(len(one), np.int32), p[ends].astype(np.int32) + np.int32(1))), mask=np.arange(len(one) + len(begins)) < len(one)),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "doc", "start", "stop", "known"])
+            yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "doc", "stop"])
 
     return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (one, known, two, doc, start): window starts that are not the earliest of their words."""
+    """Rows sorted by hash, then (doc, start): window starts that are not the earliest of their words."""
     head_key, head_at = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        one, two, doc, start, stop, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("one", "two", "doc", "start", "stop", "known"))
+        known = batch.column("stop").is_valid().to_numpy(zero_copy_only=False)
+        one, two, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("one", "two", "doc"))
+        stop = batch.column("stop").fill_null(0).to_numpy(zero_copy_only=False)
+        start = (two & 0xFFFFFFFF).astype(np.int32)
         out = [(doc[known], start[known], stop[known])]
         at = np.flatnonzero(~known)
         if len(at):
-            o, t, d, s = one[at], two[at], doc[at], start[at]
+            o, t, d, s = one[at], two[at] >> 32, doc[at], start[at]
             head = _changes(o, t)
             head[0] = head_key != (o[0], t[0])
             group = np.cumsum(head)
@@ -242,11 +265,17 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "d
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id is not null")
-    anchors = known.mapInArrow(_anchors(window), "spread long, key long, doc long, pos int, head boolean, known boolean")
+    whole = stored(known.mapInArrow(_whole, "doc_id long, n long, h1 long, h2 long").where(f"n >= {window}"))
+    first = whole.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    copies = whole.join(first, ["n", "h1", "h2"]).where("doc_id <> first").select("doc_id").distinct()
+    once = known.join(sized(copies), "doc_id", "left_anti")
+    anchors = once.mapInArrow(_anchors(window), "spread long, key long, doc long, pos int, head boolean, known boolean")
     again = anchors.repartition("spread").sortWithinPartitions("spread", "key").mapInArrow(_repeated, "doc_id long, pos int")
-    marks = again.groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
-    windows = known.join(stored(marks), "doc_id").select("doc_id", "text", "marks").mapInArrow(_windows(window), "one long, two long, doc long, start int, stop int, known boolean")
-    later = windows.repartition("one").sortWithinPartitions("one", "known", "two", "doc", "start").mapInArrow(_later, "doc_id long, start int, stop int")
+    marks = stored(again.groupBy("doc_id").agg(F.collect_list("pos").alias("marks")))
+    windows = known.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_windows(window), "one long, two long, doc long, stop int")
+    windows = windows.repartition("one").sortWithinPartitions("one", F.expr("shiftrightunsigned(two, 32)"), "doc", "two")
+    later = windows.mapInArrow(_later, "doc_id long, start int, stop int")
+    later = later.unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop")))
     cuts = later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cut"))
     all_ = known.join(cuts, "doc_id", "left").select("doc_id", "text", "cut")
     rest = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("cut"))
