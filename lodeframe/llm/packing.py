@@ -29,7 +29,7 @@ from lodeframe.llm.words import _INVERSE, _MULTIPLIER, _TABLE, Words, _power_tab
 #: White space that is not a separator of words: such texts are tokenised in one piece.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Distinct units remembered by a Python worker.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 1_000_000
 _encoders: dict[str, Encoder] = {}
 
 
