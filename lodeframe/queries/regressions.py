@@ -1 +1,133 @@
-"""..."""
+"""Cross-sectional, time-series and rolling regressions; pricing and specification tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodeframe.functions.columns import tidy
+from lodeframe.functions.tails import chi2_pvalue, t_pvalue
+from lodeframe.operators import calendar as cal
+from lodeframe.operators import portfolio, pricing, regression, series
+from lodeframe.plans.panels import Panels
+from lodeframe.queries import query, r
+from lodeframe.queries.ics import IC, LONG, RET, base, ics_of
+from lodeframe.queries.portfolios import _G, _ROWS, single
+
+_CS = """cs AS (
+  SELECT date, n, b, my - b * mx AS a, r2 FROM (SELECT date, count(*) AS n, regr_slope(ret, disc) AS b, avg(disc) AS mx, avg(ret) AS my, regr_r2(ret, disc) AS r2 FROM base WHERE ret IS NOT NULL GROUP BY 1) AS x WHERE n >= 3),
+ce AS (SELECT base.date, disc AS x, ret - a - b * disc AS e FROM base JOIN cs ON cs.date = base.date WHERE ret IS NOT NULL),
+cv AS (
+  SELECT date, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(e * e) AS m0, sum(e * e * x) AS m1, sum(e * e * x * x) AS m2 FROM ce GROUP BY 1),
+ct AS (
+  SELECT cs.date, cs.n, a, b, r2, sqrt(cs.n / (cs.n - 2) * (sxx * sxx * m0 - 2 * sxx * sx * m1 + sx * sx * m2)) / (cs.n * sxx - sx * sx) AS sa,
+         sqrt(cs.n / (cs.n - 2) * (sx * sx * m0 - 2 * cs.n * sx * m1 + cs.n * cs.n * m2)) / (cs.n * sxx - sx * sx) AS sb
+  FROM cs JOIN cv ON cv.date = cs.date)"""
+
+
+@query(f"SELECT date, 'const' AS term, {r('a', 'beta')}, {r('a / sa', 't')}, {r('r2', 'r2')}, n FROM ct UNION ALL SELECT date, 'disc', {r('b')}, {r('b / sb')}, {r('r2')}, n FROM ct", RET, _CS)
+def cs_regression_1f(p: Panels) -> DataFrame:
+    """One factor, White HC1."""
+    out = regression.cross_sectional(base(p), ["disc"]).where("beta is not null")
+    return out.select("date", "term", tidy("beta").alias("beta"), tidy("t").alias("t"), tidy("r2").alias("r2"), "n")
+
+
+@query()
+def cs_regression_multi(p: Panels) -> DataFrame:
+    """R4 with several factors and weights; tested against numpy."""
+    out = regression.cross_sectional(base(p).withColumn("lv", F.log("volume")), ["price", "lv", "disc"], weight="cap")
+    return out.select("date", "term", tidy("beta", 9).alias("beta"), tidy("t").alias("t"), tidy("r2").alias("r2"), "n")
+
+
+def nw_sql(source: str, lag: int) -> str:
+    """CTEs for mean and Newey-West t of ``x`` by ``term`` in date order."""
+    return f"""ne AS (SELECT term, x, x - avg(x) OVER (PARTITION BY term) AS e, row_number() OVER (PARTITION BY term ORDER BY date) AS i FROM {source}),
+ng AS (SELECT a.term, k, sum(a.e * b.e) AS g FROM ne AS a JOIN (SELECT unnest(range(0, {lag + 1})) AS k) AS q ON true JOIN ne AS b ON b.term = a.term AND b.i = a.i - k GROUP BY 1, 2),
+nt AS (SELECT term, count(*) AS n, avg(x) AS mean FROM ne GROUP BY 1),
+nf AS (SELECT nt.term, nt.n, mean, mean / (sqrt(sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / {lag + 1}.0) * g END)) / nt.n) AS t FROM nt JOIN ng ON ng.term = nt.term GROUP BY nt.term, nt.n, mean)"""
+
+
+@query(f"SELECT term, n, {r('mean', 'mean')}, {r('t', 'nw_t')} FROM nf", RET, _CS, "fp AS (SELECT date, 'const' AS term, a AS x FROM ct UNION ALL SELECT date, 'disc', b FROM ct)", nw_sql("fp", 3))
+def fama_macbeth(p: Panels) -> DataFrame:
+    """R3, R5."""
+    out = regression.fama_macbeth(regression.cross_sectional(base(p), ["disc"], cov="none"), 3)
+    return out.select("term", "n", tidy("mean").alias("mean"), tidy("nw_t").alias("nw_t"))
+
+
+_HL = "hl AS (SELECT date, sum(CASE WHEN grp = 5 THEN w WHEN grp = 1 THEN -w END) AS f FROM (SELECT date, grp, sum(disc * ret) / sum(disc) AS w FROM gb WHERE grp IS NOT NULL GROUP BY 1, 2) AS x GROUP BY 1)"
+
+
+def hl(p: Panels) -> DataFrame:
+    return portfolio.high_minus_low(single(p)).withColumnRenamed("hl", "f")
+
+
+@query(
+    f"""
+SELECT code, 'const' AS term, {r('a', 'beta')}, n FROM ts UNION ALL SELECT code, 'f', {r('b')}, n FROM ts""",
+    RET, _ROWS, _G, _HL,
+    "ts AS (SELECT code, count(*) AS n, regr_slope(ret, f) AS b, regr_intercept(ret, f) AS a FROM base JOIN hl ON hl.date = base.date WHERE ret IS NOT NULL AND f IS NOT NULL GROUP BY 1)",
+)
+def ts_regression_1f(p: Panels) -> DataFrame:
+    """Every code on the high-minus-low return."""
+    out = regression.time_series(base(p), hl(p), ["f"])
+    return out.select("code", "term", tidy("beta").alias("beta"), "n")
+
+
+@query(
+    f"""
+SELECT code, date, {r('CASE WHEN n >= 6 THEN b END', 'beta')}
+FROM (SELECT b.code, b.date, count(f + ret) OVER w AS n, regr_slope(CASE WHEN f IS NOT NULL THEN ret END, CASE WHEN ret IS NOT NULL THEN f END) OVER w AS b
+      FROM (SELECT base.*, dense_rank() OVER (ORDER BY base.date) AS k FROM base) AS b LEFT JOIN hl ON hl.date = b.date WINDOW w AS (PARTITION BY b.code ORDER BY k RANGE BETWEEN 11 PRECEDING AND CURRENT ROW)) AS x""",
+    RET, _ROWS, _G, _HL,
+)
+def rolling_beta(p: Panels) -> DataFrame:
+    """Twelve dates, six at least."""
+    rows = cal.with_date_idx(base(p)).join(hl(p), "date", "left")
+    out = regression.rolling_regression(rows, "ret", ["f"], window=12, least=6).where("term = 'f'")
+    return out.select("code", "date", tidy("beta").alias("beta"))
+
+
+@query(f"SELECT date, code, {r('price - my - b * (disc - mx)', 'ortho')} FROM (SELECT date, code, price, disc, regr_slope(price, disc) OVER d AS b, avg(disc) OVER d AS mx, avg(price) OVER d AS my FROM panel WINDOW d AS (PARTITION BY date)) AS x")
+def ortho_residual(p: Panels) -> DataFrame:
+    """One baseline."""
+    return regression.orthogonalise(p.panel, "price", ["disc"]).select("date", "code", tidy("price_ortho").alias("ortho"))
+
+
+@query()
+def grs(p: Panels) -> DataFrame:
+    """Quantile groups on the high-minus-low return; tested against numpy."""
+    out = pricing.grs_test(single(p).where("grp < 5"), hl(p), ["f"])
+    return out.select(tidy("grs").alias("grs"), tidy("pvalue").alias("pvalue"), "n_dates", "n_assets")
+
+
+@query()
+def gmm(p: Panels) -> DataFrame:
+    """R9; tested against numpy."""
+    out = pricing.gmm_linear(single(p), hl(p), ["f"])
+    return out.select(tidy(F.col("lambda")[0]).alias("price"), tidy("j").alias("j"), tidy("pvalue").alias("pvalue"))
+
+
+@query()
+def white_test(p: Panels) -> DataFrame:
+    """R10 per date; tested against numpy."""
+    rows = regression.residuals(base(p).where("ret is not null"), "ret", ["disc"], ["date"])
+    out = regression.white_test(rows, "resid", ["disc"], ["date"])
+    return out.select("date", tidy("lm").alias("lm"), "df", tidy(chi2_pvalue(F.col("lm"), F.col("df"))).alias("pvalue"))
+
+
+@query(f"SELECT factor, n, {r('m / (s / sqrt(n))', 't')} FROM (SELECT factor, count(ic) AS n, avg(ic) AS m, stddev_samp(ic) AS s FROM ics GROUP BY 1) AS x", RET, LONG, IC)
+def t_test(p: Panels) -> DataFrame:
+    """T of the mean IC."""
+    return regression.t_test(ics_of(p), "ic", ["factor"]).select("factor", "n", tidy("t").alias("t"))
+
+
+@query()
+def ic_pvalues(p: Panels) -> DataFrame:
+    """Tail probabilities of the IC statistics; tested against tables."""
+    i = ics_of(p)
+    t = regression.t_test(i, "ic", ["factor"])
+    q = series.ljung_box(i, "ic", ["factor"])
+    b = series.break_scan(i, "ic", ["factor"])
+    out = t.join(q, "factor").join(b, "factor")
+    n = F.col("n") - 1
+    return out.select("factor", tidy(t_pvalue(F.col("t"), n)).alias("t_p"), tidy(t_pvalue(F.col("t"), n, "greater")).alias("greater_p"), tidy(chi2_pvalue(F.col("lb_q"), F.col("lags"))).alias("lb_p"), tidy(t_pvalue(F.col("welch_t"), F.col("welch_df"))).alias("break_p"))
