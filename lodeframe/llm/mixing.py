@@ -24,7 +24,7 @@ from lodeframe.llm.words import WORD_PATTERN
 GOLDEN = 1327217885
 _UNIT = 1 << 31
 #: Documents or slots of one source that one task ranks.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 #: A slot is at most so many words; in small inputs a source gets about so many slots at least.
 SLOT_WORDS = 256
 SLOTS_PER_SOURCE = 256
