@@ -1 +1,165 @@
-"""..."""
+"""Composites, the cross-sectional model, evaluation summaries, refresh by stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodeframe.functions.columns import tidy
+from lodeframe.operators import portfolio
+from lodeframe.plans import composites, evaluate
+from lodeframe.plans.panels import Panels
+from lodeframe.queries import query, r
+from lodeframe.queries.ics import IC, LONG, NW, RET, base, ics_of
+from lodeframe.queries.loading import store
+from lodeframe.queries.portfolios import _G, _ROWS, _SINGLE, single
+from lodeframe.session import scratch_path
+from lodeframe.sources.store import FactorStore
+from lodeframe.streaming.refresh import upsert_stream
+
+FACTORS = ["price", "volume", "disc"]
+_W = """wt AS (
+  SELECT date, factor, lag(CASE WHEN c >= 6 THEN m END) OVER (PARTITION BY factor ORDER BY date) AS w
+  FROM (SELECT date, factor, avg(ic) OVER q AS m, count(ic) OVER q AS c FROM ics WINDOW q AS (PARTITION BY factor ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) AS x)"""
+
+
+class Plain(composites.IcComposer):
+    """IC composer without z-scores, as a Composer subclass (F2)."""
+
+
+@query("SELECT a.date, a.code, a.price, a.volume, r.ret FROM factor_a AS a JOIN (SELECT date, code, lead(cap, 2) OVER (PARTITION BY code ORDER BY date) / nullif(lead(cap, 1) OVER (PARTITION BY code ORDER BY date), 0) - 1 AS ret FROM factor_b) AS r ON r.date = a.date AND r.code = a.code")
+def load_xy_aligned(p: Panels) -> DataFrame:
+    """Factors and forward returns on common keys."""
+    c = composites.Composer(store(p, "factor_a", "factor_b"), ["factor_a/price", "factor_a/volume"], "factor_b/cap", window=12)
+    return c.align(c.load_x(), c.load_y())
+
+
+@query(f"SELECT date, factor, {r('w', 'weight')} FROM wt", RET, LONG, IC, _W)
+def ic_weights(p: Panels) -> DataFrame:
+    """Rolling mean IC of twelve dates, one date late."""
+    return composites.rolling_ic_weights(ics_of(p), 12, 6).select("date", "factor", tidy("weight").alias("weight"))
+
+
+@query(f"SELECT long_.date, long_.code, {r('sum(CASE WHEN x IS NOT NULL THEN w * x END) / nullif(sum(CASE WHEN x IS NOT NULL THEN abs(w) END), 0)', 'target')} FROM long_ LEFT JOIN wt ON wt.date = long_.date AND wt.factor = long_.factor GROUP BY 1, 2", RET, LONG, IC, _W,
+       "long_ AS (SELECT date, code, 'price' AS factor, CAST(price AS DOUBLE) AS x FROM base UNION ALL SELECT date, code, 'volume', CAST(volume AS DOUBLE) FROM base UNION ALL SELECT date, code, 'disc', disc FROM base)")
+def ic_composite(p: Panels) -> DataFrame:
+    """C5."""
+    return composites.ic_composite(base(p), FACTORS, 12, 6).select("date", "code", tidy("target").alias("target"))
+
+
+@query()
+def composer_run(p: Panels) -> DataFrame:
+    """The composer end to end, weighted z-scores before and after; tested against pandas."""
+    weight = p.panel.select("date", "code", F.col("cap").alias("weight"))
+    c = Plain(store(p, "panel"), ["panel/price", "panel/disc"], "panel/price", window=12, weight=weight, least=6)
+    return c.run().select("date", "code", tidy("target").alias("target"))
+
+
+STYLES = {"size": ["cap", "volume"], "value": ["price", "disc"]}
+
+
+@query()
+def style_exposures(p: Panels) -> DataFrame:
+    """C6; tested against pandas."""
+    out = composites.style_exposures(base(p), STYLES, "cap", 12, 6)
+    return out.select("date", "code", tidy("size").alias("size"), tidy("value").alias("value"))
+
+
+_IND = "bi AS (SELECT b.*, i.first_industry_code AS ind FROM base AS b JOIN industry AS i ON i.date = b.date AND i.code = b.code WHERE i.first_industry_code IS NOT NULL)"
+
+
+def model_rows(p: Panels) -> DataFrame:
+    return base(p).join(p.industry, ["date", "code"])
+
+
+@query("SELECT date, ind AS industry FROM (SELECT date, ind, row_number() OVER (PARTITION BY date ORDER BY sum(cap) DESC, ind) AS k FROM bi GROUP BY 1, 2) AS x WHERE k = 1", RET, _IND)
+def base_industry(p: Panels) -> DataFrame:
+    """A22, L5."""
+    return composites.base_industry(model_rows(p))
+
+
+@query(f"SELECT date, {r('avg(CASE WHEN code % 3 = 0 THEN 0.0 ELSE 1.0 END)', 'v')} FROM panel GROUP BY 1")
+def style_coverage(p: Panels) -> DataFrame:
+    """A23."""
+    rows = p.panel.withColumn("v", F.when(F.col("code") % 3 != 0, F.col("disc")))
+    return composites.style_coverage(rows, ["v"]).select("date", tidy("v").alias("v"))
+
+
+@query(
+    f"""
+SELECT date, 'const' AS term, {r('sum(w * m) / sum(w)', 'ret')} FROM im WHERE k > 1 GROUP BY 1
+UNION ALL SELECT date, 'ind_' || ind, {r('m - sum(w * m) OVER (PARTITION BY date) / sum(w) OVER (PARTITION BY date)')} FROM im WHERE k > 1""",
+    RET, _IND,
+    """ir AS (SELECT date, ind, count(*) AS n, sum(cap) AS w, sum(cap * ret) / sum(cap) AS m FROM bi WHERE ret IS NOT NULL AND cap > 0 GROUP BY 1, 2),
+im AS (SELECT *, count(*) OVER (PARTITION BY date) AS k FROM ir QUALIFY sum(n) OVER (PARTITION BY date) >= 20)""",
+)
+def barra_wls(p: Panels) -> DataFrame:
+    """C7, industries only: cap-weighted industry means, levelled."""
+    found, _ = composites.barra_regression(model_rows(p), [], min_codes=20)
+    return found.select("date", "term", tidy("ret").alias("ret"))
+
+
+@query()
+def barra_full(p: Panels) -> DataFrame:
+    """C7 with styles; tested against numpy."""
+    rows = model_rows(p).withColumn("lv", F.log("volume"))
+    found, _ = composites.barra_regression(rows, ["lv", "disc"], min_codes=20)
+    return found.select("date", "term", tidy("ret").alias("ret"))
+
+
+@query()
+def barra_specific(p: Panels) -> DataFrame:
+    """Specific returns, saved and read again; tested against numpy."""
+    rows = model_rows(p).withColumn("lv", F.log("volume"))
+    _, specific = composites.barra_regression(rows, ["lv", "disc"], min_codes=20)
+    s = FactorStore(p.spark, scratch_path(p.spark))
+    s.save("specific", specific)
+    return s.table("specific").select("date", "code", tidy("specific").alias("specific"))
+
+
+@query(
+    f"""
+SELECT c.factor, {r('cv', 'coverage')}, nw.n, {r('nn.mean', 'mean')}, {r('nw_t', 'nw_t')}, {r('acf1', 'acf1')}
+FROM (SELECT factor, avg(v) AS cv FROM (SELECT date, factor, count(x) / nullif(count(ret), 0) AS v FROM long GROUP BY 1, 2) AS y GROUP BY 1) AS c
+JOIN nw ON nw.factor = c.factor JOIN nn ON nn.factor = c.factor JOIN (SELECT factor, corr(ic, b) AS acf1 FROM (SELECT factor, ic, lag(ic) OVER (PARTITION BY factor ORDER BY date) AS b FROM good) AS x GROUP BY 1) AS a ON a.factor = c.factor""",
+    RET, LONG, IC, NW,
+)
+def summary_table(p: Panels) -> DataFrame:
+    """One row per factor."""
+    rows = evaluate.evaluation_panel(p.panel.select("date", "code", *FACTORS), base(p))
+    out = evaluate.Evaluation(rows, FACTORS, groups=5, roll=12).run().summary()
+    return out.select("factor", tidy("coverage").alias("coverage"), "n", tidy("mean").alias("mean"), tidy("nw_t").alias("nw_t"), tidy("acf1").alias("acf1"))
+
+
+@query()
+def evaluation_run(p: Panels) -> DataFrame:
+    """Two tests end to end with feasibility, rebalancing and a baseline."""
+    tests = {
+        "h1": evaluate.run_test(p.quotes, p.instruments, p.panel.select("date", "code", "disc", "cap"), ["disc", "cap"], groups=5, roll=12, baseline=["cap"]),
+        "h2": evaluate.run_test(p.quotes, p.instruments, p.panel.select("date", "code", "disc"), ["disc"], horizon=2, groups=5, roll=12),
+    }
+    return evaluate.run_tests(tests).select("test_key", "factor", "n", tidy("coverage").alias("coverage"), tidy("mean").alias("mean"), tidy("slope_mean").alias("slope_mean"))
+
+
+@query(
+    f"""
+SELECT grp, CAST(least(floor((ret - lo) / (hi - lo) * 10) + 1, 10) AS INTEGER) AS bin, count(*) AS n
+FROM (SELECT *, min(ret) OVER (PARTITION BY grp) AS lo, max(ret) OVER (PARTITION BY grp) AS hi FROM groups_) AS x GROUP BY 1, 2""",
+    RET, _ROWS, _G, _SINGLE,
+)
+def report_series(p: Panels) -> DataFrame:
+    """Distribution of group returns."""
+    return evaluate.return_distribution(single(p), 10)
+
+
+@query("SELECT date, code, price, volume FROM panel WHERE date >= DATE '1997-01-01'")
+def stream_refresh(p: Panels) -> DataFrame:
+    """S9, S6 by stream: monthly files arrive twice, the later rows win."""
+    spark, source, root = p.spark, scratch_path(p.spark), scratch_path(p.spark)
+    rows = p.panel.where("date >= date'1997-01-01'").select("date", "code", "price", "volume")
+    old = rows.select("date", "code", F.lit(0.0).alias("price"), F.lit(0.0).alias("volume"), F.lit(1).alias("version"))
+    old.unionByName(rows.select("date", "code", "price", F.col("volume").cast("double").alias("volume"), F.lit(2).alias("version"))).write.parquet(source)
+    s = FactorStore(spark, root)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    upsert_stream(stream, s, "factor", scratch_path(spark), order="version").awaitTermination()
+    return s.table("factor").select("date", "code", "price", "volume")
