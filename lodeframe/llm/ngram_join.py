@@ -63,8 +63,8 @@ def shingle_sets(raw: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def bitmap(elements: np.ndarray) -> bytes:
-    """Bitmap of at least twice as many bits as elements (a power of two, 64 at least)."""
-    bits = max(64, 1 << (2 * len(elements) - 1).bit_length()) if len(elements) else 64
+    """Bitmap of at least four times as many bits as elements (a power of two, 64 at least)."""
+    bits = max(64, 1 << (4 * len(elements) - 1).bit_length()) if len(elements) else 64
     flags = np.zeros(bits, np.uint8)
     flags[(elements & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -153,7 +153,11 @@ def _set_rows(k: int):
 
 
 def _tile_rows(k: int, percent: int):
-    """Rows (spread, tile, doc, head, crowd): heads stand for their batch, ``crowd`` if others of it share the tile."""
+    """Rows (spread, tile, rep, doc, score): of the rows of a batch that share a tile one is the head (rep = doc).
+
+    The head is the document that shares most tiles with others of the batch, its
+    score; near the centre of a group of copies that number is largest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,43 +176,42 @@ def _tile_rows(k: int, percent: int):
             once = np.ones(len(tile), bool)
             once[1:] = (tile[1:] != tile[:-1]) | (doc[1:] != doc[:-1])
             tile, doc = tile[once], doc[once]
-            head = np.ones(len(tile), bool)
-            head[1:] = tile[1:] != tile[:-1]
-            crowd = np.zeros(len(tile), bool)
-            crowd[:-1] = head[:-1] & ~head[1:]
-            spread = np.where(head, tile, mix(tile + doc.astype(np.uint64)))
+            new = np.ones(len(tile), bool)
+            new[1:] = tile[1:] != tile[:-1]
+            shared = ~new
+            shared[:-1] |= ~new[1:]
+            names, place = np.unique(doc, return_inverse=True)
+            score = np.bincount(place, shared, len(names)).astype(np.int32)[place]
+            order = np.lexsort((doc, -score, tile))
+            tile, doc, score = tile[order], doc[order], score[order]
+            rep = doc[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(new) else doc
+            spread = np.where(rep == doc, tile, mix(tile + doc.astype(np.uint64)))
             order = np.argsort(doc, kind="stable")  # rows of a document together compress best
-            cols = [pa.array(x[order]) for x in (spread.view(np.int64), tile.view(np.int64), doc, head, crowd)]
-            yield pa.RecordBatch.from_arrays(cols, names=["spread", "tile", "doc", "head", "crowd"])
+            cols = [pa.array(x[order]) for x in (spread.view(np.int64), tile.view(np.int64), rep, doc, score)]
+            yield pa.RecordBatch.from_arrays(cols, names=["spread", "tile", "rep", "doc", "score"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (spread, tile): members of the tiles that more than one document is in."""
-    waiting = None  # a head that nobody has joined so far
-    last_tile = None
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (spread, tile, score descending): (tile, hub, doc), heads on the tile's first head, others on their own head."""
+    last_tile, hub = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        tile, doc, head, crowd = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "doc", "head", "crowd"))
-        out_tile, out_doc = [tile[~head]], [doc[~head]]
-        at = np.flatnonzero(head)
+        tile, rep, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "rep", "doc"))
+        rep = rep.copy()
+        at = np.flatnonzero(rep == doc)
         if len(at):
-            t, d, c = tile[at], doc[at], crowd[at]
-            joins = np.zeros(len(t), bool)  # shares its tile with the head before
-            joins[1:] = t[1:] == t[:-1]
-            joins[0] = last_tile is not None and t[0] == last_tile
-            if joins[0] and waiting is not None:
-                out_tile.append(np.array([waiting[0]], np.int64))
-                out_doc.append(np.array([waiting[1]], np.int64))
-            keep = joins | c
-            keep[:-1] |= joins[1:]
-            out_tile.append(t[keep])
-            out_doc.append(d[keep])
-            waiting = None if keep[-1] else (t[-1], d[-1])
-            last_tile = t[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_tile)), pa.array(np.concatenate(out_doc))], names=["tile", "doc"])
+            t, d = tile[at], doc[at]
+            new = np.ones(len(t), bool)
+            new[1:] = t[1:] != t[:-1]
+            new[0] = last_tile is None or t[0] != last_tile
+            hubs = np.concatenate(([hub if hub is not None else 0], d[new]))
+            rep[at] = hubs[np.cumsum(new)]
+            last_tile, hub = t[-1], rep[at[-1]]
+        keep = rep != doc
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tile, rep, doc)], names=["tile", "hub", "doc"])
 
 
 def _bounded(percent: int):
@@ -286,6 +289,10 @@ def _across(percent: int):
             out.append(s)
         return np.frombuffer(b"".join(out), np.uint64).reshape(len(out), -1)
 
+    def distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_a, found_b = [], []
         for rows in _groups(batches, ["tile", "lo", "hi"]):
@@ -310,11 +317,11 @@ def _across(percent: int):
                 p, q = doc[x[i[ok]]], doc[right[j[ok]]]
                 found_a.append(np.minimum(p, q))
                 found_b.append(np.maximum(p, q))
-            if sum(map(len, found_a)) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+            if sum(map(len, found_a)) >= 1_000_000:
+                yield distinct(found_a, found_b)
                 found_a, found_b = [], []
         if found_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+            yield distinct(found_a, found_b)
 
     return run
 
@@ -354,22 +361,23 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = stored(texts.mapInArrow(_set_rows(k), "doc_id long, n long, f1 long, f2 long, bits binary"))
     known = texts.where("doc_id is not null")
-    tiles = known.mapInArrow(_tile_rows(k, percent), "spread long, tile long, doc long, head boolean, crowd boolean")
-    members = stored(tiles.repartition("spread").sortWithinPartitions("spread", "tile").mapInArrow(_shared, "tile long, doc long"))
-    sharing = members.groupBy("doc").agg(F.count("*").alias("tiles"))
-    # bitwise not turns the order of ids round
-    hubs = members.join(sharing, "doc").groupBy("tile").agg(F.max(F.struct("tiles", F.expr("~doc").alias("d"))).alias("hub"))
-    hubs = hubs.select("tile", F.expr("~hub.d").alias("a"))
-    pairs = members.join(hubs, "tile").where("a <> doc").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
+    tiles = known.mapInArrow(_tile_rows(k, percent), "spread long, tile long, rep long, doc long, score int")
+    tiles = tiles.repartition("spread").sortWithinPartitions("spread", "tile", F.desc("score"), "doc")
+    stars = stored(tiles.mapInArrow(_stars, "tile long, hub long, doc long"))
+    tried = stored(stars.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct())
     own = sets.where("doc_id is not null and n > 0")
-    sketch = own.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max_by("bits", "n").alias("bits"))
-    tried = stored(pairs)
     links = stored(_links(tried, own, known, k, percent))
     parts = connected_components(links)
-    parted = members.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("tile", "doc", F.coalesce("component", "doc").alias("part"))
-    mixed = parted.groupBy("tile").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    # only these tiles can still join components
-    dealt = parted.join(mixed.where("p <> q").select("tile", "blocks"), "tile").join(sketch, "doc").withColumn("block", F.expr("pmod(xxhash64(doc), blocks)"))
+    # a tile can still join components where one of its compared pairs lies in two
+    label = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    apart = tried.join(links, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(a_part, a) <> coalesce(b_part, b)").select("a", "b")
+    mixed = stars.withColumn("a", F.least("hub", "doc")).withColumn("b", F.greatest("hub", "doc")).join(sized(apart), ["a", "b"], "left_semi").select("tile").distinct()
+    rows = stars.join(sized(mixed), "tile", "left_semi")
+    members = rows.select("tile", "doc").unionByName(rows.select("tile", F.col("hub").alias("doc"))).distinct()
+    sizes = members.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    sketch = own.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max_by("bits", "n").alias("bits"))
+    sketch = sketch.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
+    dealt = members.join(sizes, "tile").join(sketch, "doc").withColumn("block", F.expr("pmod(xxhash64(doc), blocks)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     dealt = dealt.select("tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "part", "least", "most", "bits")
     dealt = dealt.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi")
