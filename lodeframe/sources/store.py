@@ -23,7 +23,7 @@ def parse_path(path: str, sep: str = "/") -> tuple[str, str, str]:
     """(table, column, alias) of ``table/column`` or ``table/column AS alias``."""
     if not isinstance(path, str):
         raise TypeError(f"a factor path is a string, not {type(path).__name__}")
-    body, *alias = re.split(r"\s+as\s+", path.strip(), maxsplit=1, flags=re.I)
+    body, *alias = re.split(r"\s+as(?:\s+|$)", path.strip(), maxsplit=1, flags=re.I)
     parts = [p.strip() for p in body.split(sep)]
     if len(parts) != 2 or not all(parts) or (alias and not alias[0].strip()):
         raise ValueError(f"expected table{sep}column [AS alias]: {path!r}")
