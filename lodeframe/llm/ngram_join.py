@@ -19,7 +19,7 @@ in one bitmap only stands for an element missing from the other set, so the bit
 counts bound the overlap from above.  Survivors are decided by intersecting the
 sorted hash arrays.  Tiles left with more than one component after that compare
 the sets of different components, block against block of a bounded size; only pairs
-that pass the bound leave a task.
+that pass the bound leave a task, each from the first of the tiles that it shares.
 
 *Skew.*  Every task first collapses equal tiles among its own rows, so a tile that
 a third of all documents share arrives as one row per batch.
@@ -289,16 +289,19 @@ def _across(percent: int):
             out.append(s)
         return np.frombuffer(b"".join(out), np.uint64).reshape(len(out), -1)
 
-    def distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_a, found_b = [], []
         for rows in _groups(batches, ["tile", "lo", "hi"]):
             block, doc, part, least, most = (rows.column(c).to_numpy() for c in ("block", "doc", "part", "least", "most"))
             lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
             bits = words_of(rows.column("bits").to_pylist())
+            lists, known = rows.column("earlier"), {}
+
+            def earlier(row: int, lists: pa.ChunkedArray = lists, known: dict[int, set[int]] = known) -> set[int]:
+                if row not in known:
+                    known[row] = set(lists[row].as_py())
+                return known[row]
+
             left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
             step = max(1, (1 << 21) // (8 * bits.shape[1] * max(1, len(right))))
             for at in range(0, len(left), step):
@@ -314,14 +317,17 @@ def _across(percent: int):
                 c = np.minimum(na - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
                 # with several rows of one id the sizes are ranges; the bound then holds for the largest only
                 ok = (100 * c >= percent * (na + nb - c)) | (least[x[i]] != na) | (least[right[j]] != nb)
-                p, q = doc[x[i[ok]]], doc[right[j[ok]]]
+                i, j = x[i[ok]], right[j[ok]]
+                # a pair that shares an earlier tile is met there
+                first = np.fromiter((earlier(m).isdisjoint(earlier(n)) for m, n in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+                p, q = doc[i[first]], doc[j[first]]
                 found_a.append(np.minimum(p, q))
                 found_b.append(np.maximum(p, q))
-            if sum(map(len, found_a)) >= 1_000_000:
-                yield distinct(found_a, found_b)
+            if sum(map(len, found_a)) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
                 found_a, found_b = [], []
         if found_a:
-            yield distinct(found_a, found_b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
 
     return run
 
@@ -374,19 +380,23 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_
     mixed = stars.withColumn("a", F.least("hub", "doc")).withColumn("b", F.greatest("hub", "doc")).join(sized(apart), ["a", "b"], "left_semi").select("tile").distinct()
     rows = stars.join(sized(mixed), "tile", "left_semi")
     members = rows.select("tile", "doc").unionByName(rows.select("tile", F.col("hub").alias("doc"))).distinct()
+    members = stored(members)
     sizes = members.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
     sketch = own.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max_by("bits", "n").alias("bits"))
     sketch = sketch.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
-    dealt = members.join(sizes, "tile").join(sketch, "doc").withColumn("block", F.expr("pmod(xxhash64(doc), blocks)"))
+    sketch = sketch.join(members.groupBy("doc").agg(F.collect_list("tile").alias("tiles")), "doc")
+    dealt = members.join(sizes, "tile").join(sketch, "doc").withColumn("earlier", F.expr("filter(tiles, t -> t < tile)")).withColumn("block", F.expr("pmod(xxhash64(doc), blocks)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    dealt = dealt.select("tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "part", "least", "most", "bits")
+    dealt = dealt.select("tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "part", "least", "most", "bits", "earlier")
     dealt = dealt.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi")
-    across = dealt.mapInArrow(_across(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(_links(across, own, known, k, percent))
-    if not more.isEmpty():
-        parts = connected_components(links.unionByName(more))
+    across = dealt.mapInArrow(_across(percent), "a long, b long").join(tried, ["a", "b"], "left_anti")
+    more = _links(across, own, known, k, percent)
+    # links that join components, as links between their names
+    named = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    joined = connected_components(named).select(F.col("node").alias("own"), F.col("component").alias("top"))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.withColumn("own", F.coalesce("component", "doc_id")).join(joined, "own", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("top", "own").alias("component_id"))
 
 
 def keep_one_of_similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
