@@ -86,15 +86,14 @@ def vectors(raw: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 values.append(c * (SCALE / len(own)))
         if slots:
             s, at = np.unique(np.concatenate(slots), return_inverse=True)
-            yield s, np.bincount(at, np.concatenate(values))
+            yield s.astype(np.int32), np.bincount(at, np.concatenate(values)).astype(np.float32)
         else:
-            yield np.zeros(0, np.int64), np.zeros(0)
+            yield np.zeros(0, np.int32), np.zeros(0, np.float32)
 
 
 def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     """Weights by follow-the-regularised-leader; the last one is the intercept."""
     z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
-    rows = [(np.append(s, SLOTS), np.append(v, 1.0)) for s, v in rows]
 
     def weights(s: np.ndarray | slice) -> np.ndarray:
         lead = np.where(s == SLOTS, 0.0, L1) if isinstance(s, np.ndarray) else np.append(np.full(SLOTS, L1), 0.0)
@@ -102,7 +101,8 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ep
 
     for turn in range(epochs):
         for i in np.random.default_rng(turn).permutation(len(rows)):
-            s, v = rows[i]
+            # the intercept is one more slot; rows stay as they are to save memory
+            s, v = np.append(rows[i][0], SLOTS), np.append(rows[i][1], 1.0)
             w = weights(s)
             p = 1 / (1 + np.exp(-np.clip(w @ v, -35, 35)))
             g = (p - labels[i]) * v
