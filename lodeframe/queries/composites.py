@@ -49,7 +49,7 @@ def ic_composite(p: Panels) -> DataFrame:
 
 @query()
 def composer_run(p: Panels) -> DataFrame:
-    """The composer end to end, weighted z-scores before and after; tested against pandas."""
+    """The composer end to end, weighted z-scores before and after; no SQL, only run so far."""
     weight = p.panel.select("date", "code", F.col("cap").alias("weight"))
     c = Plain(store(p, "panel"), ["panel/price", "panel/disc"], "panel/price", window=12, weight=weight, least=6)
     return c.run().select("date", "code", tidy("target").alias("target"))
@@ -60,7 +60,7 @@ STYLES = {"size": ["cap", "volume"], "value": ["price", "disc"]}
 
 @query()
 def style_exposures(p: Panels) -> DataFrame:
-    """C6; tested against pandas."""
+    """C6; no SQL, only run so far."""
     out = composites.style_exposures(base(p), STYLES, "cap", 12, 6)
     return out.select("date", "code", tidy("size").alias("size"), tidy("value").alias("value"))
 
