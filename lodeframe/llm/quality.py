@@ -113,12 +113,12 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ep
 
 
 def _fit(rows: pa.Table) -> pa.Table:
-    raw = [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
     order = np.lexsort((rows.column("doc_id").to_numpy(), rows.column("hash").to_numpy()))
     labels = rows.column("label").to_numpy().astype(np.float64)[order]
-    found = list(vectors(raw))
+    # block by block: the arrays over all texts at once would be many times their size
+    found = [v for chunk in rows.column("text").chunks for _, raw in encoded_blocks(chunk) for v in vectors(raw)]
     weights = train_ftrl([found[i] for i in order], labels)
-    return pa.table({"rows": pa.array([len(raw)], pa.int64()), "weights": pa.array([weights.astype("<f4").tobytes()], pa.binary())})
+    return pa.table({"rows": pa.array([len(found)], pa.int64()), "weights": pa.array([weights.astype("<f4").tobytes()], pa.binary())})
 
 
 def fit_quality(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray:
