@@ -21,7 +21,7 @@ WHITESPACE = b" \t\n\x0b\x0c\r"
 #: Java and DuckDB spelling of a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled at once; keeps the numpy temporaries small.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
