@@ -159,12 +159,27 @@ def one_hot_industry(p: Panels) -> DataFrame:
 
 @query("SELECT date, code, CAST(price AS DOUBLE) AS value, 'price' AS name FROM factor_a WHERE date = DATE '1995-05-01' UNION ALL SELECT date, code, CAST(volume AS DOUBLE), 'volume' FROM factor_a WHERE date = DATE '1995-05-01'")
 def stack_unstack(p: Panels) -> DataFrame:
-    """Long to wide by code and back; absent cells drop out."""
+    """U5 on the one month of its SQL: columns to rows; absent cells drop out (:func:`unstack_whole` has U4 and all months)."""
     day = p.factor_a.where(F.col("date") == F.lit(_D(1995, 5, 1)))
     wide = day.select("date", "code", F.col("price").cast("double"), F.col("volume").cast("double"))
     return wide.unpivot(["date", "code"], ["price", "volume"], "name", "value").where("value is not null")
 
 
+def unstack(rows: DataFrame) -> DataFrame:
+    """``date, name`` and a column a code from ``date, code, name, value``; the plan grows with the number of codes."""
+    codes = [c.code for c in rows.select("code").distinct().orderBy("code").collect()]
+    return rows.groupBy("date", "name").pivot("code", codes).agg(F.first("value"))
+
+
+@query("SELECT date, code, CAST(price AS DOUBLE) AS value, 'price' AS name FROM factor_a WHERE price IS NOT NULL UNION ALL SELECT date, code, CAST(volume AS DOUBLE), 'volume' FROM factor_a WHERE volume IS NOT NULL")
+def unstack_whole(p: Panels) -> DataFrame:
+    """The whole table from long to wide by code and back; absent cells drop out."""
+    columns = p.factor_a.select("date", "code", F.col("price").cast("double"), F.col("volume").cast("double"))
+    wide = unstack(columns.unpivot(["date", "code"], ["price", "volume"], "name", "value"))
+    back = wide.unpivot(["date", "name"], wide.columns[2:], "code", "value").where("value is not null")
+    return back.select("date", F.col("code").cast("long").alias("code"), "value", "name")
+
+
 @query("SELECT date, code, cap FROM panel WHERE code % 3 <> 0 UNION ALL SELECT date, code, cap FROM panel WHERE code % 3 = 0 AND date < DATE '1995-01-01'")
 def union_parts(p: Panels) -> DataFrame:
     """Parts by range of dates put together, repeated keys once."""

@@ -14,7 +14,7 @@ from lodeframe.functions import columns, tails
 from lodeframe.operators import calendar, ic, portfolio, pricing, regression, returns, series, transforms
 from lodeframe.plans import composites, evaluate
 from lodeframe.plans.panels import Panels
-from lodeframe.queries import ORACLES, QUERIES
+from lodeframe.queries import ORACLES, QUERIES, loading
 from lodeframe.sources.store import FactorStore, parse_path
 
 DAY = datetime.date
@@ -276,3 +276,13 @@ def test_evaluation_with_baseline(spark, small):
     got = evaluate.run_test(p.quotes, p.instruments, p.panel.select("date", "code", "disc", "cap"), ["disc"], groups=2, roll=12, baseline=["cap"])
     assert got.factors == ["disc", "disc_ortho"]
     assert {"ic", "coverage", "ic_summary", "groups:disc", "monotonicity:disc_ortho"} <= set(got.tables)
+
+
+def test_unstack_covers_the_whole_table(spark, small):
+    p = Panels(spark, small)
+    long = p.factor_a.select("date", "code", F.lit("price").alias("name"), F.col("price").alias("value"))
+    wide = loading.unstack(long)
+    assert sorted(map(int, wide.columns[2:])) == sorted(r.code for r in long.select("code").distinct().collect())
+    assert wide.count() == long.select("date").distinct().count()
+    keys = QUERIES["unstack_whole"](spark, small).select("date", "code", "name").toPandas()
+    assert len(keys) == len(keys.drop_duplicates()) == 2 * long.count()
