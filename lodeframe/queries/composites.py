@@ -152,14 +152,27 @@ def report_series(p: Panels) -> DataFrame:
     return evaluate.return_distribution(single(p), 10)
 
 
-@query("SELECT date, code, price, volume FROM panel WHERE date >= DATE '1997-01-01'")
-def stream_refresh(p: Panels) -> DataFrame:
-    """S9, S6 by stream: monthly files arrive twice, the later rows win."""
-    spark, source, root = p.spark, scratch_path(p.spark), scratch_path(p.spark)
-    rows = p.panel.where("date >= date'1997-01-01'").select("date", "code", "price", "volume")
+def refreshed(p: Panels, panel: DataFrame) -> DataFrame:
+    """The store after ``panel`` with zeros and then ``panel`` itself came by stream, each as a batch of its own."""
+    spark, source, root, checkpoint = p.spark, scratch_path(p.spark), scratch_path(p.spark), scratch_path(p.spark)
+    rows = panel.select("date", "code", "price", F.col("volume").cast("double").alias("volume"), F.lit(2).alias("version"))
     old = rows.select("date", "code", F.lit(0.0).alias("price"), F.lit(0.0).alias("volume"), F.lit(1).alias("version"))
-    old.unionByName(rows.select("date", "code", "price", F.col("volume").cast("double").alias("volume"), F.lit(2).alias("version"))).write.parquet(source)
     s = FactorStore(spark, root)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    upsert_stream(stream, s, "factor", scratch_path(spark), order="version").awaitTermination()
+    for version in (old, rows):
+        version.write.mode("append").parquet(source)
+        # the checkpoint remembers the files of the first batch
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        upsert_stream(stream, s, "factor", checkpoint, order="version").awaitTermination()
     return s.table("factor").select("date", "code", "price", "volume")
+
+
+@query("SELECT date, code, price, volume FROM panel WHERE date >= DATE '1997-01-01'")
+def stream_refresh(p: Panels) -> DataFrame:
+    """S9, S6 by stream: monthly files arrive twice, the later rows replace the stored ones; from 1997 on."""
+    return refreshed(p, p.panel.where("date >= date'1997-01-01'"))
+
+
+@query("SELECT date, code, price, volume FROM panel")
+def stream_refresh_whole(p: Panels) -> DataFrame:
+    """S9, S6 by stream over the whole panel."""
+    return refreshed(p, p.panel)

@@ -82,19 +82,33 @@ def raw_sql(p: Panels) -> DataFrame:
     return store(p, "factor_a").query("SELECT date, count(*) AS n, floor(sum(price) * 1e6D + 0.5D) / 1e6D AS total FROM factor_a GROUP BY 1")
 
 
+def merged(p: Panels, rows: DataFrame) -> DataFrame:
+    s = FactorStore(p.spark, scratch_path(p.spark))
+    new = p.factor_a.where("code % 2 = 0").where(F.col("date") >= F.lit(_D(1998, 1, 1)))
+    s.save("factor", rows)
+    for _ in range(2):
+        s.save("factor", new.withColumn("price", -F.col("price")).withColumn("volume", F.col("volume") + 1))
+    return s.table("factor").select("date", "code", "price", "volume")
+
+
 @query(
     """
 SELECT date, code, price, volume FROM factor_a WHERE date >= DATE '1997-01-01' AND NOT (code % 2 = 0 AND date >= DATE '1998-01-01')
 UNION ALL SELECT date, code, -price AS price, volume + 1 AS volume FROM factor_a WHERE code % 2 = 0 AND date >= DATE '1998-01-01'"""
 )
 def upsert_merge(p: Panels) -> DataFrame:
-    """A second save replaces the stored rows of its keys, twice over."""
-    s = FactorStore(p.spark, scratch_path(p.spark))
-    new = p.factor_a.where("code % 2 = 0").where(F.col("date") >= F.lit(_D(1998, 1, 1)))
-    s.save("factor", p.factor_a.where(F.col("date") >= F.lit(_D(1997, 1, 1))))
-    for _ in range(2):
-        s.save("factor", new.withColumn("price", -F.col("price")).withColumn("volume", F.col("volume") + 1))
-    return s.table("factor").select("date", "code", "price", "volume")
+    """A second save replaces the stored rows of its keys, twice over; from 1997 on."""
+    return merged(p, p.factor_a.where(F.col("date") >= F.lit(_D(1997, 1, 1))))
+
+
+@query(
+    """
+SELECT date, code, price, volume FROM factor_a WHERE NOT (code % 2 = 0 AND date >= DATE '1998-01-01')
+UNION ALL SELECT date, code, -price AS price, volume + 1 AS volume FROM factor_a WHERE code % 2 = 0 AND date >= DATE '1998-01-01'"""
+)
+def upsert_merge_whole(p: Panels) -> DataFrame:
+    """S5, S6, J9 over the whole table."""
+    return merged(p, p.factor_a)
 
 
 @query(

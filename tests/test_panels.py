@@ -286,3 +286,24 @@ def test_unstack_covers_the_whole_table(spark, small):
     assert wide.count() == long.select("date").distinct().count()
     keys = QUERIES["unstack_whole"](spark, small).select("date", "code", "name").toPandas()
     assert len(keys) == len(keys.drop_duplicates()) == 2 * long.count()
+
+
+def test_stream_refresh_replaces_stored_rows(spark, small, monkeypatch):
+    stored, upsert = [], FactorStore.upsert
+
+    def watched(self, table, df, keys, partition=None):
+        old = self.table(table)
+        stored.append(0 if old is None else old.join(df, keys, "left_semi").where("price = 0").count())
+        upsert(self, table, df, keys, partition)
+
+    monkeypatch.setattr(FactorStore, "upsert", watched)
+    for name in ("stream_refresh", "stream_refresh_whole"):
+        stored.clear()
+        rows = QUERIES[name](spark, small)
+        assert rows.where("price = 0").isEmpty()
+        assert stored == [0, rows.count()]
+
+
+@pytest.mark.parametrize("name,table", [("upsert_merge_whole", "factor_a"), ("stream_refresh_whole", "panel")])
+def test_whole_refresh_keeps_every_date(spark, small, name, table):
+    assert QUERIES[name](spark, small).count() == getattr(Panels(spark, small), table).count()
