@@ -3,9 +3,9 @@
 A line descends a tree of fixed depth: first by its number of words, then by its
 leading words, in which words with digits count as a variable field.  A leaf's
 template is its most frequent line (variable fields masked); a line of the leaf that
-agrees with it in enough words belongs to the template, and the words that differ are
-further variable fields.  Lines whose masked form or template occurs in enough
-documents are dropped.
+agrees with it in enough words, one of them beyond the leading words that the leaf
+fixes, belongs to the template, and the words that differ are further variable fields.
+Lines whose masked form or template occurs in enough documents are dropped.
 
 Everything is DataFrame code.  Only hashes are shuffled to count; texts meet the
 leaves that recur, which are few, and the list of dropped lines.
@@ -45,6 +45,12 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_key", "no", "words", leaf.alias("leaf"), F.md5(F.array_join("words", " ")).alias("form"))
 
 
+def _agrees(words: str, template: str, similarity: int) -> F.Column:
+    """Enough equal words; the leading words, equal in a whole leaf, are not enough by themselves."""
+    agree = F.size(F.filter(F.zip_with(words, template, lambda a, b: a == b), lambda x: x))
+    return (100 * agree >= similarity * F.size(words)) & ((F.size(words) <= DEPTH) | (agree > DEPTH))
+
+
 def drop_template_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_text`` with one row per input row.
 
@@ -64,8 +70,7 @@ def drop_template_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: i
     # only lines of recurring leaves are needed as words
     open_ = stored(lines.join(sized(recurring, LEAVES), "leaf"))
     texts = open_.where("form = best").groupBy("leaf").agg(F.first("words").alias("template"))
-    agree = F.size(F.filter(F.zip_with("words", "template", lambda a, b: a == b), lambda x: x))
-    matched = open_.join(sized(texts, LEAVES), "leaf").where(100 * agree >= similarity * F.size("words"))
+    matched = open_.join(sized(texts, LEAVES), "leaf").where(_agrees("words", "template", similarity))
     matched = stored(matched.select("doc_id", "text_key", "no", "leaf"))
     by_template = matched.select("leaf", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc")).distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     dropped = matched.join(sized(by_template.select("leaf"), LEAVES), "leaf", "left_semi").select("text_key", "no")

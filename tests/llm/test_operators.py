@@ -315,6 +315,16 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.drop_template_lines(none).count() == 0
 
 
+def test_short_clean_lines_stay(spark):
+    """Lines that share only the leading words of their leaf, and five-word lines that share one word more."""
+    names = [f"{a}{b}" for a in "bcdfg" for b in ("ale", "orn", "ith", "ush")]
+    clean = [(i, f"Was erlytion that. {n}a {n}e\nWas erlytion that. {n}i") for i, n in enumerate(names)]
+    named = [(100 + i, f"Posted on behalf of {n}") for i, n in enumerate(names)]
+    got = {r.doc_id: r for r in line_dedup.drop_template_lines(spark.createDataFrame([*clean, *named], "doc_id long, text string")).collect()}
+    assert all((got[i].n_dropped, got[i].kept_text) == (0, t) for i, t in clean)
+    assert all((got[i].n_dropped, got[i].kept_text) == (1, "") for i, _ in named)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(7)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 8]) for i in range(400)]
