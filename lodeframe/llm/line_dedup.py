@@ -5,7 +5,9 @@ leading words, in which words with digits count as a variable field.  A leaf's
 template is its most frequent line (variable fields masked); a line of the leaf that
 agrees with it in enough words, one of them beyond the leading words that the leaf
 fixes, belongs to the template, and the words that differ are further variable fields.
-Lines whose masked form or template occurs in enough documents are dropped.
+The lines left over form further templates, until no line of the leaf that is left
+can stand for one.  Lines whose masked form or template occurs in enough documents are
+dropped.
 
 Everything is DataFrame code.  Only hashes are shuffled to count; texts meet the
 leaves that recur, which are few, and the list of dropped lines.
@@ -51,6 +53,54 @@ def _agrees(words: str, template: str, similarity: int) -> F.Column:
     return (100 * agree >= similarity * F.size(words)) & ((F.size(words) <= DEPTH) | (agree > DEPTH))
 
 
+def _document() -> F.Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc")
+
+
+def further_forms(rest: DataFrame, min_docs: int, similarity: int) -> DataFrame:
+    """``leaf, form`` of the lines ``(doc_id, leaf, form, words)`` that belong to further templates of their leaf.
+
+    Forms stand for a template in the order of their documents, then of their md5; a
+    template is one whose lines are in enough documents, and takes them away from those after
+    it.  A round takes all forms that come first among the forms with which they share a
+    word beyond the leading ones, so forms that share none do not wait for each other.
+    """
+    spark = rest.sparkSession
+    seen = stored(rest.select("leaf", "form", _document()).distinct())
+    # leaves whose remaining lines are in too few documents have no further template
+    several = seen.groupBy("leaf").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    forms = rest.where(F.size("words") > DEPTH).join(sized(several, LEAVES), "leaf", "left_semi").groupBy("leaf", "form").agg(F.first("words").alias("words"))
+    docs = seen.groupBy("leaf", "form").agg(F.count("*").alias("docs"))
+    left = stored(forms.join(docs, ["leaf", "form"]).withColumn("tried", F.lit(False)))
+    key, at = ["leaf", "form"], ["leaf", "place", "word"]
+    # equal words that agreement needs beyond the leading ones
+    need = F.greatest(F.lit(1), F.ceil(F.size("words") * similarity / 100) - DEPTH).cast("int")
+    found = spark.createDataFrame([], "leaf string, form string")
+    while True:
+        places = left.select(*key, "docs", "tried", F.size("words").alias("n"), need.alias("need"), F.posexplode(F.expr(f"slice(words, {DEPTH + 1}, size(words))")).alias("place", "word"))
+        places = stored(places)
+        shared = places.groupBy(*at).agg(F.sum("docs").alias("all"))
+        # a line that agrees shares a place outside the need - 1 most shared ones, which bounds their documents
+        excess = places.where("not tried").join(shared, at).groupBy(*key, "docs", "n", "need").agg(F.sort_array(F.collect_list(F.expr("all - docs")), False).alias("excess"))
+        able = excess.where(F.expr(f"docs + aggregate(slice(excess, need, n), 0L, (a, b) -> a + b) >= {min_docs}")).select(*key)
+        able = stored(places.join(able, key, "left_semi").select(*key, *at[1:], F.struct("docs", F.translate("form", "0123456789abcdef", "fedcba9876543210").alias("r")).alias("rank")))
+        if able.isEmpty():
+            return found
+        first = able.groupBy(*at).agg(F.max("rank").alias("first"))
+        chosen = able.join(first, at).groupBy(*key).agg(F.min(F.expr("rank = first")).alias("chosen")).where("chosen").select(*key)
+        chosen = stored(chosen)
+        own = places.join(chosen, key, "left_semi").select(*at, F.col("form").alias("by"))
+        near = places.select(*key, *at[1:]).join(own, at).select(*key, "by").distinct()
+        templates = left.select("leaf", F.col("form").alias("by"), F.col("words").alias("template"))
+        near = near.join(left.select(*key, "words"), key).join(templates, ["leaf", "by"]).where(_agrees("words", "template", similarity)).select(*key, "by")
+        near = stored(near)
+        enough = near.join(seen, key).groupBy("leaf", "by").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs)
+        gone = stored(near.join(enough, ["leaf", "by"], "left_semi").select(*key).distinct())
+        found = found.unionByName(gone)
+        tried = left.join(gone, key, "left_anti").join(chosen.withColumn("now", F.lit(True)), key, "left")
+        left = stored(tried.select(*key, "words", "docs", (F.col("tried") | F.col("now").isNotNull()).alias("tried")))
+
+
 def drop_template_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_text`` with one row per input row.
 
@@ -63,7 +113,7 @@ def drop_template_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: i
     lines = line_table(docs.where("text <> ''"))
     hashed = stored(lines.drop("words"))
     # distinct documents of each form, then of each leaf
-    once = hashed.select("leaf", "form", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc")).distinct()
+    once = hashed.select("leaf", "form", _document()).distinct()
     forms = stored(once.groupBy("leaf", "form").agg(F.count("*").alias("docs")))
     leaves = forms.groupBy("leaf").agg(F.sum("docs").alias("most"), F.max(F.struct("docs", F.translate("form", "0123456789abcdef", "fedcba9876543210").alias("r"))).alias("best"))
     recurring = leaves.where(F.col("most") >= min_docs).select("leaf", F.translate("best.r", "fedcba9876543210", "0123456789abcdef").alias("best"))
@@ -71,10 +121,14 @@ def drop_template_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: i
     open_ = stored(lines.join(sized(recurring, LEAVES), "leaf"))
     texts = open_.where("form = best").groupBy("leaf").agg(F.first("words").alias("template"))
     matched = open_.join(sized(texts, LEAVES), "leaf").where(_agrees("words", "template", similarity))
-    matched = stored(matched.select("doc_id", "text_key", "no", "leaf"))
-    by_template = matched.select("leaf", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc")).distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    dropped = matched.join(sized(by_template.select("leaf"), LEAVES), "leaf", "left_semi").select("text_key", "no")
-    literal = hashed.join(sized(forms.where(F.col("docs") >= min_docs).select("leaf", "form"), LEAVES), ["leaf", "form"], "left_semi").select("text_key", "no")
+    matched = stored(matched.select("doc_id", "text_key", "no", "leaf", "form"))
+    by_template = matched.select("leaf", _document()).distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    by_template = matched.join(sized(by_template.select("leaf"), LEAVES), "leaf", "left_semi")
+    rest = open_.join(sized(by_template.select("leaf", "form").distinct(), LEAVES), ["leaf", "form"], "left_anti")
+    more = further_forms(rest.select("doc_id", "leaf", "form", "words"), min_docs, similarity)
+    recurring_forms = forms.where(F.col("docs") >= min_docs).select("leaf", "form").unionByName(more).distinct()
+    dropped = by_template.select("text_key", "no")
+    literal = hashed.join(sized(recurring_forms, LEAVES), ["leaf", "form"], "left_semi").select("text_key", "no")
     cut = dropped.unionByName(literal).groupBy("text_key").agg(F.collect_set("no").alias("cut"))
     rows = docs.withColumn("text_key", F.md5("text")).join(cut, "text_key", "left")
     rows = rows.withColumn("lines", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n")))

@@ -325,6 +325,21 @@ def test_short_clean_lines_stay(spark):
     assert all((got[i].n_dropped, got[i].kept_text) == (1, "") for i, _ in named)
 
 
+def test_further_templates_of_a_leaf(spark):
+    """Three templates of one leaf, two of them with a word of their own in every document, and clean lines."""
+    names = [f"{a}{b}" for a in "bcdfg" for b in ("ale", "orn", "ith", "ush")]
+    lines = {
+        "sales": [(i, "Please contact our sales team at any time of day") for i in range(30)],
+        "agent": [(200 + i, f"Please contact our agent {n} about the new house offer") for i, n in enumerate(names)],
+        "desk": [(300 + i, f"Please contact our desk in {n} with every other question") for i, n in enumerate(names[:5])],
+        "clean": [(400 + i, "Please contact our " + " ".join(n + x for x in "qwertyz")) for i, n in enumerate(names)],
+        "few": [(500 + i, f"Please contact our lawyers near {n} before signing any contract") for i, n in enumerate(names[:4])],
+    }
+    docs = spark.createDataFrame(sum(lines.values(), []), "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.drop_template_lines(docs).collect()}
+    assert {k: {got[i] for i, _ in v} for k, v in lines.items()} == {"sales": {1}, "agent": {1}, "desk": {1}, "clean": {0}, "few": {0}}
+
+
 def test_topk(spark):
     rng = np.random.default_rng(7)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 8]) for i in range(400)]
