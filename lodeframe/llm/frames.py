@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-#: Ids are broadcast to pick texts up to this many (16 MB of them); beyond it they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: A list is broadcast up to this size; beyond it, it is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Most bytes of one Arrow batch: a task holds one on either side of the Python border.
+BATCH_BYTES = 4 << 20
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as
-    in local tests, a temporary folder of this machine is taken and remembered in
-    the session.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset in local
+    mode, as in tests, a temporary folder of this machine is taken and remembered
+    in the session; elsewhere it would not be seen by all executors.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("lodeframe.scratch.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lodeframe.scratch.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-lodeframe-")
         spark.conf.set("lodeframe.scratch.dir", path)
     return path.rstrip("/")
@@ -37,15 +48,64 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lodeframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and the shuffle files of steps that have ended.
+
+    Spark removes shuffle files once the driver has collected the plans that made them.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
 
+def _width(field) -> Column:
+    """Bytes of a column's values in memory, about."""
+    c = F.col(field.name)
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+    if isinstance(field.dataType, ArrayType):
+        return F.coalesce(F.octet_length(F.array_join(c.cast("array<string>"), "")) + 24 * F.size(c), F.lit(0)) + 24
+    return F.lit(16)
 
-def sized(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """``df``, marked for broadcast while it has no more rows than ``most``."""
+
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast while it takes no more bytes than ``most``."""
     df = stored(df)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    total = df.agg(F.sum(sum((_width(f) for f in df.schema.fields), F.lit(0)).cast("long"))).first()[0] or 0
+    if total > most:
+        return df
+    out = F.broadcast(df)
+    out.stored_path = df.stored_path
+    return out
 
 
 def pick(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose ``doc_id`` is listed; ids travel to the texts while their number is bounded."""
+    """The rows of ``texts`` whose ``doc_id`` is listed; ids travel to the texts while their size is bounded."""
     return texts.join(sized(ids.distinct()), "doc_id", "left_semi")
+
+
+def _trimmed(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from function(batches)
+        finally:
+            # workers live on: what a task took goes back to the system
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def mapped(df: DataFrame, function: Callable[[Batches], Batches], schema: object) -> DataFrame:
+    """``df.mapInArrow`` in batches of a few MB; sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch``."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(_trimmed(function), schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import pick, sized, stored
+from lodeframe.llm.frames import discard, mapped, pick, sized, stored
 from lodeframe.llm.graph import connected_components
 from lodeframe.llm.words import Words, encoded_blocks, mix, shingle_hashes
 
@@ -220,7 +220,7 @@ def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "bits_a", "bits_b")), strict=True):
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True):
                 c = overlap_bound(x, na, y, nb)
                 keep.append(100 * c >= percent * (na + nb - c))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -333,12 +333,11 @@ def _across(percent: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b): those that link."""
-    of = lambda c: sets.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}{y}{c}") for x, y in (("n", ""), ("f1", "_"), ("f2", "_"), ("bits", "_"))))
-    wide = pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    wide = stored(wide.withColumn("same", F.expr("na = nb and f1_a = f1_b and f2_a = f2_b")))
-    equal = wide.where("same").select("a", "b")
-    open_ = stored(wide.where("not same").mapInArrow(_bounded(percent), "a long, b long").distinct())
+    """Of candidate pairs (a, b): those that link.  Sizes meet the pairs before bitmaps do, bitmaps before texts."""
+    of = lambda c, *more: sets.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in more))
+    close = pairs.join(of("a", "n"), "a").join(of("b", "n"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b").distinct()
+    wide = close.join(of("a", "n", "bits"), "a").join(of("b", "n", "bits"), "b")
+    open_ = stored(mapped(wide, _bounded(percent), "a long, b long").distinct())
     # a's text goes once to every 64 or so of its partners
     many = open_.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("parts"))
     salted = open_.join(many, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("salt"))
@@ -347,7 +346,32 @@ def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent:
     )
     met = asked.join(pick(texts, asked.select("doc_id")), "doc_id").select("a", "salt", "role", "doc_id", "text")
     met = met.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return equal.unionByName(met.mapInArrow(_intersections(k, percent), "a long, b long"))
+    return mapped(met, _intersections(k, percent), "a long, b long")
+
+
+def _mixed_tiles(stars: DataFrame, tried: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
+    """Tiles with a compared pair that lies in two components, and with a pair that has not been compared."""
+    label = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    apart = tried.join(links, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    apart = sized(apart.where("coalesce(a_part, a) <> coalesce(b_part, b)").select("a", "b", F.lit(1).alias("apart")))
+    pairs = stars.select("tile", F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
+    status = pairs.join(apart, ["a", "b"], "left").groupBy("tile").agg(F.count("*").alias("others"), F.max("apart").alias("apart"))
+    return status.where("apart = 1 and others > 1").select("tile")
+
+
+def _across_tiles(stars: DataFrame, mixed: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a mixed tile and pass the bound, block against block."""
+    rows = stars.join(mixed, "tile", "left_semi")
+    members = stored(rows.select("tile", "doc").unionByName(rows.select("tile", F.col("hub").alias("doc"))).distinct())
+    sizes = members.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    sketch = sets.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max_by("bits", "n").alias("bits"))
+    sketch = sketch.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
+    sketch = sketch.join(members.groupBy("doc").agg(F.collect_list("tile").alias("tiles")), "doc")
+    dealt = members.join(sizes, "tile").join(sketch, "doc").withColumn("earlier", F.expr("filter(tiles, t -> t < tile)")).withColumn("block", F.expr("pmod(xxhash64(doc), blocks)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = dealt.select("tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "part", "least", "most", "bits", "earlier")
+    dealt = dealt.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi")
+    return mapped(dealt, _across(percent), "a long, b long")
 
 
 def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,38 +389,39 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_
     empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = stored(texts.mapInArrow(_set_rows(k), "doc_id long, n long, f1 long, f2 long, bits binary"))
     known = texts.where("doc_id is not null")
-    tiles = known.mapInArrow(_tile_rows(k, percent), "spread long, tile long, rep long, doc long, score int")
+    sets = stored(mapped(texts, _set_rows(k), "doc_id long, n long, f1 long, f2 long, bits binary"))
+    own = sets.where("doc_id is not null and n > 0")
+    # equal sets link; the smallest id of a class stands for it from here on
+    same = ["n", "f1", "f2"]
+    classes = own.groupBy(*same).agg(F.min("doc_id").alias("head"))
+    members = stored(own.select("doc_id", *same).join(classes, same).select("doc_id", "head"))
+    by_id = members.groupBy("doc_id").agg(F.min("head").alias("head"), F.max("head").alias("other"), F.max(F.expr("head = doc_id")).alias("stands"))
+    by_id = stored(by_id)
+    alone = known.join(sized(by_id.where("not stands").select("doc_id")), "doc_id", "left_anti")
+    tiles = mapped(alone, _tile_rows(k, percent), "spread long, tile long, rep long, doc long, score int")
     tiles = tiles.repartition("spread").sortWithinPartitions("spread", "tile", F.desc("score"), "doc")
-    stars = stored(tiles.mapInArrow(_stars, "tile long, hub long, doc long"))
+    stars = stored(mapped(tiles, _stars, "tile long, hub long, doc long"))
+    discard(members)
     tried = stored(stars.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct())
-    own = sets.where("doc_id is not null and n > 0")
-    links = stored(_links(tried, own, known, k, percent))
-    parts = connected_components(links)
+    links = stored(_links(tried, own, alone, k, percent))
+    # the classes of an id's rows belong together
+    shared = by_id.where("head <> other").select(F.col("head").alias("a"), F.col("other").alias("b"))
+    parts = connected_components(links.unionByName(shared))
     # a tile can still join components where one of its compared pairs lies in two
-    label = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
-    apart = tried.join(links, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(a_part, a) <> coalesce(b_part, b)").select("a", "b")
-    mixed = stars.withColumn("a", F.least("hub", "doc")).withColumn("b", F.greatest("hub", "doc")).join(sized(apart), ["a", "b"], "left_semi").select("tile").distinct()
-    rows = stars.join(sized(mixed), "tile", "left_semi")
-    members = rows.select("tile", "doc").unionByName(rows.select("tile", F.col("hub").alias("doc"))).distinct()
-    members = stored(members)
-    sizes = members.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    sketch = own.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max_by("bits", "n").alias("bits"))
-    sketch = sketch.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
-    sketch = sketch.join(members.groupBy("doc").agg(F.collect_list("tile").alias("tiles")), "doc")
-    dealt = members.join(sizes, "tile").join(sketch, "doc").withColumn("earlier", F.expr("filter(tiles, t -> t < tile)")).withColumn("block", F.expr("pmod(xxhash64(doc), blocks)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    dealt = dealt.select("tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "part", "least", "most", "bits", "earlier")
-    dealt = dealt.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi")
-    across = dealt.mapInArrow(_across(percent), "a long, b long").join(tried, ["a", "b"], "left_anti")
-    more = _links(across, own, known, k, percent)
+    mixed = sized(_mixed_tiles(stars, tried, links, parts))
+    across = stored(_across_tiles(stars, mixed, own, parts, percent).distinct().join(tried, ["a", "b"], "left_anti"))
+    discard(stars, tried, links, mixed)
+    more = _links(across, own, alone, k, percent)
     # links that join components, as links between their names
+    label = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
     named = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
     joined = connected_components(named).select(F.col("node").alias("own"), F.col("component").alias("top"))
-    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.withColumn("own", F.coalesce("component", "doc_id")).join(joined, "own", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("top", "own").alias("component_id"))
+    top = by_id.select("doc_id", F.col("head").alias("node")).join(parts, "node", "left").select("doc_id", F.coalesce("component", "node").alias("own"))
+    top = stored(top.join(joined, "own", "left").select("doc_id", F.coalesce("top", "own").alias("component_id")))
+    slim = stored(sets.select("doc_id", F.col("n").alias("n_shingles")))
+    discard(sets, by_id, across)
+    return slim.join(top, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
