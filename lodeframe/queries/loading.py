@@ -32,6 +32,12 @@ def load_full_join(p: Panels) -> DataFrame:
     return store(p, "factor_a", "factor_b").load(paths, _D(1993, 1, 1), _D(1997, 12, 1))
 
 
+@query("SELECT date, code, price, cap FROM factor_a FULL JOIN factor_b USING (date, code)")
+def load_ordered(p: Panels) -> DataFrame:
+    """S3, L1: sorted by date and code for output."""
+    return store(p, "factor_a", "factor_b").load(["factor_a/price", "factor_b/cap"], ordered=True)
+
+
 @query("SELECT a.date, a.code, price, cap FROM factor_a AS a JOIN factor_b AS b USING (date, code)")
 def load_inner_join(p: Panels) -> DataFrame:
     """S3, J1."""

@@ -55,12 +55,17 @@ class FactorStore:
             return self._attached[table]
         if self.root is None:
             return None
-        try:
-            return clean(self.spark.read.parquet(self.path(table)))
-        except AnalysisException as error:
-            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+        for path in (self.path(table), self._columns(table)):
+            try:
+                return clean(self.spark.read.parquet(path))
+            except AnalysisException as error:
+                if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise
+        return None
+
+    def _columns(self, table: str) -> str:
+        """An empty table beside the data of one that has had no rows so far: dates without rows leave no files."""
+        return f"{self.path(table)}.columns"
 
     def _known(self, table: str) -> DataFrame:
         df = self.table(table)
@@ -94,6 +99,7 @@ class FactorStore:
         pad_begin: int = 0,
         pad_end: int = 0,
         base_table: str | None = None,
+        ordered: bool = False,
     ) -> DataFrame:
         """Named columns of several tables, cut to a range of dates and joined on (time, code).
 
@@ -102,7 +108,8 @@ class FactorStore:
         ``pad_begin = n`` moves the lower bound to the (n-1)-th date before the last base date
         up to ``begin``; ``pad_end = n`` moves the upper bound to the n-th date after the first
         base date from ``end``; beyond the calendar the first or last date is taken.  A repeated
-        alias in one table is taken once; one alias in two tables is an error.
+        alias in one table is taken once; one alias in two tables is an error.  ``ordered`` sorts
+        the rows by (time, code), for output.
         """
         how = join.lower()
         if how not in JOINS:
@@ -134,7 +141,7 @@ class FactorStore:
                 df = df.where(F.col(self.time_col) <= F.lit(high))
             part = df.select(*keys, *(F.col(c).alias(a) for a, c in columns[table].items()))
             out = part if out is None else out.join(part, keys, how)
-        return out
+        return out.orderBy(*keys) if ordered else out
 
     def _bounds(self, base: str, begin: object, end: object, pad_begin: int, pad_end: int) -> tuple[object, object]:
         """Bounds of dates after padding: one small action over the base calendar."""
@@ -161,24 +168,36 @@ class FactorStore:
         if not values:
             raise ValueError("nothing to save besides keys")
         df = process(df, values, processors or [])
-        self.upsert(table, df, keys, F.to_date(self.time_col))
+        self.upsert(table, df, keys)
         return df
 
-    def upsert(self, table: str, df: DataFrame, keys: list[str], partition: object = None) -> None:
+    def upsert(self, table: str, df: DataFrame, keys: list[str]) -> None:
         """Replace rows whose keys are in ``df`` and add the others.
 
-        Keys must be unique in ``df``.  Only the date partitions that ``df`` touches are
-        read and rewritten.  Columns that either side lacks become NULL.
+        The time column is one of the keys, so that the old row of a key lies on the date
+        of the new one; keys must be unique in ``df``.  Only the date partitions that ``df``
+        touches are read and rewritten, each as a whole once all of them are computed.  Columns
+        that either side lacks become NULL.  No rows leave the table as it is, or
+        make an empty one of these columns.  ``df`` is evaluated once.
         """
-        if not df.groupBy(*keys).count().where("count > 1").isEmpty():
-            raise ValueError(f"keys {keys} repeat in the new rows")
-        day = "date" if self.time_col != "date" else None
-        new = df.withColumn(day, F.to_date(self.time_col)) if day else df.withColumn("date", F.to_date("date"))
-        old = self.table(table)
-        if old is not None:
-            touched = old.join(new.select("date").distinct(), "date", "left_semi")
-            new = touched.join(new, keys, "left_anti").unionByName(new, allowMissingColumns=True)
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.path(table))
+        if self.time_col not in keys:
+            raise ValueError(f"keys {keys} lack the time column {self.time_col!r}")
+        new = df.withColumn("date", F.to_date(self.time_col)).persist()
+        try:
+            if not new.groupBy(*keys).count().where("count > 1").isEmpty():
+                raise ValueError(f"keys {keys} repeat in the new rows")
+            old = self.table(table)
+            if new.isEmpty():
+                if old is None:
+                    new.write.mode("overwrite").parquet(self._columns(table))
+                return
+            rows = new
+            if old is not None:
+                touched = old.join(new.select("date").distinct(), "date", "left_semi")
+                rows = touched.join(new, keys, "left_anti").unionByName(new, allowMissingColumns=True)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.path(table))
+        finally:
+            new.unpersist()
 
     # --- dates -------------------------------------------------------------------
 
