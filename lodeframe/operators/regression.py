@@ -32,13 +32,36 @@ def _square(values: np.ndarray, k: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
+def _inverses(a: np.ndarray) -> np.ndarray:
+    """Inverses of a stack of matrices; NaN where one is singular at working precision after scaling."""
+    out = np.full(a.shape, np.nan)
+    scale = np.sqrt(np.diagonal(a, axis1=1, axis2=2))
+    fine = np.isfinite(a).all(axis=(1, 2)) & (scale > 0).all(axis=1)
+    outer = scale[fine][:, :, None] * scale[fine][:, None, :]
+    s = a[fine] / outer
+    known = np.linalg.cond(s) <= 1e12 if len(s) else np.zeros(0, bool)
+    fine[fine] = known
+    out[fine] = np.linalg.inv(s[known]) / outer[known]
+    return out
+
+
 def _invert(a: np.ndarray) -> np.ndarray | None:
     """Inverse, None where the matrix is singular at working precision after scaling."""
-    scale = np.sqrt(np.diag(a))
-    if not np.all(np.isfinite(a)) or np.any(scale == 0):
-        return None
-    s = a / np.outer(scale, scale)
-    return None if np.linalg.cond(s) > 1e12 else np.linalg.inv(s) / np.outer(scale, scale)
+    inverse = _inverses(a[None])[0]
+    return None if np.isnan(inverse).any() else inverse
+
+
+def _solved(g: pd.Series, n: pd.Series, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of stacked sums (upper triangle of x'x, then x'y): which have a solution, and their inverses, x'y and coefficients."""
+    rows = np.flatnonzero((n >= least).to_numpy() & (n > k).to_numpy())
+    sums = np.array([g.iloc[i] for i in rows], float).reshape(len(rows), k * (k + 3) // 2)
+    square = np.zeros((len(rows), k, k))
+    upper = np.triu_indices(k)
+    square[:, upper[0], upper[1]] = square[:, upper[1], upper[0]] = sums[:, : len(upper[0])]
+    inverse = _inverses(square)
+    fine = ~np.isnan(inverse).any(axis=(1, 2))
+    inverse, xy = inverse[fine], sums[fine][:, -k:]
+    return rows[fine], inverse, xy, np.einsum("nij,nj->ni", inverse, xy)
 
 
 def _prepared(df: DataFrame, y: str, xs: list[str], keys: list[str], weight: str | None, intercept: bool, extra: list[str]) -> tuple[DataFrame, list[str]]:
@@ -58,23 +81,16 @@ def _betas(rows: DataFrame, names: list[str], keys: list[str], least: int) -> Da
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = f[[*keys, "n"]].copy()
-            beta, inverse, sse, r2 = [], [], [], []
-            for n, g, sy, syy in zip(f["n"], f["g"], f["sy"], f["syy"], strict=True):
-                g = np.asarray(g, float)
-                inv = _invert(_square(g, k)) if n >= least and n > k else None
-                if inv is None:
-                    for column in (beta, inverse, sse, r2):
-                        column.append(None)
-                    continue
-                xy = g[-k:]
-                b = inv @ xy
-                rest = max(syy - b @ xy, 0.0)
-                sst = syy - sy * sy / n
-                beta.append(b.tolist())
-                inverse.append(inv.ravel().tolist())
-                sse.append(rest)
-                r2.append(1 - rest / sst if sst > 0 else None)
-            out["beta"], out["inv"], out["sse"], out["r2"] = beta, inverse, sse, r2
+            at, inverse, xy, b = _solved(f["g"], f["n"], k, least)
+            n, sy, syy = (f[c].to_numpy(float)[at] for c in ("n", "sy", "syy"))
+            rest = np.maximum(syy - (b * xy).sum(axis=1), 0.0)
+            total = syy - sy * sy / n
+            columns = {"beta": b.tolist(), "inv": inverse.reshape(len(at), -1).tolist(), "sse": rest.tolist(), "r2": [1 - r / t if t > 0 else None for r, t in zip(rest, total, strict=True)]}
+            for name, values in columns.items():
+                column = [None] * len(f)
+                for i, v in zip(at.tolist(), values, strict=True):
+                    column[i] = v
+                out[name] = column
             yield out
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema), "n long, beta array<double>, inv array<double>, sse double, r2 double"])
@@ -156,7 +172,8 @@ def time_series(returns: DataFrame, factor_returns: DataFrame, factors: list[str
 def rolling_regression(df: DataFrame, y: str, xs: list[str], window: int = 252, least: int = 60, intercept: bool = True, date: str = "date", code: str = "code") -> DataFrame:
     """``code, date, term, beta, t`` over the last ``window`` calendar dates (``date_idx``) of each code.
 
-    The products are summed by windows; only one small system per row is solved.
+    The products are summed by windows.  A constant and one regressor are solved by column
+    algebra on the sums; more regressors as stacked systems, a batch of rows at a time.
     """
     terms = [*([CONST] if intercept else []), *xs]
     k = len(terms)
@@ -167,25 +184,38 @@ def rolling_regression(df: DataFrame, y: str, xs: list[str], window: int = 252,
     use = lambda c: F.when(F.expr(full), c)
     x = [F.col(f"__x{i}") for i in range(k)]
     sums = rows.select(code, date, F.count(use(F.lit(1))).over(w).alias("n"), F.array(*(F.sum(use(c)).over(w) for c in _products(x, F.col("__y")))).alias("g"), F.sum(use(F.col("__y") * F.col("__y"))).over(w).alias("syy"))
+    if intercept and len(xs) == 1:
+        return _simple_line(sums, code, date, xs[0], max(least, k + 1))
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for c, d, n, g, syy in zip(f[code], f[date], f["n"], f["g"], f["syy"], strict=True):
-                g = np.asarray(g, float)
-                inv = _invert(_square(g, k)) if n >= least and n > k else None
-                if inv is None:
-                    out += [[c, d, t, None, None] for t in terms]
-                    continue
-                b = inv @ g[-k:]
-                se = np.sqrt(np.maximum(np.diag(inv) * max(syy - b @ g[-k:], 0.0) / (n - k), 0))
-                out += [[c, d, t, v, v / e if e > 0 else None] for t, v, e in zip(terms, b, se, strict=True)]
-            yield pd.DataFrame(out, columns=[code, date, "term", "beta", "t"])
+            at, inverse, xy, b = _solved(f["g"], f["n"], k, least)
+            beta, t = np.full((len(f), k), np.nan), np.full((len(f), k), np.nan)
+            rest = np.maximum(f["syy"].to_numpy(float)[at] - (b * xy).sum(axis=1), 0.0) / (f["n"].to_numpy(float)[at] - k)
+            error = np.sqrt(np.maximum(np.diagonal(inverse, axis1=1, axis2=2) * rest[:, None], 0))
+            beta[at], t[at] = b, np.divide(b, error, out=np.full_like(b, np.nan), where=error > 0)
+            out = f.loc[f.index.repeat(k), [code, date]].reset_index(drop=True)
+            out["term"] = np.tile(terms, len(f))
+            out["beta"], out["t"] = pd.array(beta.ravel()).astype(object), pd.array(t.ravel()).astype(object)
+            yield out.where(out.notna(), None)
 
     kinds = {f.name: f.dataType.simpleString() for f in df.select(code, date).schema}
     return sums.mapInPandas(solve, f"`{code}` {kinds[code]}, `{date}` {kinds[date]}, term string, beta double, t double")
 
 
+def _simple_line(sums: DataFrame, code: str, date: str, x: str, least: int) -> DataFrame:
+    """Constant and slope from sums ``n, g = (n, sx, sxx, sy, sxy), syy``."""
+    n, sx, sxx, sy, sxy = (F.col("g")[i] for i in range(5))
+    # as for larger systems: nothing where the scaled matrix, of correlation r, has a condition above 1e12
+    r = ratio(F.abs(sx), F.sqrt(n * sxx))
+    solvable = (F.col("n") >= least) & ((1 + r) <= 1e12 * (1 - r))
+    rows = sums.withColumn("__d", F.when(solvable, n * sxx - sx * sx))
+    rows = rows.withColumn("__b", (n * sxy - sx * sy) / F.col("__d")).withColumn("__a", (sy - F.col("__b") * sx) / n)
+    left = F.greatest(F.col("syy") - F.col("__a") * sy - F.col("__b") * sxy, F.lit(0.0)) / (F.col("n") - 2)
+    line = lambda term, beta, spread: F.struct(F.lit(term).alias("term"), beta.alias("beta"), F.try_divide(beta, F.sqrt(left * spread / F.col("__d"))).alias("t"))
+    return rows.select(code, date, F.inline(F.array(line(CONST, F.col("__a"), sxx), line(x, F.col("__b"), n))))
+
+
 def orthogonalise(df: DataFrame, factor: str, baseline: list[str], out: str | None = None, date: str = "date") -> DataFrame:
     """Adds ``<factor>_ortho``: the factor less its regression on the baseline factors of the same date."""
     premia = fit(df, factor, baseline, [date]).groupBy(date).pivot("term", [CONST, *baseline]).agg(F.first("beta"))
@@ -196,7 +226,11 @@ def orthogonalise(df: DataFrame, factor: str, baseline: list[str], out: str | No
 
 
 def white_test(df: DataFrame, resid: str, xs: list[str], keys: list[str]) -> DataFrame:
-    """``keys, lm, df``: n R2 of squared residuals on the regressors, their squares and products; df counts the intercept."""
+    """``keys, lm, df``: n R2 of squared residuals on the regressors, their squares and products; df counts the intercept.
+
+    The regressors are centred first, which leaves R2 as it is and the system well conditioned.
+    """
+    df = df.withColumns({x: F.col(x) - F.avg(x).over(Window.partitionBy(*keys)) for x in xs})
     squares = [(f"__s{i}", F.col(x) * F.col(x)) for i, x in enumerate(xs)]
     cross = [(f"__p{i}_{j}", F.col(xs[i]) * F.col(xs[j])) for i in range(len(xs)) for j in range(i + 1, len(xs))]
     rows = df.withColumns({"__e2": F.col(resid) * F.col(resid), **dict(squares + cross)})

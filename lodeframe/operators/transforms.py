@@ -7,6 +7,7 @@ All windows of one kind share their key, so they share one shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import partial
 
@@ -180,21 +181,30 @@ def rolling(x: str | Column, n: int, how: str = "mean", min_periods: int | None
     return F.when(F.count(col(x)).over(frame) >= least, value.over(frame))
 
 
-def ewm(x: str | Column, alpha: float, how: str = "mean", lookback: int | None = None, code: str = "code") -> Column:
-    """Exponentially weighted sum or mean of a dense grid's rows.
+def ewm(df: DataFrame, x: str, alpha: float, outs: dict[str, str], code: str = "code") -> DataFrame:
+    """Adds exponentially weighted sums and means over the rows of a dense grid: ``outs`` maps names to ``sum`` or ``mean``.
 
-    Weights are (1 - alpha) ** age, ages counted in rows, missing ones included; the
-    mean divides by the weights of present values.  Leading missing stay missing.
-    ``lookback`` bounds the rows looked at for long histories.
+    Weights are (1 - alpha) ** age with 0 < alpha < 1, ages counted in rows, missing
+    ones included; the mean divides by the weights of present values.  Leading missing
+    stay missing.
+
+    The rows of a code are cut into blocks as long as the inverse weights stay in range.
+    Inside a block a running sum of inversely weighted values is weighted back; the
+    few blocks before it are folded from their last rows.  So the work is linear in the rows.
     """
-    x = col(x)
-    frame = over_code(code).rowsBetween(Window.unboundedPreceding if lookback is None else 1 - lookback, 0)
-    past = F.collect_list(F.struct(x.alias("v"))).over(frame)
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    decay = F.lit(1 - alpha)
-    step = lambda acc, r: F.struct((acc["s"] * decay + F.coalesce(r["v"], F.lit(0.0))).alias("s"), (acc["w"] * decay + F.when(r["v"].isNotNull(), 1.0).otherwise(0.0)).alias("w"))
-    total = F.aggregate(past, zero, step)
-    return F.when(total["w"] > 0, total["s"] if how == "sum" else total["s"] / total["w"])
+    decay = 1 - alpha
+    length = max(1, int(230 / -math.log(decay)))
+    df = df.withColumn("__at", (F.col("date_idx") - 1) % length).withColumn("__block", F.floor((F.col("date_idx") - 1) / length))
+    inside = Window.partitionBy(code, "__block").orderBy("date_idx").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(code).orderBy("__block").rangeBetween(Window.unboundedPreceding, -1)
+    at, last = F.col("__at"), F.col("__at") == length - 1
+    weighted = lambda v: F.coalesce(F.sum(v * F.pow(F.lit(decay), -at)).over(inside), F.lit(0.0)) * F.pow(F.lit(decay), at)
+    df = df.withColumns({"__s": weighted(F.col(x).cast("double")), "__w": weighted(F.when(F.col(x).isNotNull(), 1.0))})
+    past = lambda c: F.aggregate(F.collect_list(F.when(last, F.col(c))).over(before), F.lit(0.0), lambda acc, v: acc * decay**length + v)
+    df = df.withColumns({"__s0": past("__s"), "__w0": past("__w")})
+    s, w = (F.col(f"__{c}") + F.col(f"__{c}0") * F.pow(F.lit(decay), at + 1) for c in "sw")
+    df = df.withColumns({name: F.when(w > 0, s if how == "sum" else s / w) for name, how in outs.items()})
+    return df.drop("__at", "__block", "__s", "__w", "__s0", "__w0")
 
 
 # --- processors ------------------------------------------------------------------

@@ -171,8 +171,8 @@ SELECT code, date, {r('CASE WHEN w > 0 THEN s END', 'total')}, {r('CASE WHEN w >
 )
 def w_ewm(p: Panels) -> DataFrame:
     """Exponentially weighted sum and mean."""
-    grid = cal.dense_grid(p.panel)
-    return grid.select("code", "date", tidy(t.ewm("price", 0.3, "sum")).alias("total"), tidy(t.ewm("price", 0.3)).alias("mean"))
+    rows = t.ewm(cal.dense_grid(p.panel), "price", 0.3, {"total": "sum", "mean": "mean"})
+    return rows.select("code", "date", tidy("total").alias("total"), tidy("mean").alias("mean"))
 
 
 @query(f"SELECT code, date, {r('CASE WHEN price IS NOT NULL THEN sum(price) OVER (PARTITION BY code ORDER BY k) END', 'total')} FROM grid", _GRID)
