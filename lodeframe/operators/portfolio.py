@@ -24,8 +24,8 @@ def _split(df: DataFrame, x: str, n: int, keys: list[str], out: str) -> DataFram
     return df.withColumn(out, F.when(F.max(out).over(Window.partitionBy(*keys)).isNull(), F.lit(0)).otherwise(F.col(out)))
 
 
-def quantile_portfolios(df: DataFrame, factor: str, n: int = 10, mode: str = "single", controls: list[str] | None = None, control_groups: int | None = None, ret: str = "ret", weight: str | None = None, feasible: str | None = None, date: str = "date") -> DataFrame:
-    """``date, cell, grp, ret``: returns of the factor's quantile groups.
+def quantile_portfolios(df: DataFrame, factor: str, n: int = 10, mode: str = "single", controls: list[str] | None = None, control_groups: int | None = None, ret: str = "ret", weight: str | None = None, feasible: str | None = None, date: str = "date", series: tuple[str, ...] = ()) -> DataFrame:
+    """``series, date, cell, grp, ret``: returns of the factor's quantile groups, in every series by itself.
 
     ``single`` sorts within a date.  ``independent`` buckets every control and the factor on
     the whole date; the labels of the controls make a cell.  ``conditional`` splits by the
@@ -39,18 +39,18 @@ def quantile_portfolios(df: DataFrame, factor: str, n: int = 10, mode: str = "si
     for i, control in enumerate(controls or []):
         label = f"__c{i}"
         if mode == "independent":
-            rows = quantile_bucket(rows, control, m, [date], label)
+            rows = quantile_bucket(rows, control, m, [*series, date], label)
         elif mode == "conditional":
-            rows = _split(rows, control, m, [date, *labels], label).where(F.col(label).isNotNull())
+            rows = _split(rows, control, m, [*series, date, *labels], label).where(F.col(label).isNotNull())
         else:
             raise ValueError("controls go with an independent or conditional sort")
         labels.append(label)
     if mode not in ("single", "independent", "conditional"):
         raise ValueError(f"unknown mode {mode!r}")
-    rows = quantile_bucket(rows, factor, n, [date, *labels] if mode == "conditional" else [date], "grp")
+    rows = quantile_bucket(rows, factor, n, [*series, date, *labels] if mode == "conditional" else [*series, date], "grp")
     rows = rows.where(" and ".join(f"{c} is not null" for c in [*labels, "grp"]))
     cell = F.concat_ws("_", *(F.col(c).cast("string") for c in labels)) if labels else F.lit("")
-    return rows.withColumn("cell", cell).groupBy(date, "cell", "grp").agg(group_return(ret, weight).alias("ret"))
+    return rows.withColumn("cell", cell).groupBy(*series, date, "cell", "grp").agg(group_return(ret, weight).alias("ret"))
 
 
 def high_minus_low(groups: DataFrame, date: str = "date") -> DataFrame:
@@ -60,41 +60,46 @@ def high_minus_low(groups: DataFrame, date: str = "date") -> DataFrame:
     return marked.groupBy(date).agg(F.sum(F.when(F.col("grp") == F.col("hi"), F.col("ret")).when(F.col("grp") == F.col("lo"), -F.col("ret"))).alias("hl"))
 
 
-def group_summary(groups: DataFrame, date: str = "date") -> DataFrame:
-    """``grp, n, mean, t`` over dates, cells averaged first; t divides by the root of all dates, missing ones included."""
-    days = groups.select(date).distinct().agg(F.count("*").alias("n")).withColumn("__k", F.lit(1))
-    per_day = groups.groupBy(date, "grp").agg(F.avg("ret").alias("ret"))
-    out = per_day.groupBy("grp").agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("__s")).withColumn("__k", F.lit(1)).join(days, "__k")
-    return out.select("grp", "n", "mean", ratio("mean", F.col("__s") / F.sqrt("n")).alias("t"))
-
-
-def monotonicity_by_date(groups: DataFrame, n: int, date: str = "date") -> DataFrame:
-    """``date, spearman, slope, kendall`` of group return on group number, where max(5, n // 2) groups have a return."""
-    rows = groups.groupBy(date, "grp").agg(F.avg("ret").alias("ret")).where("ret is not null")
-    rows = rows.withColumn("__n", F.count("*").over(by(date))).where(F.col("__n") >= max(5, n // 2))
-    ranked = rows.withColumn("__g", average_rank("grp", by(date))).withColumn("__r", average_rank("ret", by(date)))
-    first = ranked.groupBy(date).agg(correlation("__g", "__r").alias("spearman"), F.regr_slope("ret", "grp").alias("slope"))
-    other = rows.select(date, F.col("grp").alias("g2"), F.col("ret").alias("r2"))
-    pairs = rows.join(other, date).where("grp < g2")  # n (n - 1) / 2 pairs a date, n groups
+def group_summary(groups: DataFrame, date: str = "date", series: tuple[str, ...] = ()) -> DataFrame:
+    """``series, grp, n, mean, t`` over dates, cells averaged first; t divides by the root of all dates, missing ones included."""
+    groups = groups.withColumn("__k", F.lit(1))
+    key = ["__k", *series]
+    days = groups.select(*key, date).distinct().groupBy(*key).agg(F.count("*").alias("n"))
+    per_day = groups.groupBy(*key, date, "grp").agg(F.avg("ret").alias("ret"))
+    out = per_day.groupBy(*key, "grp").agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("__s")).join(days, key)
+    return out.select(*series, "grp", "n", "mean", ratio("mean", F.col("__s") / F.sqrt("n")).alias("t"))
+
+
+def monotonicity_by_date(groups: DataFrame, n: int, date: str = "date", series: tuple[str, ...] = ()) -> DataFrame:
+    """``series, date, spearman, slope, kendall`` of group return on group number, where max(5, n // 2) groups have a return."""
+    key = [*series, date]
+    rows = groups.groupBy(*key, "grp").agg(F.avg("ret").alias("ret")).where("ret is not null")
+    rows = rows.withColumn("__n", F.count("*").over(by(*key))).where(F.col("__n") >= max(5, n // 2))
+    ranked = rows.withColumn("__g", average_rank("grp", by(*key))).withColumn("__r", average_rank("ret", by(*key)))
+    first = ranked.groupBy(*key).agg(correlation("__g", "__r").alias("spearman"), F.regr_slope("ret", "grp").alias("slope"))
+    other = rows.select(*key, F.col("grp").alias("g2"), F.col("ret").alias("r2"))
+    pairs = rows.join(other, key).where("grp < g2")  # n (n - 1) / 2 pairs a date, n groups
     sign = F.signum(F.col("r2") - F.col("ret"))
-    tau = pairs.groupBy(date).agg(ratio(F.sum(sign), F.sqrt(F.count("*") * F.sum(sign * sign))).alias("kendall"))
-    return first.join(tau, date, "left")
+    tau = pairs.groupBy(*key).agg(ratio(F.sum(sign), F.sqrt(F.count("*") * F.sum(sign * sign))).alias("kendall"))
+    return first.join(tau, key, "left")
 
 
-def monotonicity(groups: DataFrame, n: int, date: str = "date", least: int = 30) -> DataFrame:
-    """One row: means, t (with 30 dates at least), share of positive rank correlations, Newey-West t of the slope."""
-    daily = monotonicity_by_date(groups, n, date)
+def monotonicity(groups: DataFrame, n: int, date: str = "date", least: int = 30, series: tuple[str, ...] = ()) -> DataFrame:
+    """One row a series: means, t (with 30 dates at least), share of positive rank correlations, Newey-West t of the slope."""
+    daily = monotonicity_by_date(groups, n, date, series).withColumn("__k", F.lit(1))
+    key = ["__k", *series] if series else []
 
     def t(c: str) -> Column:
         return F.when(F.count(c) >= least, ratio(F.avg(c), F.stddev_samp(c) / F.sqrt(F.count(c))))
 
-    out = daily.agg(
+    out = daily.groupBy(*key).agg(
         F.avg("spearman").alias("spearman_mean"),
         t("spearman").alias("spearman_t"),
         F.avg((F.col("spearman") > 0).cast("double")).alias("win_rate"),
         F.avg("slope").alias("slope_mean"),
         F.avg("kendall").alias("kendall_mean"),
         t("kendall").alias("kendall_t"),
-    ).withColumn("__k", F.lit(1))
-    nw = newey_west(daily.withColumn("__k", F.lit(1)), "slope", ["__k"], date).select("__k", F.col("nw_t").alias("slope_nw_t"))
-    return out.join(nw, "__k", "left").drop("__k")
+    )
+    out = out if series else out.withColumn("__k", F.lit(1))
+    nw = newey_west(daily, "slope", ["__k", *series], date).select("__k", *series, F.col("nw_t").alias("slope_nw_t"))
+    return out.join(nw, ["__k", *series], "left").drop("__k")

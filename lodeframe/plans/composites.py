@@ -142,18 +142,21 @@ def style_coverage(rows: DataFrame, styles: list[str]) -> DataFrame:
     return rows.groupBy("date").agg(*(F.avg(F.col(s).isNotNull().cast("double")).alias(s) for s in styles))
 
 
-def barra_regression(rows: DataFrame, styles: list[str], ret: str = "ret", industry: str = "first_industry_code", cap: str = "cap", min_style_coverage: float = 0.5, min_codes: int = 100, min_rows: int = 20, spare_rows: int = 5) -> tuple[DataFrame, DataFrame]:
+def barra_regression(rows: DataFrame, styles: list[str], ret: str = "ret", industry: str = "first_industry_code", cap: str = "cap", min_style_coverage: float = 0.5, min_codes: int = 100, min_rows: int = 20, spare_rows: int = 5, base_rule: str = "max_cap") -> tuple[DataFrame, DataFrame]:
     """Daily regression of returns on a constant, industries and styles, weighted by cap.
 
     Returns factor returns ``date, term, ret`` (terms const, ind_<code>, styles) and specific
     returns ``date, code, specific``.  Rows need an industry.  On each date styles with
     too few present values are left out, rows need a return, positive cap and all kept
-    styles; the largest industry is the base.  Industry returns are then levelled so
+    styles; the base is the largest industry (``base_rule`` max_cap) or the first by name
+    (first), which the levelling below makes the same.  Industry returns are then levelled so
     that their cap-weighted sum is zero, and the constant takes the difference.  Dates with
     fewer codes or rows than the limits give no factor returns.
 
     Sums are taken per date and industry; one small system per date is solved on them.
     """
+    if base_rule not in ("max_cap", "first"):
+        raise ValueError(f"base_rule is max_cap or first, not {base_rule!r}")
     named = rows.where(F.col(industry).isNotNull()).withColumn("__ind", F.col(industry).cast("string"))
     daily = named.groupBy("date").agg(F.count("*").alias("__codes"), *(F.avg(F.col(s).isNotNull().cast("double")).alias(f"__c_{s}") for s in styles))
     keep = F.array(*(F.col(f"__c_{s}") >= min_style_coverage for s in styles)) if styles else F.array().cast("array<boolean>")
@@ -176,7 +179,7 @@ def barra_regression(rows: DataFrame, styles: list[str], ret: str = "ret", indus
         kept = [i for i in range(k) if f["keep"].iloc[0][i]]
         g = np.array(f["g"].tolist(), float)
         inds = f["ind"].tolist() if len(f) > 1 else []  # a single industry has no variance
-        base = int(np.argmax(g[:, 0])) if inds else -1
+        base = -1 if not inds else int(np.argmax(g[:, 0])) if base_rule == "max_cap" else 0
         used = [i for i in range(len(inds)) if i != base]
         p = 1 + len(kept) + len(used)
         if n < max(min_rows, p + spare_rows):
@@ -214,3 +217,10 @@ def barra_regression(rows: DataFrame, styles: list[str], ret: str = "ret", indus
         fitted = fitted + F.coalesce(F.col("__f")[s], F.lit(0.0)) * x[i]
     specific = named.where(usable).join(table, "date").select("date", "code", (y - fitted).alias("specific"))
     return found, specific
+
+
+def run_model(store: FactorStore, rows: DataFrame, styles: list[str], returns_table: str = "factor_returns", specific_table: str = "specific_returns", **rules: object) -> None:
+    """Fits :func:`barra_regression` and upserts factor returns by (date, term) and specific returns by (date, code)."""
+    found, specific = barra_regression(rows, styles, **rules)
+    store.upsert(returns_table, found, ["date", "term"])
+    store.upsert(specific_table, specific, ["date", "code"])

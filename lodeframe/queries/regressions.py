@@ -107,11 +107,30 @@ def gmm(p: Panels) -> DataFrame:
     return out.select(tidy(F.col("lambda")[0]).alias("price"), tidy("j").alias("j"), tidy("pvalue").alias("pvalue"))
 
 
+def white(p: Panels) -> DataFrame:
+    rows = regression.residuals(base(p).where("ret is not null"), "ret", ["disc"], ["date"])
+    return regression.white_test(rows, "resid", ["disc"], ["date"])
+
+
+@query(
+    f"""
+SELECT date, {r('CASE WHEN n > 3 AND syy > 0 THEN n * (syu * syu / suu + syq * syq / sqq) / syy END', 'lm')}, 3 AS df
+FROM (SELECT date, count(*) AS n, sum(y * y) AS syy, sum(y * u) AS syu, sum(u * u) AS suu, sum(y * q) AS syq, sum(q * q) AS sqq
+      FROM (SELECT date, u, y, v - u * sum(u * v) OVER d / sum(u * u) OVER d AS q
+            FROM (SELECT date, e * e - avg(e * e) OVER d AS y, x - avg(x) OVER d AS u, pow(x - mx, 2) - avg(pow(x - mx, 2)) OVER d AS v
+                  FROM (SELECT date, x, avg(x) OVER d AS mx, ret - avg(ret) OVER d - regr_slope(ret, x) OVER d * (x - avg(x) OVER d) AS e, count(*) OVER d AS n
+                        FROM (SELECT date, disc AS x, ret FROM base WHERE ret IS NOT NULL) AS a WINDOW d AS (PARTITION BY date)) AS b WHERE n > 2 WINDOW d AS (PARTITION BY date)) AS c WINDOW d AS (PARTITION BY date)) AS f GROUP BY 1) AS g""",
+    RET,
+)
+def white_lm(p: Panels) -> DataFrame:
+    """R10 per date: the statistic, without its tail probability."""
+    return white(p).select("date", tidy("lm").alias("lm"), F.col("df").cast("int").alias("df"))
+
+
 @query()
 def white_test(p: Panels) -> DataFrame:
-    """R10 per date; tested against numpy."""
-    rows = regression.residuals(base(p).where("ret is not null"), "ret", ["disc"], ["date"])
-    out = regression.white_test(rows, "resid", ["disc"], ["date"])
+    """R10 per date; its tail probability has no SQL and is tested against tables."""
+    out = white(p)
     return out.select("date", tidy("lm").alias("lm"), "df", tidy(chi2_pvalue(F.col("lm"), F.col("df"))).alias("pvalue"))
 
 
