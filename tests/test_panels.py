@@ -14,7 +14,7 @@ from lodeframe.functions import columns, tails
 from lodeframe.operators import calendar, ic, portfolio, pricing, regression, returns, series, transforms
 from lodeframe.plans import composites, evaluate
 from lodeframe.plans.panels import Panels
-from lodeframe.queries import ORACLES, QUERIES, loading
+from lodeframe.queries import ORACLES, QUERIES, loading, regressions
 from lodeframe.sources.store import FactorStore, parse_path
 
 DAY = datetime.date
@@ -26,11 +26,6 @@ def test_query_matches_sql(spark, small, name):
     same(QUERIES[name](spark, small).toPandas(), connect(small).execute(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"grs", "evaluation_run"}))
-def test_query_without_sql_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() >= 0
-
-
 def panel(spark, rows, schema="date date, code long, x double, y double, w double"):
     return spark.createDataFrame(rows, schema)
 
@@ -56,8 +51,44 @@ def test_calendar_shift_and_row_shift_differ_over_a_gap(gaps):
 def test_ewm_as_pandas(spark):
     x = [1.0, None, 2.0]
     rows = calendar.dense_grid(panel(spark, [(d, 1, v, None, None) for d, v in zip(DAYS, x, strict=False)]))
-    got = [(r.m, r.s) for r in rows.withColumn("m", transforms.ewm("x", 0.5)).withColumn("s", transforms.ewm("x", 0.5, "sum")).orderBy("date").collect()]
-    assert got == [(1.0, 1.0), (1.0, 0.5), (1.8, 2.25)]
+    got = [(r.m, r.s) for r in transforms.ewm(rows, "x", 0.5, {"m": "mean", "s": "sum"}).orderBy("date").collect()]
+    assert got == [(1.0, 1.0), (1.0, 0.5), (pytest.approx(1.8), 2.25)]
+
+
+@pytest.mark.parametrize("alpha", [0.001, 0.3, 0.9, 0.999])
+def test_ewm_over_many_blocks_as_pandas(spark, alpha):
+    rng = np.random.default_rng(4)
+    x = pd.Series(np.where(rng.random(700) < 0.2, np.nan, rng.normal(size=700)))
+    x.iloc[:5] = np.nan
+    frame = pd.DataFrame({"code": 1, "date_idx": np.arange(1, 701), "x": x}).astype({"x": object}).where(lambda f: f.notna(), None)
+    got = transforms.ewm(spark.createDataFrame(frame, "code long, date_idx int, x double"), "x", alpha, {"m": "mean", "s": "sum"}).orderBy("date_idx").toPandas()
+    np.testing.assert_allclose(got.m.to_numpy(float), x.ewm(alpha=alpha).mean(), rtol=1e-9)
+    total, sums = 0.0, []
+    for v in x:
+        total = total * (1 - alpha) + (0.0 if np.isnan(v) else v)
+        sums.append(total)
+    np.testing.assert_allclose(got.s.to_numpy(float)[5:], sums[5:], rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("xs", [["x"], ["x", "y"]])
+def test_rolling_regression_as_numpy(spark, xs):
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame([(c, i, *rng.normal(size=3)) for c in (1, 2) for i in range(1, 40) if (c, i) != (2, 7)], columns=["code", "date_idx", "x", "y", "r"])
+    frame.loc[3, "r"] = None
+    frame.loc[frame.code == 2, "x"] = 1.5
+    rows = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "code long, date_idx int, x double, y double, r double")
+    got = regression.rolling_regression(rows.withColumn("date", F.col("date_idx")), "r", xs, window=10, least=6).toPandas()
+    assert len(got) == len(frame) * (1 + len(xs))
+    for (code, day), own in got.groupby(["code", "date"]):
+        used = frame[(frame.code == code) & frame.date_idx.between(day - 9, day)].dropna()
+        if len(used) < 6 or code == 2:  # a constant regressor has no slope
+            assert own.beta.isna().all()
+            assert own.t.isna().all()
+            continue
+        b, t, _, _ = ols(used[xs].to_numpy(), used.r.to_numpy(), hc=False)
+        own = own.set_index("term").loc[["const", *xs]]
+        np.testing.assert_allclose(own.beta, b, rtol=1e-8)
+        np.testing.assert_allclose(own.t, t, rtol=1e-7)
 
 
 def test_missing_and_constant_values(spark):
@@ -141,6 +172,9 @@ def test_cross_sectional_model_as_numpy(noisy):
     frame, df = noisy
     df = df.withColumnRenamed("ind", "first_industry_code")
     found, specific = composites.barra_regression(df, ["a", "b"], min_codes=50)
+    other, _ = composites.barra_regression(df, ["a", "b"], min_codes=50, base_rule="first")
+    key = ["date", "term"]
+    pd.testing.assert_frame_equal(found.toPandas().sort_values(key).reset_index(drop=True), other.toPandas().sort_values(key).reset_index(drop=True), rtol=1e-9)
     got, rest = found.toPandas(), specific.toPandas()
     for day, own in frame.groupby("date"):
         d = pd.get_dummies(own.ind).astype(float)
@@ -251,6 +285,37 @@ def test_store_contracts(spark, tmp_path, gaps):
         s.attach("u", rows).load(["t/x", "u/x"])
     with pytest.raises(ValueError, match="missing key"):
         s.save("t", rows.drop("code"))
+    with pytest.raises(ValueError, match="lack the time column"):
+        s.upsert("t", rows, ["code"])
+    ordered = [(r.date, r.code) for r in s.load("t/x", ordered=True).collect()]
+    assert ordered == sorted(ordered)
+
+
+def test_empty_batches_leave_a_readable_table(spark, tmp_path, gaps):
+    s, rows = FactorStore(spark, str(tmp_path)), gaps.select("date", "code", "x")
+    s.save("t", rows.limit(0))
+    assert (s.table("t").dtypes, s.table("t").count()) == ([("date", "date"), ("code", "bigint"), ("x", "double")], 0)
+    assert s.latest_date("t") is None
+    assert s.load("t/x").count() == 0
+    s.save("t", rows)
+    s.save("t", rows.limit(0))
+    assert s.table("t").count() == rows.count()
+
+
+def test_short_series_have_no_stability(spark):
+    days = [DAY(2024, 1, 1) + datetime.timedelta(i) for i in range(60)]
+    rng = np.random.default_rng(6)
+    rows = panel(spark, [(d, c, float(rng.normal()), None, None) for c, n in ((1, 60), (2, 49)) for d in days[:n]])
+    got = {r.code: r.asDict() for r in series.stability(rows, "x", ["code"], 12).collect()}
+    assert {v for k, v in got[2].items() if k not in ("code", "n")} == {None}
+    assert None not in got[1].values()
+    one = rows.where("code = 1")
+    assert got[1]["acf1"] == pytest.approx(series.autocorrelation(one, "x", ["code"]).first().acf1)
+    assert got[1]["lb_q"] == pytest.approx(series.ljung_box(one, "x", ["code"]).first().lb_q)
+    assert got[1]["break_date"] == series.break_scan(one, "x", ["code"]).first().break_date
+    spread = series.rolling_stats(one, "x", ["code"], 12).agg(F.stddev_samp("roll_mean"), F.stddev_samp("roll_ir")).first()
+    assert (got[1]["roll_mean_std"], got[1]["roll_ir_std"]) == (pytest.approx(spread[0]), pytest.approx(spread[1]))
+    assert series.stability(one, "x", ["code"], 56).first().acf1 is None
 
 
 def test_filters_and_columns_reach_the_scan(spark, small):
@@ -275,7 +340,47 @@ def test_evaluation_with_baseline(spark, small):
     p = Panels(spark, small)
     got = evaluate.run_test(p.quotes, p.instruments, p.panel.select("date", "code", "disc", "cap"), ["disc"], groups=2, roll=12, baseline=["cap"])
     assert got.factors == ["disc", "disc_ortho"]
-    assert {"ic", "coverage", "ic_summary", "groups:disc", "monotonicity:disc_ortho"} <= set(got.tables)
+    assert got.incremental == ["disc_ortho"]
+    assert {r.factor: r.restype for r in got.summary().select("factor", "restype").collect()} == {"disc": "raw", "disc_ortho": "inc"}
+    apart = portfolio.quantile_portfolios(got.panel, "disc", 2, feasible="feasible").select("date", "grp", "ret").collect()
+    assert sorted(got.tables["groups"].where("factor = 'disc'").select("date", "grp", "ret").collect()) == sorted(apart)
+    got.close()
+
+
+def test_queries_with_tail_probabilities(spark, small):
+    """Queries without SQL: their rows from the table by numpy and the tested tail functions."""
+    p = Panels(spark, small)
+    rows = regressions.base(p).where("ret is not null").toPandas()
+    got = {(r.date, r.term): r for r in QUERIES["cs_regression_multi"](spark, small).collect()}
+    solved = 0
+    for day, own in rows.groupby("date"):
+        x = np.column_stack([own.price.astype(float), np.log(own.volume.astype(float)), own.disc])
+        if len(own) < 6:
+            continue
+        b, t, r2, _ = ols(x, own.ret.to_numpy(), own.cap.to_numpy(float))
+        for i, term in enumerate(["const", "price", "lv", "disc"]):
+            solved += 1
+            assert got[day, term].beta == pytest.approx(b[i], rel=1e-4, abs=2e-9)
+            assert got[day, term].r2 == pytest.approx(r2, abs=1e-5)
+    assert solved > 20
+    for r in QUERIES["white_test"](spark, small).collect():
+        assert r.pvalue is None if r.lm is None else r.pvalue == pytest.approx(tails.chi2_tail(r.lm, 3), abs=1e-5)
+    for r in QUERIES["ic_pvalues"](spark, small).collect():
+        i = regressions.ics_of(p).where(F.col("factor") == r.factor)
+        t, q, b = regression.t_test(i, "ic", ["factor"]).first(), series.ljung_box(i, "ic", ["factor"]).first(), series.break_scan(i, "ic", ["factor"]).first()
+        assert (r.t_p, r.greater_p, r.lb_p, r.break_p) == tuple(pytest.approx(v, abs=2e-6) for v in (tails.t_tail(t.t, t.n - 1), tails.t_tail(t.t, t.n - 1, "greater"), tails.chi2_tail(q.lb_q, q.lags), tails.t_tail(b.welch_t, b.welch_df)))
+    groups = regressions.single(p).toPandas().pivot(index="date", columns="grp", values="ret")
+    both = groups.join(regressions.hl(p).toPandas().set_index("date")).dropna()
+    f, r4, r5 = both[["f"]].to_numpy(), both[[1, 2, 3, 4]].to_numpy(), both[[1, 2, 3, 4, 5]].to_numpy()
+    n = len(both)
+    x = np.column_stack([np.ones(n), f])
+    b = np.linalg.lstsq(x, r4, rcond=None)[0]
+    sigma = np.cov(r4 - x @ b, rowvar=False)
+    grs = (n - 5) / 4 * b[0] @ np.linalg.solve(sigma, b[0]) / (1 + f.mean() ** 2 / f.var(ddof=1))
+    assert QUERIES["grs"](spark, small).first().grs == pytest.approx(grs, rel=1e-3, abs=2e-6)
+    a, m = r5.T @ f / n, r5.mean(axis=0)
+    w = np.linalg.pinv(np.cov(r5 * (1 - f @ np.linalg.lstsq(a, m, rcond=None)[0])[:, None], rowvar=False))
+    assert QUERIES["gmm"](spark, small).first().price == pytest.approx(float(np.linalg.solve(a.T @ w @ a, a.T @ w @ m)[0]), rel=1e-3)
 
 
 def test_unstack_covers_the_whole_table(spark, small):
@@ -291,10 +396,10 @@ def test_unstack_covers_the_whole_table(spark, small):
 def test_stream_refresh_replaces_stored_rows(spark, small, monkeypatch):
     stored, upsert = [], FactorStore.upsert
 
-    def watched(self, table, df, keys, partition=None):
+    def watched(self, table, df, keys):
         old = self.table(table)
         stored.append(0 if old is None else old.join(df, keys, "left_semi").where("price = 0").count())
-        upsert(self, table, df, keys, partition)
+        upsert(self, table, df, keys)
 
     monkeypatch.setattr(FactorStore, "upsert", watched)
     for name in ("stream_refresh", "stream_refresh_whole"):
