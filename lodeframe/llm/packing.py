@@ -24,12 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.frames import mapped
 from lodeframe.llm.words import _INVERSE, _MULTIPLIER, _TABLE, Words, _power_table, encoded_blocks, mix
 
 #: White space that is not a separator of words: such texts are tokenised in one piece.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Distinct units remembered by a Python worker.
-CACHE_UNITS = 1_000_000
+_OTHER_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Memory for remembered units in a Python worker.
+CACHE_BYTES = 48 << 20
+#: Bytes of text tokenised at once, and units put into one call of the tokenizer.
+TEXT_BYTES = 1 << 19
+UNITS = 512
 _encoders: dict[str, Encoder] = {}
 
 
@@ -38,8 +42,9 @@ class Encoder:
 
     The tokenizer splits a text before every space that precedes a word, and runs of
     other white space by themselves, so a text falls into *units* whose ids do not
-    depend on what is around them.  Distinct units are encoded once and
-    remembered by a 64-bit hash, up to a bound.
+    depend on what is around them.  Distinct units are encoded once and remembered by a
+    64-bit hash, in sorted arrays of a bounded size.  Texts with other white space or
+    with an added token of the file are handed over whole.
     """
 
     def __init__(self, path: str):
@@ -47,33 +52,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_OTHER_SPACE, *added]))
+        vocabulary = self.tokenizer.get_vocab()
+        #: bytes that each id stands for: one per character of a byte-level token
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.lengths = np.zeros(1 << 12, np.int64)
-        self.firsts = np.zeros(1 << 12, np.int64)
+        self.keys = np.zeros(0, np.uint64)
+        self.firsts = np.zeros(0, np.int32)
+        self.lengths = np.zeros(0, np.int32)
         self.store = np.zeros(1 << 14, np.uint32)
         self.used = 0
 
-    def _add(self, keys: list[int], units: list[bytes]) -> None:
+    def _singly(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)]
-        count, size = len(self.known), sum(map(len, ids))
-        while count + len(keys) > len(self.lengths):
-            self.lengths, self.firsts = (np.concatenate((x, np.zeros_like(x))) for x in (self.lengths, self.firsts))
-        while self.used + size > len(self.store):
-            self.store = np.concatenate((self.store, np.zeros_like(self.store)))
-        for key, x in zip(keys, ids, strict=True):
-            self.known[key] = count
-            self.firsts[count], self.lengths[count] = self.used, len(x)
-            self.store[self.used : self.used + len(x)] = x
-            self.used += len(x)
-            count += 1
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate([np.array(x, np.uint32) for x in ids] or [np.zeros(0, np.uint32)])
+
+    def _together(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`_singly` for words after a space: many are encoded as one text and parted by the bytes of their ids."""
+        try:
+            texts = [b"".join(units[i : i + UNITS]).decode() for i in range(0, len(units), UNITS)]
+        except UnicodeDecodeError:
+            return self._singly(units)
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] or [np.zeros(0, np.uint32)])
+        reached = np.cumsum(self.bytes_of[flat])
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        stop = np.searchsorted(reached, ends) + 1
+        if len(units) and (stop[-1] != len(flat) or np.any(reached[stop - 1] != ends)):
+            return self._singly(units)
+        return np.diff(stop, prepend=0), flat
+
+    def _add(self, keys: np.ndarray, units: list[bytes]) -> None:
+        """Remember units by their keys, both in the order of the keys."""
+        word = np.fromiter((len(u) > 1 and u[0] == 32 and u[1] > 32 for u in units), bool, len(units))
+        lengths = np.zeros(len(units), np.int64)
+        firsts = np.zeros(len(units), np.int64)
+        for rows, encode in ((np.flatnonzero(word), self._together), (np.flatnonzero(~word), self._singly)):
+            lengths[rows], flat = encode([units[i] for i in rows.tolist()])
+            firsts[rows] = self.used + np.cumsum(lengths[rows]) - lengths[rows]
+            while self.used + len(flat) > len(self.store):
+                self.store = np.concatenate((self.store, np.zeros_like(self.store)))
+            self.store[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.firsts, self.lengths = np.insert(self.keys, at, keys), np.insert(self.firsts, at, firsts), np.insert(self.lengths, at, lengths)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, without special tokens."""
-        whole = {i: t.decode("utf-8", "replace") for i, t in enumerate(texts) if _OTHER_SPACE.search(t.decode("utf-8", "replace"))}
+        whole = {i: u for i, t in enumerate(texts) if self.whole.search(u := t.decode("utf-8", "replace"))}
         texts = [b"" if i in whole else t for i, t in enumerate(texts)]
         words = Words(texts)
         data = words.data
@@ -98,20 +127,20 @@ class Encoder:
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * _power_table(_MULTIPLIER, n))))
         keys = mix((total[stops] - total[starts]) * _power_table(_INVERSE, n)[starts]) if len(starts) else np.zeros(0, np.uint64)
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > CACHE_UNITS:
+        if self.keys.nbytes + self.firsts.nbytes + self.lengths.nbytes + self.store.nbytes > CACHE_BYTES:
             self._clear()
-        listed = distinct.tolist()
-        new = [i for i, k in enumerate(listed) if k not in self.known]
+        at = np.searchsorted(self.keys, distinct)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != distinct) if len(self.keys) else np.arange(len(distinct))
         raw = data.tobytes()
-        self._add([listed[i] for i in new], [raw[starts[first[i]] : stops[first[i]]] for i in new])
-        place = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[inverse]
-        lengths = self.lengths[place]
+        self._add(distinct[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
+        place = np.searchsorted(self.keys, distinct)[inverse]
+        lengths = self.lengths[place].astype(np.int64)
         offset = np.concatenate(([0], np.cumsum(lengths)))
         flat = self.store[np.repeat(self.firsts[place] - offset[:-1], lengths) + np.arange(offset[-1])]
         cut = offset[np.searchsorted(starts, bounds)]
         out = [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        for i, t in whole.items():
-            out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+        for i, text in whole.items():
+            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return out
 
 
@@ -206,7 +235,7 @@ def _pack(path: str, capacity: int, end_id: int):
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for first, raw in encoded_blocks(batch.column("text")):
+            for first, raw in encoded_blocks(batch.column("text"), TEXT_BYTES):
                 out: list[tuple] = []
                 for i, tokens in enumerate(encoder(path).encode(raw), first):
                     tokens = np.append(tokens, np.uint32(end_id)).astype(np.uint32)
@@ -232,5 +261,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     ids are packed row by row; other columns are ignored; an empty table gives no pieces.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = docs.mapInArrow(_pack(tokenizer_path, capacity, end_id), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    pieces = mapped(docs, _pack(tokenizer_path, capacity, end_id), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
     return pieces.select("doc_id", "start", F.expr("cast(length(ids) div 4 as long)").alias("length"), "ids", "doc_tokens", "sequence_id", "offset")
