@@ -5,11 +5,14 @@ own words, the excess going to the others by weight.  Slots of equal length are
 given to sources by golden-ratio points mapped through the cumulative targets, so
 every stretch of the schedule is close to the target mix.  The r-th slot of a
 source takes the r-th block of words of that source's shuffled documents, running
-through them again when they end.
+through them again when they end; what a document gives to the mix, and where, is read off
+the slots that its words fall into.  A source that the schedule has given fewer slots than
+its target fills has the last ones after the end of the schedule.
 
 Everything is DataFrame code.  Running totals inside a source are taken over hash
 ranges of bounded size and then over the ranges, so a source that holds a third of
-all rows is spread over many tasks.
+all rows is spread over many tasks.  Only tables with one row per source go through
+one task.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from lodeframe.llm.words import WORD_PATTERN
 GOLDEN = 1327217885
 _UNIT = 1 << 31
 #: Documents or slots of one source that one task ranks.
-RANGE_ROWS = 4_000
+RANGE_ROWS = 1_000
 #: A slot is at most so many words; in small inputs a source gets about so many slots at least.
 SLOT_WORDS = 256
-SLOTS_PER_SOURCE = 256
+SLOTS_PER_SOURCE = 4096
 
 
 def word_count(column: str) -> F.Column:
@@ -79,77 +82,104 @@ def slot_schedule(targets: DataFrame, slot_words: int, total_words: int) -> Data
     """Rows ``(source, rank, slot)``: which slots a source gets, in order.
 
     Slot i lies at the fractional part of i golden ratios on a line that the
-    targets divide.  A source keeps its first ceil(target / slot_words) slots; where the
-    schedule gave it fewer, the missing ones follow at the end (slot null).
+    targets divide, for every i below ceil(total / slot_words).  A source keeps its first
+    ceil(target / slot_words) slots.  Where the schedule gave it fewer, the missing ones
+    follow after the schedule, by rank and then by source.
     """
     spark = targets.sparkSession
     ordered = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     ends = F.sum("target").over(ordered)
     whole = F.sum("target").over(Window.partitionBy(F.lit(0)))
-    bounds = targets.select("source", "target", F.round(ends / whole * _UNIT).cast("long").alias("to"))
+    bounds = targets.select("source", "target", F.round(ends / whole * _UNIT).cast("long").alias("to"), (F.row_number().over(ordered) - 1).alias("turn"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("sources"))
     bounds = bounds.select("*", F.coalesce(F.lag("to").over(ordered), F.lit(0)).alias("from")).where("target > 0")
     need = F.ceil(F.col("target") / slot_words)
-    n = -(-total_words // slot_words) + 64
+    n = -(-total_words // slot_words)
     # points meet sources by equal strips of the line, so neither side is broadcast
     strips = 1024
     strip = _UNIT // strips
     areas = bounds.where("to > from").withColumn("strip", F.explode(F.expr(f"sequence(from div {strip}, (to - 1) div {strip})")))
     points = spark.range(n).select(F.col("id").alias("slot"), F.expr(f"pmod((id % {_UNIT}) * {GOLDEN}L, {_UNIT}L)").alias("point"))
     points = points.withColumn("strip", F.expr(f"point div {strip}"))
-    slots = points.join(areas, "strip").where("point >= from and point < to").select("source", "slot", F.expr(f"slot div {RANGE_ROWS * 4}").alias("part"), F.lit(1).alias("one"))
+    slots = points.join(areas, "strip").where("point >= from and point < to").select("source", "slot", F.expr(f"slot div {RANGE_ROWS * 16}").alias("part"), F.lit(1).alias("one"))
     ranked = _before(slots, ["source"], "part", ["slot"], "one", "rank")
-    wanted = bounds.select("source", need.alias("need"))
+    wanted = bounds.select("source", need.alias("need"), "turn", "sources")
     given = _same(ranked.select("source", "slot", "rank"), wanted, ["source"]).where("rank < need").select("source", "rank", "slot")
     count = slots.groupBy("source").agg(F.count("*").alias("given"))
     short = wanted.join(count.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("given", F.coalesce("given", F.lit(0)))
-    missing = short.where("given < need").select("source", F.explode(F.expr("sequence(given, need - 1)")).alias("rank"), F.lit(None).cast("long").alias("slot"))
-    return given.unionByName(missing)
+    missing = short.where("given < need").withColumn("rank", F.explode(F.expr("sequence(given, need - 1)")))
+    return given.unionByName(missing.select("source", "rank", F.expr(f"{n} + rank * sources + turn").alias("slot")))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` with one row per input row.
+def scheduled_turns(docs: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(row, doc_id, source, size, source_size, target, ...)`` of ``docs`` (doc_id, source, text) and what the mix takes of them.
 
-    ``size`` counts the words of a text (null: 0), ``target`` is the share of its source and
-    ``taken`` the words that the mix takes of the document, repeats counted: a
-    source's taken words are its target rounded down, and no document exceeds
-    ``most`` times its size.  Documents are shuffled by a hash of their id, so runs agree.
-    A null source is a source of its own, after all others.  Empty texts and empty
-    tables give zeros; rows that share an id are taken separately.  Other columns are
-    ignored.
+    The second table has a row ``(row, turn, words, first_slot, last_slot)`` for every time that
+    the schedule runs over a document.  Documents are shuffled by a hash of their id;
+    rows that tie in it are ordered by size and a hash of their text, and beyond
+    that are alike in all that counts here.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
-    rows = stored(rows.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    targets = stored(source_targets(sizes.drop("n"), weights, most))
+    rows = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("hash"))
+    rows = stored(rows)
+    n_rows = rows.count()
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = stored(source_targets(sizes, weights, most))
     total, n = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
-    plain = _same(rows, targets, ["source"])
-    if not total:
-        return plain.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    slot_words = max(1, min(SLOT_WORDS, total // n // SLOTS_PER_SOURCE))
+    slot_words = max(1, min(SLOT_WORDS, total // max(1, n) // SLOTS_PER_SOURCE))
     # at most so many hash ranges, each a bounded number of rows on average
-    ranges = max(1, -(-rows.count() // RANGE_ROWS))
-    placed = rows.where("size > 0").withColumn("part", F.expr(f"cast(conv(substring(hash, 1, 8), 16, 10) as long) * {ranges} div {1 << 32}"))
-    placed = _before(placed, ["source"], "part", ["hash", "doc_id"], "size", "at")
-    placed = _same(placed, targets, ["source"])
+    ranges = max(1, -(-n_rows // RANGE_ROWS))
+    placed = rows.withColumn("part", F.expr(f"cast(conv(substring(hash, 1, 8), 16, 10) as long) * {ranges} div {1 << 32}"))
+    placed = _before(placed, ["source"], "part", ["hash", "doc_id", "size", "text_hash"], "size", "at")
+    placed = stored(_same(placed, targets, ["source"]).withColumn("row", F.monotonically_increasing_id()).drop("part", "hash"))
     # the source's words as often as the target reaches, cut into blocks
-    turns = placed.withColumn("turn", F.explode(F.expr(f"sequence(0L, {most - 1}L)"))).withColumn("from", F.expr("turn * source_size + at"))
+    turns = placed.where("size > 0").withColumn("turn", F.explode(F.expr(f"sequence(0L, {most - 1}L)"))).withColumn("from", F.expr("turn * source_size + at"))
     turns = turns.withColumn("to", F.expr("least(from + size, cast(floor(target) as long))")).where("from < to")
     pieces = turns.withColumn("rank", F.explode(F.expr(f"sequence(from div {slot_words}, (to - 1) div {slot_words})")))
     pieces = pieces.withColumn("words", F.expr(f"least(to, (rank + 1) * {slot_words}) - greatest(from, rank * {slot_words})"))
-    slots = slot_schedule(targets, slot_words, total).select("source", "rank")
-    taken = _same(pieces.select("doc_id", "source", "at", "rank", "words"), slots, ["source", "rank"]).groupBy("source", "at").agg(F.sum("words").alias("taken"))
-    full = placed.alias("p").join(taken.select(F.col("source").alias("__source"), F.col("at").alias("__at"), "taken"), F.expr("source <=> __source and at = __at"), "left")
-    full = full.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    empty = plain.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return full.unionByName(empty)
+    slots = slot_schedule(targets, slot_words, total)
+    taken = _same(pieces.select("row", "turn", "source", "rank", "words"), slots, ["source", "rank"])
+    return placed, taken.groupBy("row", "turn").agg(F.sum("words").alias("words"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken, first_slot, last_slot`` with one row per input row.
+
+    ``size`` counts the words of a text (null: 0), ``target`` is the share of its source and
+    ``taken`` the words that the mix takes of the document, repeats counted: a
+    source's taken words are its target rounded down, and no document exceeds
+    ``most`` times its size.  ``first_slot`` and ``last_slot`` are the ends of its places in the
+    schedule, null where nothing is taken.  Documents are shuffled by a hash of their id,
+    so runs agree; rows with one hash are told apart by size and text.  A null source is
+    a source of its own, after all others.  Empty texts and empty tables give zeros;
+    rows that share an id, null ids too, are taken separately.  Other columns are ignored.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    placed, turns = scheduled_turns(docs, weights, most)
+    taken = turns.groupBy("row").agg(F.sum("words").alias("taken"), F.min("first_slot").alias("first_slot"), F.max("last_slot").alias("last_slot"))
+    out = placed.join(taken, "row", "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """``docs`` in the mix: each row as often as its taken words come to whole texts, rounded.
+    """``docs`` in the mix, in the order of the schedule: each row as often as its taken words come to whole texts, rounded.
 
-    Keeps all columns.  Ids are taken to be unique here, as after de-duplication; rows
-    with a null id or no words are not in the mix.
+    Keeps all columns.  A turn that takes half of a text or more gives a copy of the row, at
+    its first slot.  Rows without words take no share and stay once, at the
+    front.  Rows are told apart by id (null is an id), source and text; equal rows are
+    taken equally often.  An empty table stays empty.
     """
-    times = mix_sources(docs, weights, most).where("size > 0").select("doc_id", F.expr("cast((2 * taken + size) div (2 * size) as int)").alias("times")).where("times > 0")
-    copies = times.withColumn("copy", F.explode(F.expr("sequence(1, times)"))).select("doc_id")
-    return docs.join(sized(copies), "doc_id").select(*docs.columns)
+    key = [F.col("doc_id").cast("long").alias("__id"), F.col("source").cast("string").alias("__source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text")]
+    plain = docs.select(key[0].alias("doc_id"), key[1].alias("source"), "text")
+    placed, turns = scheduled_turns(plain, weights, most)
+    copies = placed.where("size > 0").join(turns, "row", "left").withColumn("copy", F.expr("coalesce(2 * words >= size, false)"))
+    at = [F.min(F.when(F.col("copy") & (F.col("turn") == t), F.col("first_slot"))).alias(f"at{t}") for t in range(most)]
+    # equal rows share the copies of all of them
+    copies = copies.groupBy(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("text_hash").alias("__t")).agg(F.count_distinct("row").alias("rows"), F.count_if("copy").alias("copies"), *at)
+    copies = copies.withColumn("times", F.expr("cast((2 * copies + rows) div (2 * rows) as int)")).where("times > 0")
+    slots = F.expr(f"slice(array_sort(array({', '.join(f'at{t}' for t in range(most))})), 1, times)")
+    copies = copies.select("__i", "__s", "__t", F.explode(slots).alias("__slot"))
+    keyed = docs.select("*", *key, word_count("text").alias("__size"))
+    met = (F.col("__id").eqNullSafe(F.col("__i"))) & (F.col("__source").eqNullSafe(F.col("__s"))) & (F.col("__text") == F.col("__t"))
+    names = docs.columns
+    some = keyed.where("__size > 0").join(sized(copies), met).select(*names, "__slot")
+    none = keyed.where("__size = 0").select(*names, F.lit(-1).cast("long").alias("__slot"))
+    return some.unionByName(none).repartitionByRange("__slot").sortWithinPartitions("__slot").select(*names)
