@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import sized, stored
+from lodeframe.llm.frames import discard, mapped, sized, stored
 from lodeframe.llm.words import Words, encoded_blocks, mix, shingle_hashes
 
 #: Perfect difference covers: period -> positions.
@@ -152,8 +152,10 @@ def _windows(window: int):
                 if n <= 0:
                     continue
                 flags = np.zeros(len(hashes) + 1, np.int64)
-                for i in range(len(raw)):
-                    flags[words.doc_first[i] + np.asarray(marks[first + i].values)] = 1
+                for i, length in enumerate(np.diff(words.doc_first).tolist()):
+                    own = np.asarray(marks[first + i].values)
+                    # marks of a longer row that shares the id may lie beyond this one's end
+                    flags[words.doc_first[i] + own[own < length]] = 1
                 total = np.concatenate(([0], np.cumsum(flags)))
                 at = np.arange(n)
                 take = (total[at + period] > total[at]) & (words.doc[:n] == words.doc[window - 1 :])
@@ -260,24 +262,30 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "d
 
     Null and blank texts have no words and an empty ``kept_text``; texts shorter than
     the window keep all.  A row with a null id keeps all its words and makes no other
-    lose any.  Rows that share an id count as one document: equal starts in them are not
-    earlier than each other.  Other columns are ignored.
+    lose any.  Rows that share an id are one document with several texts: a start counts
+    once however many of them have the same words there, and a place removed from one
+    is removed from all that reach so far.  Other columns are ignored; an empty table gives
+    an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.where("doc_id is not null")
-    whole = stored(known.mapInArrow(_whole, "doc_id long, n long, h1 long, h2 long").where(f"n >= {window}"))
-    first = whole.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    whole = stored(mapped(known, _whole, "doc_id long, n long, h1 long, h2 long"))
+    first = whole.where(f"n >= {window}").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
     copies = whole.join(first, ["n", "h1", "h2"]).where("doc_id <> first").select("doc_id").distinct()
-    once = known.join(sized(copies), "doc_id", "left_anti")
-    anchors = once.mapInArrow(_anchors(window), "spread long, key long, doc long, pos int, head boolean, known boolean")
-    again = anchors.repartition("spread").sortWithinPartitions("spread", "key").mapInArrow(_repeated, "doc_id long, pos int")
+    # an id with several rows is not settled as a whole
+    several = whole.groupBy("doc_id").count().where("count > 1")
+    copies = sized(copies.join(several, "doc_id", "left_anti"))
+    once = known.join(copies, "doc_id", "left_anti")
+    anchors = mapped(once, _anchors(window), "spread long, key long, doc long, pos int, head boolean, known boolean")
+    again = mapped(anchors.repartition("spread").sortWithinPartitions("spread", "key"), _repeated, "doc_id long, pos int")
     marks = stored(again.groupBy("doc_id").agg(F.collect_list("pos").alias("marks")))
-    windows = known.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_windows(window), "one long, two long, doc long, stop int")
+    discard(whole)
+    windows = mapped(known.join(marks, "doc_id").select("doc_id", "text", "marks"), _windows(window), "one long, two long, doc long, stop int")
     windows = windows.repartition("one").sortWithinPartitions("one", F.expr("shiftrightunsigned(two, 32)"), "doc", "two")
-    later = windows.mapInArrow(_later, "doc_id long, start int, stop int")
+    later = mapped(windows, _later, "doc_id long, start int, stop int")
     later = later.unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop")))
     cuts = later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cut"))
     all_ = known.join(cuts, "doc_id", "left").select("doc_id", "text", "cut")
     rest = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("cut"))
     schema = "doc_id long, n_words long, n_removed long, removed_spans array<struct<start:int,stop:int>>, kept_text string"
-    return all_.unionByName(rest).mapInArrow(_kept(window), schema)
+    return mapped(all_.unionByName(rest), _kept(window), schema)
