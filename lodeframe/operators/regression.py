@@ -85,7 +85,7 @@ def _betas(rows: DataFrame, names: list[str], keys: list[str], least: int) -> Da
             n, sy, syy = (f[c].to_numpy(float)[at] for c in ("n", "sy", "syy"))
             rest = np.maximum(syy - (b * xy).sum(axis=1), 0.0)
             total = syy - sy * sy / n
-            columns = {"beta": b.tolist(), "inv": inverse.reshape(len(at), -1).tolist(), "sse": rest.tolist(), "r2": [1 - r / t if t > 0 else None for r, t in zip(rest, total, strict=True)]}
+            columns = {"beta": b.tolist(), "inv": inverse.reshape(len(at), k * k).tolist(), "sse": rest.tolist(), "r2": [1 - r / t if t > 0 else None for r, t in zip(rest, total, strict=True)]}
             for name, values in columns.items():
                 column = [None] * len(f)
                 for i, v in zip(at.tolist(), values, strict=True):

@@ -303,9 +303,9 @@ def test_empty_batches_leave_a_readable_table(spark, tmp_path, gaps):
 
 
 def test_short_series_have_no_stability(spark):
-    days = [DAY(2024, 1, 1) + datetime.timedelta(i) for i in range(60)]
+    days = [DAY(2024, 1, 1) + datetime.timedelta(i) for i in range(80)]
     rng = np.random.default_rng(6)
-    rows = panel(spark, [(d, c, float(rng.normal()), None, None) for c, n in ((1, 60), (2, 49)) for d in days[:n]])
+    rows = panel(spark, [(d, c, float(rng.normal()), None, None) for c, n in ((1, 80), (2, 49)) for d in days[:n]])
     got = {r.code: r.asDict() for r in series.stability(rows, "x", ["code"], 12).collect()}
     assert {v for k, v in got[2].items() if k not in ("code", "n")} == {None}
     assert None not in got[1].values()
@@ -315,7 +315,7 @@ def test_short_series_have_no_stability(spark):
     assert got[1]["break_date"] == series.break_scan(one, "x", ["code"]).first().break_date
     spread = series.rolling_stats(one, "x", ["code"], 12).agg(F.stddev_samp("roll_mean"), F.stddev_samp("roll_ir")).first()
     assert (got[1]["roll_mean_std"], got[1]["roll_ir_std"]) == (pytest.approx(spread[0]), pytest.approx(spread[1]))
-    assert series.stability(one, "x", ["code"], 56).first().acf1 is None
+    assert series.stability(one, "x", ["code"], 76).first().acf1 is None
 
 
 def test_filters_and_columns_reach_the_scan(spark, small):
