@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,6 +26,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-lodeframe-")
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary folder only in local mode where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-lodeframe-")
     return f"{base.rstrip('/')}/lodeframe-{uuid.uuid4().hex}"
