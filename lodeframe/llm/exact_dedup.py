@@ -3,8 +3,9 @@
 The normalised text (white space deleted) is read as a polynomial over its bytes,
 evaluated at 256 modulo a 120-bit prime.  A text is hashed in chunks; the hashes
 of two neighbouring pieces combine by shifting the right one by the length of
-the left one, so chunks can be hashed in any order or place and no piece is held
-twice.  Rows with equal fingerprint and length form a group; before a group is
+the left one, so chunks can be hashed in any order or place.  The chunks of a huge
+text become rows that are hashed in parallel, and only their hashes meet again; those of
+other texts are combined where they are read.  Rows with equal fingerprint and length form a group; before a group is
 believed, every member is compared with the group's kept text chunk by chunk.
 """
 
@@ -17,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import pick, sized, stored
+from lodeframe.llm.frames import discard, mapped, pick, sized, stored
 from lodeframe.llm.words import WHITESPACE
 
 PRIME = (1 << 120) - 119
 CHUNK_BYTES = 1 << 16
-#: Code points of one compared chunk.
+#: Code points of one compared chunk, and of one that is hashed as a row.
 COMPARE_CHARS = 1 << 16
+ROW_CHARS = 1 << 18
+#: Texts of more code points are hashed chunk by chunk in parallel.
+HUGE_CHARS = 1 << 20
 _LOW = (1 << 60) - 1
 
 
@@ -45,12 +49,16 @@ def fingerprint(data: bytes, chunk: int = CHUNK_BYTES) -> tuple[int, int]:
     return out
 
 
+def _squeezed(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(None, WHITESPACE)
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         low, high, length, chars, sha = [], [], [], [], []
         for value in batch.column("text"):
             text = value.as_py() or ""
-            raw = text.encode("utf-8", "surrogatepass").translate(None, WHITESPACE)
+            raw = _squeezed(text)
             f, n = fingerprint(raw)
             low.append(f & _LOW)
             high.append(f >> 60)
@@ -61,8 +69,38 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, pa.array(sha, pa.string())], names=["doc_id", "f1", "f2", "n_bytes", "n_chars", "text_sha256"])
 
 
-def _different(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Groups (f1, f2, n_bytes) with a member whose text differs from the kept one, compared chunkwise."""
+def _chunk_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [fingerprint(_squeezed(chunk.as_py())) for chunk in batch.column("chunk")]
+        cols = [pa.array(x, pa.int64()) for x in ([f & _LOW for f, _ in found], [f >> 60 for f, _ in found], [n for _, n in found])]
+        yield pa.RecordBatch.from_arrays([batch.column("huge"), batch.column("no"), *cols], names=["huge", "no", "f1", "f2", "n_bytes"])
+
+
+def _combined(chunks: pa.Table) -> pa.Table:
+    """The fingerprint of a text from those of its chunks."""
+    whole = (0, 0)
+    for row in chunks.sort_by("no").to_pylist():
+        whole = combine(whole, (row["f1"] | row["f2"] << 60, row["n_bytes"]))
+    values = (chunks.column("huge")[0].as_py(), whole[0] & _LOW, whole[0] >> 60, whole[1])
+    return pa.table({k: pa.array([v], pa.int64()) for k, v in zip(("huge", "f1", "f2", "n_bytes"), values, strict=True)})
+
+
+def text_digests(docs: DataFrame) -> DataFrame:
+    """``doc_id, f1, f2, n_bytes, n_chars, text_sha256`` of every row of ``docs`` (doc_id, text)."""
+    long_ = F.coalesce(F.length("text"), F.lit(0)) > HUGE_CHARS
+    small = mapped(docs.where(~long_), _digests, "doc_id long, f1 long, f2 long, n_bytes long, n_chars long, text_sha256 string")
+    huge = stored(docs.where(long_).withColumn("huge", F.monotonically_increasing_id()))
+    cut = F.expr(f"transform(sequence(0, cast((length(text) - 1) div {ROW_CHARS} as int)), i -> substring(text, i * {ROW_CHARS} + 1, {ROW_CHARS}))")
+    chunks = huge.select("huge", F.posexplode(cut).alias("no", "chunk")).repartition("huge", "no")
+    hashed = mapped(chunks, _chunk_digests, "huge long, no int, f1 long, f2 long, n_bytes long")
+    whole = hashed.groupBy("huge").applyInArrow(_combined, "huge long, f1 long, f2 long, n_bytes long")
+    sha = F.sha2(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), 256)
+    rows = huge.select("doc_id", "huge", F.length("text").cast("long").alias("n_chars"), sha.alias("text_sha256"))
+    return small.unionByName(rows.join(whole, "huge").select(*small.columns))
+
+
+def _different(docs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups (f1, f2, n_bytes) with a member whose text differs from the kept one, compared chunkwise; and the stored chunks."""
     texts = pick(docs, members.select("doc_id"))
     squeezed = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")
     pieces = texts.select("doc_id", squeezed.alias("t")).join(members, "doc_id")
@@ -70,7 +108,7 @@ def _different(docs: DataFrame, members: DataFrame) -> DataFrame:
     chunks = stored(pieces.select("keep_row", "row", "f1", "f2", "n_bytes", F.posexplode(cut).alias("no", "chunk")))
     kept = chunks.where("row = keep_row").select("keep_row", "no", F.col("chunk").alias("kept_chunk")).distinct()
     other = chunks.where("row <> keep_row")
-    return other.join(kept, ["keep_row", "no"], "left").where("not (chunk <=> kept_chunk)").select("f1", "f2", "n_bytes").distinct()
+    return other.join(kept, ["keep_row", "no"], "left").where("not (chunk <=> kept_chunk)").select("f1", "f2", "n_bytes").distinct(), chunks
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,8 +121,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     normalised text.  Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = docs.mapInArrow(_digests, "doc_id long, f1 long, f2 long, n_bytes long, n_chars long, text_sha256 string")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
+    rows = stored(text_digests(docs).withColumn("row", F.monotonically_increasing_id()))
     key = ["f1", "f2", "n_bytes"]
 
     def groups(df: DataFrame, by: list[str]) -> DataFrame:
@@ -97,7 +134,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     several = found.where("group_size > 1")
     members = rows.where("doc_id is not null").join(several, key).select("doc_id", "row", "keep_row", *key)
     members = stored(members)
-    apart = stored(_different(docs, members).unionByName(several.where("unlike").select(*key)).distinct())
+    different, chunks = _different(docs, members)
+    apart = stored(different.unionByName(several.where("unlike").select(*key)).distinct())
+    discard(chunks, members)
     if not apart.isEmpty():
         rows = rows.join(apart.withColumn("split", F.lit(True)), key, "left").withColumn("sub", F.when(F.col("split"), F.col("text_sha256")).otherwise(""))
         key = [*key, "sub"]

@@ -53,7 +53,7 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame, shuffles: bool = True) -> None:
     """Delete stored tables that nothing reads any more, and the shuffle files of steps that have ended.
 
     Spark removes shuffle files once the driver has collected the plans that made them.
@@ -62,8 +62,9 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    if tables and shuffles:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def _width(field) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import stored
+from lodeframe.llm.frames import discard, stored
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -21,29 +21,35 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     pair = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     pair = pair.where("a is not null and b is not null and a <> b")
     pair = stored(pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
+    labels = base = None
     while not pair.isEmpty():
         both = pair.unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
-        parent = stored(parent.select("node", F.least("node", "up").alias("up")))
+        table = stored(parent.select("node", F.least("node", "up").alias("up")))
         while True:
             # pointer doubling: up <- up(up)
+            parent = table.select("node", "up")
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
             jumped = stored(parent.join(above, "up").select("node", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")))
-            parent = jumped.select("node", "up")
-            if jumped.where("moved").isEmpty():
+            discard(table, shuffles=False)
+            table = jumped
+            if table.where("moved").isEmpty():
                 break
-        root = parent
-        if labels is None:
-            labels = root.select("node", F.col("up").alias("component"))
-        else:
-            step = root.select(F.col("node").alias("component"), "up")
-            labels = labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-            labels = stored(labels)
+        root = table.select("node", "up")
         left = root.select(F.col("node").alias("a"), F.col("up").alias("ra"))
         right = root.select(F.col("node").alias("b"), F.col("up").alias("rb"))
-        pair = pair.join(left, "a").join(right, "b").where("ra <> rb")
-        pair = stored(pair.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        rest = pair.join(left, "a").join(right, "b").where("ra <> rb")
+        rest = stored(rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        discard(pair, shuffles=False)
+        pair = rest
+        if labels is None:
+            labels, base = root.select("node", F.col("up").alias("component")), table
+            continue
+        step = root.select(F.col("node").alias("component"), "up")
+        labels = stored(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        discard(base, table, shuffles=False)
+        base = labels
     if labels is None:
-        labels = pair.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return pair.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    discard(pair, shuffles=False)
     return labels

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.frames import mapped
 from lodeframe.llm.quality import held_out
 
 DIMENSIONS = 1024
@@ -127,7 +128,7 @@ def predict_languages(docs: DataFrame, names: list[str], prototypes: np.ndarray,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return mapped(rows, run, "doc_id long, lang_pred string, score double")
 
 
 def languages_of(docs: DataFrame) -> DataFrame:
