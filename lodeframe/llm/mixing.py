@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import sized, stored
+from lodeframe.llm.frames import discard, sized, stored
 from lodeframe.llm.words import WORD_PATTERN
 
 #: Fractional part of the golden ratio, in units of 2**-31 (nearest odd number).
@@ -130,6 +130,7 @@ def scheduled_turns(docs: DataFrame, weights: tuple[int, ...], most: int) -> tup
     placed = rows.withColumn("part", F.expr(f"cast(conv(substring(hash, 1, 8), 16, 10) as long) * {ranges} div {1 << 32}"))
     placed = _before(placed, ["source"], "part", ["hash", "doc_id", "size", "text_hash"], "size", "at")
     placed = stored(_same(placed, targets, ["source"]).withColumn("row", F.monotonically_increasing_id()).drop("part", "hash"))
+    discard(rows)
     # the source's words as often as the target reaches, cut into blocks
     turns = placed.where("size > 0").withColumn("turn", F.explode(F.expr(f"sequence(0L, {most - 1}L)"))).withColumn("from", F.expr("turn * source_size + at"))
     turns = turns.withColumn("to", F.expr("least(from + size, cast(floor(target) as long))")).where("from < to")
