@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written
 as Parquet and read again as the next stage's documents.  All but the last return
 the columns of ``documents``.  Null or empty texts pass every filter that does not
-reject them and are packed as a lone end id; an empty table passes through; extra
-columns stay.
+reject them, stay once in the mix and are packed as a lone end id; null ids are never
+near copies of others; rows are told apart by id, source and text where they are mixed; an
+empty table passes through; extra columns stay.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops whole documents until each source has its target share."""
+    """Repeats or drops whole documents until each source has its target share, in the order of the schedule."""
     return mixed_documents(docs)
 
 
@@ -53,7 +54,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: SQL cannot express the classifier and the tokenizer; tests compare with a brute-force version.
+#: SQL cannot express the classifier and the tokenizer; tests compare every stage with a brute-force version.
 ORACLE_SQL = None
 
 
