@@ -1,136 +1,113 @@
 """Dropping lines whose log template recurs across documents.
 
-A line descends a tree of fixed depth: first by its number of words, then by its
-leading words, in which words with digits count as a variable field.  A leaf's
-template is its most frequent line (variable fields masked); a line of the leaf that
-agrees with it in enough words, one of them beyond the leading words that the leaf
-fixes, belongs to the template, and the words that differ are further variable fields.
-The lines left over form further templates, until no line of the leaf that is left
-can stand for one.  Lines whose masked form or template occurs in enough documents are
-dropped.
-
-Everything is DataFrame code.  Only hashes are shuffled to count; texts meet the
-leaves that recur, which are few, and the list of dropped lines.
+A line descends a tree of fixed depth: first by its number of words, then by its leading
+words, in which words with digits count as a variable field.  In its leaf, a word
+beyond the leading ones stays a constant if it occurs at its place in enough documents; the
+others are variable fields too.  The constants that are left are the line's template, and
+a leaf has as many templates as its lines show.  A template that is constant enough, in
+one word at least beyond the leading ones, and occurs in enough documents is dropped with
+all its lines.  So are the lines that agree with a leaf's most frequent line in
+enough words, if they are in enough documents together.
+
+Everything is DataFrame code in a fixed number of aggregations.  Only hashes are shuffled
+to find the leaves that recur; texts meet the list of dropped lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import sized, stored
+from lodeframe.llm.frames import discard, sized, stored
 
 #: Words that lead to a leaf.
 DEPTH = 3
 #: Documents in which a template must occur to be dropped.
 MIN_DOCS = 5
-#: Share of equal words, in percent, that joins a line to its leaf's template.
+#: Share of constant words, in percent, of a template that is dropped.
 SIMILARITY = 60
-#: Leaves and forms are broadcast up to this many.
-LEAVES = 100_000
 FIELD = "<*>"
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Words with a digit, tried only where a word begins and without stepping back.
 _FIELDS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
+def _hash(c: Column) -> Column:
+    """md5 in 16 bytes; known not to be null, or joins on it would compute it twice to make sure."""
+    return F.coalesce(F.unhex(F.md5(c)), F.lit(b""))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, no, words, leaf, form)`` of every line that has words; leaf and form are md5."""
+    """``(doc, text_key, no, words, leaf)`` of every line that has words; words with digits are fields."""
     # hashed and split below the explosion, which otherwise hashes the whole text for every line
-    whole = docs.select("doc_id", F.md5("text").alias("text_key"), F.split("text", "\n").alias("lines"))
-    lines = whole.select("doc_id", "text_key", F.posexplode("lines").alias("no", "line"))
+    whole = docs.select(F.col("doc_id").alias("doc"), _hash("text").alias("text_key"), F.split("text", "\n").alias("lines"))
+    white = F.lit(" \t\n\x0b\f\r")
+    # the outer form, as the other first splits every text again to leave out those without lines, and there are none
+    lines = whole.select("doc", "text_key", F.posexplode_outer("lines").alias("no", "line")).where(F.btrim("line", white) != "")
     digits = F.col("line").rlike("[0-9]")
     masked = F.when(digits, F.regexp_replace("line", _FIELDS, FIELD)).otherwise(F.col("line"))
-    trimmed = lines.select("doc_id", "text_key", "no", F.btrim(masked, F.lit(" \t\n\x0b\f\r")).alias("line")).where("line <> ''")
-    rows = trimmed.select("doc_id", "text_key", "no", F.split("line", _SPACE).alias("words"))
-    leaf = F.md5(F.concat_ws(" ", F.size("words").cast("string"), F.slice("words", 1, DEPTH)))
-    return rows.select("doc_id", "text_key", "no", "words", leaf.alias("leaf"), F.md5(F.array_join("words", " ")).alias("form"))
+    trimmed = lines.select("doc", "text_key", "no", F.btrim(masked, white).alias("line"))
+    rows = trimmed.select("doc", "text_key", "no", F.split("line", _SPACE).alias("words"))
+    leaf = _hash(F.concat_ws(" ", F.size("words").cast("string"), F.slice("words", 1, DEPTH)))
+    return rows.select("doc", "text_key", "no", "words", leaf.alias("leaf"))
 
 
-def _agrees(words: str, template: str, similarity: int) -> F.Column:
+def _agrees(words: str, template: str, similarity: int) -> Column:
     """Enough equal words; the leading words, equal in a whole leaf, are not enough by themselves."""
     agree = F.size(F.filter(F.zip_with(words, template, lambda a, b: a == b), lambda x: x))
     return (100 * agree >= similarity * F.size(words)) & ((F.size(words) <= DEPTH) | (agree > DEPTH))
 
 
-def _document() -> F.Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc")
-
-
-def further_forms(rest: DataFrame, min_docs: int, similarity: int) -> DataFrame:
-    """``leaf, form`` of the lines ``(doc_id, leaf, form, words)`` that belong to further templates of their leaf.
-
-    Forms stand for a template in the order of their documents, then of their md5; a
-    template is one whose lines are in enough documents, and takes them away from those after
-    it.  A round takes all forms that come first among the forms with which they share a
-    word beyond the leading ones, so forms that share none do not wait for each other.
-    """
-    spark = rest.sparkSession
-    seen = stored(rest.select("leaf", "form", _document()).distinct())
-    # leaves whose remaining lines are in too few documents have no further template
-    several = seen.groupBy("leaf").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    forms = rest.where(F.size("words") > DEPTH).join(sized(several, LEAVES), "leaf", "left_semi").groupBy("leaf", "form").agg(F.first("words").alias("words"))
-    docs = seen.groupBy("leaf", "form").agg(F.count("*").alias("docs"))
-    left = stored(forms.join(docs, ["leaf", "form"]).withColumn("tried", F.lit(False)))
-    key, at = ["leaf", "form"], ["leaf", "place", "word"]
-    # equal words that agreement needs beyond the leading ones
-    need = F.greatest(F.lit(1), F.ceil(F.size("words") * similarity / 100) - DEPTH).cast("int")
-    found = spark.createDataFrame([], "leaf string, form string")
-    while True:
-        places = left.select(*key, "docs", "tried", F.size("words").alias("n"), need.alias("need"), F.posexplode(F.expr(f"slice(words, {DEPTH + 1}, size(words))")).alias("place", "word"))
-        places = stored(places)
-        shared = places.groupBy(*at).agg(F.sum("docs").alias("all"))
-        # a line that agrees shares a place outside the need - 1 most shared ones, which bounds their documents
-        excess = places.where("not tried").join(shared, at).groupBy(*key, "docs", "n", "need").agg(F.sort_array(F.collect_list(F.expr("all - docs")), False).alias("excess"))
-        able = excess.where(F.expr(f"docs + aggregate(slice(excess, need, n), 0L, (a, b) -> a + b) >= {min_docs}")).select(*key)
-        able = stored(places.join(able, key, "left_semi").select(*key, *at[1:], F.struct("docs", F.translate("form", "0123456789abcdef", "fedcba9876543210").alias("r")).alias("rank")))
-        if able.isEmpty():
-            return found
-        first = able.groupBy(*at).agg(F.max("rank").alias("first"))
-        chosen = able.join(first, at).groupBy(*key).agg(F.min(F.expr("rank = first")).alias("chosen")).where("chosen").select(*key)
-        chosen = stored(chosen)
-        own = places.join(chosen, key, "left_semi").select(*at, F.col("form").alias("by"))
-        near = places.select(*key, *at[1:]).join(own, at).select(*key, "by").distinct()
-        templates = left.select("leaf", F.col("form").alias("by"), F.col("words").alias("template"))
-        near = near.join(left.select(*key, "words"), key).join(templates, ["leaf", "by"]).where(_agrees("words", "template", similarity)).select(*key, "by")
-        near = stored(near)
-        enough = near.join(seen, key).groupBy("leaf", "by").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs)
-        gone = stored(near.join(enough, ["leaf", "by"], "left_semi").select(*key).distinct())
-        found = found.unionByName(gone)
-        tried = left.join(gone, key, "left_anti").join(chosen.withColumn("now", F.lit(True)), key, "left")
-        left = stored(tried.select(*key, "words", "docs", (F.col("tried") | F.col("now").isNotNull()).alias("tried")))
+def _recurring(rows: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """The keys that occur in enough documents."""
+    return rows.select(*keys, "doc").distinct().groupBy(*keys).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select(*keys)
+
+
+def dropped_forms(once: DataFrame, min_docs: int, similarity: int) -> DataFrame:
+    """``leaf, form`` of the lines to drop, from ``(doc, leaf, form, words)`` with each form once per document."""
+    key = ["leaf", "form"]
+    forms = stored(once.groupBy(*key).agg(F.first("words").alias("words"), F.count("*").alias("docs")))
+    # lines like the most frequent one of their leaf
+    best = forms.groupBy("leaf").agg(F.max(F.struct("docs", "form", F.col("words").alias("template"))).alias("b")).select("leaf", "b.template")
+    alike = stored(forms.join(sized(best), "leaf").where(_agrees("words", "template", similarity)).select(*key))
+    by_best = alike.join(sized(_recurring(once.join(alike, key, "left_semi"), ["leaf"], min_docs)), "leaf", "left_semi")
+    # lines whose constants recur
+    def places(rows: DataFrame, *columns: object) -> DataFrame:
+        """Words beyond the leading ones; ``at`` stands for (leaf, place, word)."""
+        rows = rows.select("leaf", *columns, F.posexplode("words").alias("place", "word")).where(f"place >= {DEPTH}")
+        return rows.withColumn("at", F.xxhash64("leaf", "place", "word"))
+
+    common = sized(_recurring(places(once, "doc"), ["at"], min_docs))
+    constant = places(forms, "form", F.size("words").alias("n")).join(common, "at", "left_semi")
+    templates = constant.groupBy(*key, "n").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("kept"))
+    name = _hash(F.array_join(F.transform("kept", lambda k: F.concat_ws(" ", k["place"].cast("string"), k["word"])), " "))
+    templates = stored(templates.where(100 * (F.size("kept") + DEPTH) >= similarity * F.col("n")).select(*key, name.alias("template")))
+    recurring = sized(_recurring(once.join(templates, key), ["leaf", "template"], min_docs))
+    by_template = templates.join(recurring, ["leaf", "template"], "left_semi").select(*key)
+    short = forms.where((F.size("words") <= DEPTH) & (F.col("docs") >= min_docs)).select(*key)
+    return by_best.unionByName(by_template).unionByName(short).distinct()
 
 
 def drop_template_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_text`` with one row per input row.
 
-    Lines are parted by line feeds; a line without words is never dropped.  Null and
-    empty texts have no lines and an empty ``kept_text``.  Documents are told apart by id,
-    null ids counting as one document; equal rows get equal results.  Ties for a leaf's
-    template go to the smaller md5 of the line.  Other columns are ignored.
+    Lines are parted by line feeds; a line without words, or of words with digits only, is
+    never dropped.  Null and empty texts have no lines and an empty ``kept_text``.
+    Documents are told apart by id, null ids counting as one document; equal rows get
+    equal results.  Of a leaf's most frequent lines the one with the largest md5 stands for
+    the others.  Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = line_table(docs.where("text <> ''"))
-    hashed = stored(lines.drop("words"))
-    # distinct documents of each form, then of each leaf
-    once = hashed.select("leaf", "form", _document()).distinct()
-    forms = stored(once.groupBy("leaf", "form").agg(F.count("*").alias("docs")))
-    leaves = forms.groupBy("leaf").agg(F.sum("docs").alias("most"), F.max(F.struct("docs", F.translate("form", "0123456789abcdef", "fedcba9876543210").alias("r"))).alias("best"))
-    recurring = leaves.where(F.col("most") >= min_docs).select("leaf", F.translate("best.r", "fedcba9876543210", "0123456789abcdef").alias("best"))
     # only lines of recurring leaves are needed as words
-    open_ = stored(lines.join(sized(recurring, LEAVES), "leaf"))
-    texts = open_.where("form = best").groupBy("leaf").agg(F.first("words").alias("template"))
-    matched = open_.join(sized(texts, LEAVES), "leaf").where(_agrees("words", "template", similarity))
-    matched = stored(matched.select("doc_id", "text_key", "no", "leaf", "form"))
-    by_template = matched.select("leaf", _document()).distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    by_template = matched.join(sized(by_template.select("leaf"), LEAVES), "leaf", "left_semi")
-    rest = open_.join(sized(by_template.select("leaf", "form").distinct(), LEAVES), ["leaf", "form"], "left_anti")
-    more = further_forms(rest.select("doc_id", "leaf", "form", "words"), min_docs, similarity)
-    recurring_forms = forms.where(F.col("docs") >= min_docs).select("leaf", "form").unionByName(more).distinct()
-    dropped = by_template.select("text_key", "no")
-    literal = hashed.join(sized(recurring_forms, LEAVES), ["leaf", "form"], "left_semi").select("text_key", "no")
-    cut = dropped.unionByName(literal).groupBy("text_key").agg(F.collect_set("no").alias("cut"))
-    rows = docs.withColumn("text_key", F.md5("text")).join(cut, "text_key", "left")
+    open_ = stored(lines.join(sized(_recurring(lines, ["leaf"], min_docs)), "leaf", "left_semi"))
+    formed = open_.where(F.exists("words", lambda w: w != FIELD)).withColumn("form", _hash(F.array_join("words", " ")))
+    once = stored(formed.groupBy("leaf", "form", "doc").agg(F.first("words").alias("words")))
+    gone = sized(dropped_forms(once, min_docs, similarity))
+    cut = formed.join(gone, ["leaf", "form"], "left_semi").select("text_key", "no").distinct().groupBy("text_key").agg(F.collect_list("no").alias("cut"))
+    cut = sized(cut)
+    discard(open_, once)
+    rows = docs.withColumn("text_key", _hash("text")).join(cut, "text_key", "left")
     rows = rows.withColumn("lines", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n")))
     # positions by set difference, so that long texts with many dropped lines stay linear
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "cut")

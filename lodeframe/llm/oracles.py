@@ -50,14 +50,31 @@ f AS (SELECT place, CAST(rest_words AS DOUBLE) / CAST(rest_weight AS DOUBLE) AS
 g AS (
   SELECT source, CAST(source_size AS BIGINT) AS source_size, CASE WHEN f.place IS NULL OR u.place < f.place THEN CAST(lim AS DOUBLE) ELSE weight * rate END AS target
   FROM u LEFT JOIN f ON true),
+z AS (SELECT CAST(greatest(1, least(256, sum(source_size) // count(*) // 4096)) AS BIGINT) AS width, CAST(sum(source_size) AS BIGINT) AS total, count(*) AS sources FROM g),
+e AS (
+  SELECT *, CAST(round(sum(target) OVER w / sum(target) OVER () * 2147483648) AS BIGINT) AS hi, row_number() OVER w - 1 AS turn
+  FROM g WINDOW w AS (ORDER BY source NULLS LAST)),
+b AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0) AS lo, CAST(ceil(target / width) AS BIGINT) AS need FROM e, z),
+point AS (SELECT i AS slot, ((i % 2147483648) * 1327217885) % 2147483648 AS x FROM (SELECT unnest(range(CAST(ceil(total / width) AS BIGINT))) AS i FROM z) AS q),
+given AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM point JOIN b ON x >= lo AND x < hi),
+n AS (SELECT source, count(*) AS given FROM given GROUP BY 1),
+missing AS (
+  SELECT b.source, unnest(range(coalesce(given, 0), need)) AS rank, CAST(ceil(total / width) AS BIGINT) AS start, sources, turn
+  FROM b LEFT JOIN n ON n.source IS NOT DISTINCT FROM b.source WHERE coalesce(given, 0) < need),
+slots AS (
+  SELECT given.source, rank, slot FROM given JOIN b ON b.source IS NOT DISTINCT FROM given.source WHERE rank < need
+  UNION ALL SELECT source, rank, start + rank * sources + turn FROM missing),
 p AS (
   SELECT d.doc_id, d.source, size, source_size, target,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-  FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source)
-SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(a + size, floor(target)) - a) + greatest(0, least(source_size + a + size, floor(target)) - source_size - a)
-            + greatest(0, least(2 * source_size + a + size, floor(target)) - 2 * source_size - a) AS BIGINT) AS taken
-FROM p
+  FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source),
+v AS (SELECT p.*, k * source_size + a AS f1, least(k * source_size + a + size, CAST(floor(target) AS BIGINT)) AS f2 FROM p, (SELECT unnest([0, 1, 2]) AS k) AS x),
+c AS (SELECT doc_id, source, f1, f2, width, unnest(range(CAST(f1 // width AS BIGINT), CAST((f2 - 1) // width AS BIGINT) + 1)) AS rank FROM v, z WHERE f1 < f2),
+m AS (
+  SELECT c.doc_id, c.source, sum(least(f2, (c.rank + 1) * width) - greatest(f1, c.rank * width)) AS taken, min(slot) AS first_slot, max(slot) AS last_slot
+  FROM c JOIN slots ON slots.source IS NOT DISTINCT FROM c.source AND slots.rank = c.rank GROUP BY 1, 2)
+SELECT p.doc_id, p.source, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_slot, last_slot
+FROM p LEFT JOIN m ON m.doc_id = p.doc_id AND m.source IS NOT DISTINCT FROM p.source
 """
 
 _OP6 = r"""
@@ -96,20 +113,26 @@ l AS (
   FROM (SELECT *, string_split(m, ' ') AS w
         FROM (SELECT *, trim(regexp_replace(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS m
               FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM d WHERE text <> '') AS x) AS y) AS z),
-f AS (SELECT leaf, form, count(DISTINCT doc_id) AS docs, any_value(w) AS w FROM l WHERE w <> [''] GROUP BY 1, 2),
-t AS (
-  SELECT leaf, w AS template FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY docs DESC, form) AS k, sum(docs) OVER (PARTITION BY leaf) AS most FROM f) AS x
-  WHERE k = 1 AND most >= 5),
-m AS (
-  SELECT l.doc_id, l.no, l.leaf FROM l JOIN t ON t.leaf = l.leaf
-  WHERE w <> [''] AND 100 * len([p FOR p IN list_zip(w, template) IF p[1] = p[2]]) >= 60 * len(w)),
-r AS (SELECT leaf FROM m GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
-cut AS (
-  SELECT doc_id, no FROM m WHERE leaf IN (SELECT leaf FROM r)
-  UNION SELECT l.doc_id, l.no FROM l JOIN f ON f.leaf = l.leaf AND f.form = l.form WHERE f.docs >= 5),
+r AS (SELECT * FROM l WHERE len([x FOR x IN w IF x <> '' AND x <> '<*>']) > 0),
+f AS (SELECT leaf, form, any_value(w) AS w, count(DISTINCT doc_id) AS docs FROM r GROUP BY 1, 2),
+b AS (SELECT leaf, w AS best FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY docs DESC, form DESC) AS k FROM f) AS x WHERE k = 1),
+g AS (SELECT f.leaf, form, w, len([p FOR p IN list_zip(w, best) IF p[1] = p[2]]) AS n FROM f JOIN b ON b.leaf = f.leaf),
+alike AS (SELECT leaf, form FROM g WHERE 100 * n >= 60 * len(w) AND (len(w) <= 3 OR n > 3)),
+bl AS (SELECT r.leaf FROM r JOIN alike AS a ON a.leaf = r.leaf AND a.form = r.form GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+p AS (SELECT DISTINCT leaf, form, doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS place FROM r),
+c AS (SELECT leaf, place, word FROM p WHERE place >= 3 GROUP BY 1, 2, 3 HAVING count(DISTINCT doc_id) >= 5),
+kept AS (
+  SELECT p.leaf, p.form, string_agg(p.place || ' ' || p.word, ' ' ORDER BY p.place) AS template, count(*) AS n
+  FROM (SELECT DISTINCT leaf, form, place, word FROM p) AS p JOIN c ON c.leaf = p.leaf AND c.place = p.place AND c.word = p.word GROUP BY 1, 2),
+t AS (SELECT kept.leaf, kept.form, template FROM kept JOIN f ON f.leaf = kept.leaf AND f.form = kept.form WHERE 100 * (n + 3) >= 60 * len(w)),
+rt AS (SELECT t.leaf, template FROM t JOIN r ON r.leaf = t.leaf AND r.form = t.form GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 5),
+gone AS (
+  SELECT leaf, form FROM alike WHERE leaf IN (SELECT leaf FROM bl)
+  UNION SELECT t.leaf, t.form FROM t JOIN rt ON rt.leaf = t.leaf AND rt.template = t.template
+  UNION SELECT leaf, form FROM f WHERE len(w) <= 3 AND docs >= 5),
 k AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(cut.no) AS n_dropped, string_agg(line, chr(10) ORDER BY l.no) FILTER (WHERE cut.no IS NULL) AS kept_text
-  FROM l LEFT JOIN cut ON cut.doc_id = l.doc_id AND cut.no = l.no GROUP BY 1)
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.form) AS n_dropped, string_agg(line, chr(10) ORDER BY l.no) FILTER (WHERE gone.form IS NULL) AS kept_text
+  FROM l LEFT JOIN gone ON gone.leaf = l.leaf AND gone.form = l.form GROUP BY 1)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept_text, '')) AS kept_sha256
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
