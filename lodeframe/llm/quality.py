@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.words import _TABLE, Words, encoded_blocks, mix, shingle_hashes
+from lodeframe.llm.frames import mapped
+from lodeframe.llm.words import _INVERSE, _MULTIPLIER, _TABLE, Words, _power_table, encoded_blocks, mix, shingle_hashes
 
 #: Slots of the hashed feature space; the model is this many 32-bit floats.
 SLOTS = 1 << 18
@@ -46,15 +47,10 @@ def _shapes(words: Words) -> np.ndarray:
     keep[1:] = kind[1:] != kind[:-1]
     keep[words.start] = True
     order = np.concatenate(([0], np.cumsum(keep)))
-    length = order[words.end] - order[words.start]
-    values = _TABLE[kind[keep]]
-    out = np.zeros(len(words.start), np.uint64)
-    first = order[words.start]
-    # the first six classes tell words apart well enough
-    for j in range(6):
-        more = length > j
-        out[more] = out[more] * np.uint64(0x9E3779B97F4A7C15) + values[first[more] + j]
-    return mix(out + np.minimum(length, 7).astype(np.uint64))
+    first, last = order[words.start], order[words.end]
+    n = int(order[-1])
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[kind[keep]] * _power_table(_MULTIPLIER, n))))
+    return mix((total[last] - total[first]) * _power_table(_INVERSE, n)[first]) if len(first) else np.zeros(0, np.uint64)
 
 
 def features(raw: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -164,7 +160,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return mapped(rows, run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def held_out(id_column: str, parts: int, part: int) -> F.Column:
@@ -189,7 +185,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             found = [scores(raw, model.value) for _, raw in encoded_blocks(batch.column("text"))]
             yield batch.filter(pa.array(np.concatenate(found) >= THRESHOLD)) if found else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def quality_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
