@@ -294,10 +294,10 @@ def refreshed(p: Panels, panel: DataFrame) -> DataFrame:
     return s.table("factor").select("date", "code", "price", "volume")
 
 
-@query("SELECT date, code, price, volume FROM panel WHERE date >= DATE '1997-01-01'")
+@query("SELECT date, code, price, volume FROM panel")
 def stream_refresh(p: Panels) -> DataFrame:
-    """S9, S6 by stream: monthly files arrive twice, the later rows replace the stored ones; from 1997 on."""
-    return refreshed(p, p.panel.where("date >= date'1997-01-01'"))
+    """S9, S6 by stream: files arrive twice, the later rows replace the stored ones."""
+    return refreshed(p, p.panel)
 
 
 @query("SELECT date, code, price, volume FROM panel")

@@ -99,12 +99,12 @@ def merged(p: Panels, rows: DataFrame) -> DataFrame:
 
 @query(
     """
-SELECT date, code, price, volume FROM factor_a WHERE date >= DATE '1997-01-01' AND NOT (code % 2 = 0 AND date >= DATE '1998-01-01')
+SELECT date, code, price, volume FROM factor_a WHERE NOT (code % 2 = 0 AND date >= DATE '1998-01-01')
 UNION ALL SELECT date, code, -price AS price, volume + 1 AS volume FROM factor_a WHERE code % 2 = 0 AND date >= DATE '1998-01-01'"""
 )
 def upsert_merge(p: Panels) -> DataFrame:
-    """A second save replaces the stored rows of its keys, twice over; from 1997 on."""
-    return merged(p, p.factor_a.where(F.col("date") >= F.lit(_D(1997, 1, 1))))
+    """A second save replaces the stored rows of its keys, twice over."""
+    return merged(p, p.factor_a)
 
 
 @query(
@@ -177,11 +177,10 @@ def one_hot_industry(p: Panels) -> DataFrame:
     return wide.select("date", "code", *((F.col(f"ind_{i}") == 1 if f"ind_{i}" in wide.columns else F.lit(False)).alias(f"d{i}") for i in range(5)))
 
 
-@query("SELECT date, code, CAST(price AS DOUBLE) AS value, 'price' AS name FROM factor_a WHERE date = DATE '1995-05-01' UNION ALL SELECT date, code, CAST(volume AS DOUBLE), 'volume' FROM factor_a WHERE date = DATE '1995-05-01'")
+@query("SELECT date, code, CAST(price AS DOUBLE) AS value, 'price' AS name FROM factor_a WHERE price IS NOT NULL UNION ALL SELECT date, code, CAST(volume AS DOUBLE), 'volume' FROM factor_a WHERE volume IS NOT NULL")
 def stack_unstack(p: Panels) -> DataFrame:
-    """U5 on the one month of its SQL: columns to rows; absent cells drop out (:func:`unstack_whole` has U4 and all months)."""
-    day = p.factor_a.where(F.col("date") == F.lit(_D(1995, 5, 1)))
-    wide = day.select("date", "code", F.col("price").cast("double"), F.col("volume").cast("double"))
+    """Columns to rows; absent cells drop out (:func:`unstack_whole` goes to wide by code and back)."""
+    wide = p.factor_a.select("date", "code", F.col("price").cast("double"), F.col("volume").cast("double"))
     return wide.unpivot(["date", "code"], ["price", "volume"], "name", "value").where("value is not null")
 
 

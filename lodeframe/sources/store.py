@@ -195,6 +195,8 @@ class FactorStore:
             if old is not None:
                 touched = old.join(new.select("date").distinct(), "date", "left_semi")
                 rows = touched.join(new, keys, "left_anti").unionByName(new, allowMissingColumns=True)
+            # a date's rows go to one task, or a few where there are many
+            rows = rows.hint("rebalance", F.col("date"))
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.path(table))
         finally:
             new.unpersist()
