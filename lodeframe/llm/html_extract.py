@@ -1,18 +1,23 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is read into blocks of text.  A small linear classifier turns each block's
-features (enclosing elements, their names, length, share of linked text,
-punctuation) into a cost of calling it content or boilerplate: the terminal
-capacities of a graph.  Edges between neighbouring blocks and between consecutive
+features (enclosing elements, length, share of linked text, punctuation, what the
+names of the elements around it suggest) into a cost of calling it content or boilerplate:
+the terminal capacities of a graph.  Edges between neighbouring blocks and between consecutive
 blocks of the same container make it costly to label them differently.  The
 minimum cut, found by maximum flow, is the labelling of least total cost.
+
+Names of classes and ids are hints, not verdicts: a hint against an element counts little where
+another of its names speaks for it or where it holds most of the page's text inside
+an article.  If nothing is content although the page has text, the page is cut again
+without names and without the classifier's bias against short text.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.llm.frames import mapped
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<script\b.*?(?:</script\s*>|\Z)|<style\b.*?(?:</style\s*>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\"<>])*>|[^<]+|<",
     re.S | re.I,
@@ -33,32 +40,47 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+BORDERS = {"article", "div", "section", "body", "table", "ul", "ol"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-# The classifier.
-BAD_ELEMENTS = {"nav": 7.0, "footer": 7.0, "aside": 7.0, "form": 7.0, "button": 7.0, "menu": 6.0, "dialog": 7.0, "fieldset": 6.0, "header": 6.0, "head": 9.0}
+# The classifier: weights of elements and roles, and of what names suggest.
+BAD_ELEMENTS = {"nav": 7.0, "footer": 7.0, "aside": 7.0, "button": 7.0, "menu": 6.0, "dialog": 7.0, "head": 9.0}
+#: Elements that some pages put around everything: they count less where they hold most of the text.
+WRAPPERS = {"form": 7.0, "fieldset": 6.0, "header": 6.0}
 GOOD_ELEMENTS = {"article": 4.0, "main": 2.5}
 BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
-BAD_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|adslot|banner|breadcrumbs?|comments?|commentlist|reply|replies|respond|disqus|consent|cookies?|copyright|disclaimer|footer|foot|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|notification|alert|outbrain|pagination|pager|paywall|popup|overlay|promo\w*|recommend\w*|related|rail|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|taboola|tags?|toolbar|topbar|widgets?|login|search|legal)(?:$|[-_ \d])",
-    re.I,
-)
-GOOD_NAMES = re.compile(r"(?:^|[-_ ])(?:article|body|content|entry|main|post|story|text)(?:$|[-_ \d])", re.I)
-BAD_NAME_COST, GOOD_NAME_GAIN = 6.0, 1.5
+#: A part of a name that speaks against its element wherever it stands; the second kind less where the element holds most of the text.
+BAD_PARTS = {"ad", "ads", "adsense", "adslot", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "nav", "navbar", "navigation", "newsletter", "outbrain", "pager", "pagination", "sidebar", "signup", "taboola", "toolbar", "topbar"}
+MILD_PARTS = {"copyright", "masthead", "modal", "overlay", "paywall", "popup", "promo", "promotion", "recommended", "recommendations", "related", "sharing", "social", "sponsor", "sponsored", "subscribe", "widget", "widgets"}
+#: Names that speak against their element only as a whole.
+BAD_NAMES = {"alert", "banner", "disclaimer", "foot", "header", "legal", "menu", "notice", "notices", "notification", "rail", "replies", "reply", "respond", "search", "share", "side", "skip", "tag", "tags"}
+#: Parts that speak for an element whose name has no part against it.
+GOOD_PARTS = {"article", "body", "content", "entry", "main", "post", "story", "text"}
+BAD_NAME_COST, MIXED_NAME_COST, GOOD_NAME_GAIN = 8.0, 1.5, 1.5
+BIAS, LINKS, ENDS, PARAGRAPH = 1.2, 4.0, 0.4, 0.8
+#: Share of the page's text from which an element counts as the page itself, and characters that make a page's text.
+MOST, ENOUGH = 0.5, 250
 #: Edge weights: neighbours, neighbours across a region border, same container.
 NEAR, FAR, SIBLING = 0.6, 0.1, 0.8
 _UNITS = 1000
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 
 
 @dataclass(slots=True)
 class Element:
-    """An open element: its name and the classifier's weight of itself and all around it."""
+    """An element of the page: its parent and what it says about its text by itself."""
 
     name: str
-    number: int
-    weight: float
-    region: int
-    in_article: bool
+    parent: int
+    #: weight that always counts, weight of a wrapper, hint of its names
+    fixed: float = 0.0
+    wrapper: float = 0.0
+    hint: float = 0.0
+    mild: bool = True
+    region: int = 0
+    in_article: bool = False
+    #: unlinked characters inside
+    mass: int = 0
 
 
 @dataclass(slots=True)
@@ -75,57 +97,85 @@ class Block:
 
 
 def _attributes(tag: str) -> dict[str, str]:
-    return {k.lower(): _html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(tag[1:].partition(" ")[2] or tag.partition("\n")[2])}
-
-
-def _own_weight(name: str, tag: str, in_article: bool) -> float:
-    """What an element adds to the belief that its text is content."""
-    weight = GOOD_ELEMENTS.get(name, 0.0)
-    bad = BAD_ELEMENTS.get(name, 0.0)
+    return {k.lower(): _html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(tag, _TAG.match(tag).end())}
+
+
+def name_hint(names: str, article: bool = False) -> float:
+    """What class and id names suggest; names on both sides, or an article element, leave little of a hint against."""
+    good = bad = False
+    for name in names.split():
+        parts = {p.lower() for p in _PARTS.findall(name)}
+        if parts & (BAD_PARTS | MILD_PARTS) or name.lower() in BAD_NAMES:
+            bad = True
+        elif parts & GOOD_PARTS:
+            good = True
+    if bad:
+        return -MIXED_NAME_COST if good or article else -BAD_NAME_COST
+    return GOOD_NAME_GAIN if good else 0.0
+
+
+def _element(name: str, tag: str, parent: int, above: Element) -> Element:
+    out = Element(name, parent, region=above.region, in_article=above.in_article or name in GOOD_ELEMENTS)
+    out.fixed = GOOD_ELEMENTS.get(name, 0.0) - BAD_ELEMENTS.get(name, 0.0)
     # an article may have its own header
-    weight -= bad if not (in_article and name == "header") else 0.0
+    out.wrapper = 0.0 if above.in_article and name == "header" else WRAPPERS.get(name, 0.0)
     if len(tag) > len(name) + 2 and name not in INLINE:
         found = _attributes(tag)
-        names = f"{found.get('class', '')} {found.get('id', '')}"
-        if BAD_NAMES.search(names) and name not in ("html", "body"):
-            weight -= BAD_NAME_COST
-        elif GOOD_NAMES.search(names):
-            weight += GOOD_NAME_GAIN
+        if name not in ("html", "body"):
+            names = f"{found.get('class', '')} {found.get('id', '')}"
+            out.hint = name_hint(names, name in GOOD_ELEMENTS)
+            out.mild = BAD_PARTS.isdisjoint(p.lower() for p in _PARTS.findall(names))
         if found.get("role", "").lower() in BAD_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-            weight -= BAD_NAME_COST
-    return weight
+            out.fixed -= BAD_NAME_COST
+    return out
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Non-empty blocks of a page in order, with white space squeezed and references decoded."""
-    stack = [Element("", 0, 0.0, 0, False)]
-    number, links, skip = 0, 0, ""
+def read_page(page: str) -> tuple[list[Element], list[Block]]:
+    """Elements and non-empty blocks of a page in order, with white space squeezed and references decoded.
+
+    Every tag is handled in time that does not grow with the page, but for the elements it closes.
+    """
+    tokens = _TOKEN.findall(page)
+    elements = [Element("", 0)]
+    stack = [0]
+    depth: Counter[str] = Counter()
+    #: end tags of raw elements still to come: one that is never closed hides nothing
+    closers = Counter(m[2].lower() for t in tokens if t.startswith("</") and (m := _TAG.match(t)) and m[2].lower() in RAW)
+    skip = ""
     out: list[Block] = []
     current: Block | None = None
-    for token in _TOKEN.findall(page):
+
+    def close(at: int) -> None:
+        for n in stack[at:]:
+            depth[elements[n].name] -= 1
+        del stack[at:]
+
+    for token in tokens:
         if token[0] != "<" or token == "<":
             if skip:
                 continue
             if current is None:
-                top = next(e for e in reversed(stack) if e.name not in INLINE)
-                current = Block(top.number, top.region, top.weight, top.name)
+                top = next(n for n in reversed(stack) if elements[n].name not in INLINE)
+                current = Block(top, elements[top].region, 0.0, elements[top].name)
                 out.append(current)
             current.parts.append(token)
-            if links:
+            if depth["a"]:
                 current.linked += len(token.strip())
             continue
         match = _TAG.match(token)
         if not match:
             continue
         closing, name = match[1] == "/", match[2].lower()
+        if closing and name in RAW:
+            closers[name] -= 1
         if skip:
             if closing and name == skip:
                 skip = ""
             continue
         if name in ("script", "style"):
             continue
-        if not closing and name in RAW:
-            if not token.endswith("/>"):
+        if name in RAW:
+            if not closing and not token.endswith("/>") and closers[name] > 0:
                 skip = name
             current = current if name in ("svg", "math", "noscript") else None
             continue
@@ -138,37 +188,59 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            # an inline end tag does not close a block around it
-            if at and (name not in INLINE or all(e.name in INLINE for e in stack[at:])):
-                del stack[at:]
+            if depth[name]:
+                at = len(stack) - 1
+                # an inline end tag does not close a block around it
+                while elements[stack[at]].name != name and (name not in INLINE or elements[stack[at]].name in INLINE):
+                    at -= 1
+                if elements[stack[at]].name == name:
+                    close(at)
         else:
             ends = {"p"} if name in CLOSES_P else set()
             ends |= SAME_CLOSES.get(name, set())
-            if ends:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name in ends or stack[i].name in ("article", "div", "section", "body", "table", "ul", "ol")), 0)
-                if at and stack[at].name in ends:
-                    del stack[at:]
-            top = stack[-1]
-            number += 1
-            own = _own_weight(name, token, top.in_article)
-            stack.append(Element(name, number, top.weight + own, number if own else top.region, top.in_article or name in GOOD_ELEMENTS))
-        links = sum(e.name == "a" for e in stack)
+            if any(depth[e] for e in ends):
+                at = next(i for i in range(len(stack) - 1, -1, -1) if not i or elements[stack[i]].name in ends or elements[stack[i]].name in BORDERS)
+                if elements[stack[at]].name in ends:
+                    close(at)
+            element = _element(name, token, stack[-1], elements[stack[-1]])
+            if element.fixed or element.wrapper or element.hint:
+                element.region = len(elements)
+            stack.append(len(elements))
+            depth[name] += 1
+            elements.append(element)
     kept = []
     for block in out:
         block.text = " ".join(_html.unescape("".join(block.parts)).split())
         if block.text:
+            elements[block.container].mass += max(0, len(block.text) - block.linked)
             kept.append(block)
-    return kept
-
-
-def belief(block: Block) -> float:
+    for n in range(len(elements) - 1, 0, -1):
+        elements[elements[n].parent].mass += elements[n].mass
+    return elements, kept
+
+
+def weigh(elements: list[Element], blocks: list[Block], names: bool = True) -> None:
+    """Gives every block the classifier's weight of the elements around it."""
+    total = elements[0].mass
+    weights = [0.0] * len(elements)
+    for n, e in enumerate(elements[1:], 1):
+        most = total and e.mass >= MOST * total
+        wrapper = e.wrapper * (1 - e.mass / total) if most else e.wrapper
+        hint = e.hint if names else 0.0
+        if hint < 0 and e.mild and most and e.in_article:
+            hint = max(hint, -MIXED_NAME_COST)
+        weights[n] = weights[e.parent] + e.fixed - wrapper + hint
+    for block in blocks:
+        block.weight = weights[block.container]
+
+
+def belief(block: Block, bias: float = BIAS) -> float:
     """Log-odds that a block is content."""
     n = len(block.text)
     links = min(1.0, block.linked / n)
-    score = block.weight + (0.8 if block.tag == "p" or block.tag in HEADINGS else 0.0) + min(2.0, n / 80) - 1.2 - 4.0 * links
+    score = block.weight + (PARAGRAPH if block.tag == "p" or block.tag in HEADINGS else 0.0) + min(2.0, n / 80) - bias - LINKS * links
     if block.text[-1] in ".!?…。\"'":
-        score += 0.4
+        score += ENDS
     return score
 
 
@@ -234,13 +306,13 @@ class Flow:
         return level
 
 
-def label_blocks(blocks: list[Block]) -> list[bool]:
+def label_blocks(blocks: list[Block], bias: float = BIAS) -> list[bool]:
     """True for content: the labelling of least cost."""
     n = len(blocks)
     flow, source, sink = Flow(n + 2), n, n + 1
     last: dict[int, int] = {}
     for i, block in enumerate(blocks):
-        cost = round(_UNITS * belief(block))
+        cost = round(_UNITS * belief(block, bias))
         if cost > 0:
             flow.add(source, i, cost)
         elif cost < 0:
@@ -258,8 +330,13 @@ def label_blocks(blocks: list[Block]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     """Content blocks of a page, joined by line feeds."""
-    blocks = blocks_of(page or "")
-    return "\n".join(b.text for b, ok in zip(blocks, label_blocks(blocks), strict=True) if ok)
+    elements, blocks = read_page(page or "")
+    weigh(elements, blocks)
+    labels = label_blocks(blocks)
+    if not any(labels):
+        weigh(elements, blocks, names=elements[0].mass < ENOUGH)
+        labels = label_blocks(blocks, bias=0.0)
+    return "\n".join(b.text for b, ok in zip(blocks, labels, strict=True) if ok)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -279,4 +356,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), chars], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return mapped(rows, run, "page_id long, url string, text string, n_chars long")
