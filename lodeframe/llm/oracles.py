@@ -136,3 +136,42 @@ k AS (
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept_text, '')) AS kept_sha256
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
+
+ORACLES["op11_secret_scan"] = r"""
+WITH rule AS (
+  SELECT * FROM (VALUES
+    (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?', '[A-Za-z0-9+/_.=-]+', 6),
+    (1, 'access', '(AKIA)', '[A-Z0-9]+', 16), (2, 'hex', '()', '[0-9a-f]+', 24), (3, 'pem', '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', '', 0),
+    (4, 'host', '(gh[oprsu]_)', '[A-Za-z0-9]+', 36), (5, 'chat', '(xox[abprs]-)', '[A-Za-z0-9-]+', 10)) AS t(k, kind, head, tail, least)),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+part AS (
+  SELECT doc_id, k, kind, head, tail, least, unnest(p) AS part, unnest(range(len(p))) AS i
+  FROM (SELECT *, string_split(regexp_replace(text, '(' || head || tail || ')', chr(57344) || '\1' || chr(57345), 'g'), chr(57344)) AS p FROM d, rule) AS x),
+found AS (
+  SELECT doc_id, k, kind, head, tail, least, m, s, s + length(m) AS e
+  FROM (SELECT *, string_split(part, chr(57345))[1] AS m, coalesce(sum(length(part) - CAST(i > 0 AS INTEGER)) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM part) AS y
+  WHERE i > 0),
+kept AS (
+  SELECT doc_id, k, kind, s, concat_ws(':', kind, CAST(CAST(s AS BIGINT) AS VARCHAR), CAST(CAST(e AS BIGINT) AS VARCHAR)) AS w
+  FROM found WHERE length(m) - length(regexp_extract(m, '^' || head)) >= least),
+r AS (
+  SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+         string_agg(w, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(w, ',' ORDER BY s, k) AS spans
+  FROM kept GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT *, CAST(len(w) AS BIGINT) AS n, [CAST('0x' || h[8 * i + 1 : 8 * i + 8] AS BIGINT) FOR i IN range(4)] AS x FROM d),
+f AS (
+  SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM n),
+t AS (SELECT *, array_to_string(w[1 : a], '') AS p, array_to_string(w[a + 1 : b], '') AS m, array_to_string(w[b + 1 : n], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM t
+"""
