@@ -279,12 +279,16 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "d
     anchors = mapped(once, _anchors(window), "spread long, key long, doc long, pos int, head boolean, known boolean")
     again = mapped(anchors.repartition("spread").sortWithinPartitions("spread", "key"), _repeated, "doc_id long, pos int")
     marks = stored(again.groupBy("doc_id").agg(F.collect_list("pos").alias("marks")))
+    del anchors, again
     discard(whole)
     windows = mapped(known.join(marks, "doc_id").select("doc_id", "text", "marks"), _windows(window), "one long, two long, doc long, stop int")
     windows = windows.repartition("one").sortWithinPartitions("one", F.expr("shiftrightunsigned(two, 32)"), "doc", "two")
     later = mapped(windows, _later, "doc_id long, start int, stop int")
     later = later.unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop")))
-    cuts = later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cut"))
+    # written, so that the texts are not dealt for the last join while the windows still take disk
+    cuts = stored(later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cut")))
+    del windows, later
+    discard(marks)
     all_ = known.join(cuts, "doc_id", "left").select("doc_id", "text", "cut")
     rest = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("cut"))
     schema = "doc_id long, n_words long, n_removed long, removed_spans array<struct<start:int,stop:int>>, kept_text string"
