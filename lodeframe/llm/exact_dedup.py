@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import discard, mapped, pick, sized, stored
+from lodeframe.llm.frames import discard, free_prefix, mapped, pick, sized, stored
 from lodeframe.llm.words import WHITESPACE
 
 PRIME = (1 << 120) - 119
@@ -146,14 +146,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one_of_equal(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) without the rows that :func:`exact_duplicates` drops."""
+    """``docs`` (doc_id, text and any other columns) without the rows that :func:`exact_duplicates` drops; null ids are ids like others."""
+    own = free_prefix(docs)
     rows = stored(exact_duplicates(docs))
     gone, stays = rows.where("not kept"), rows.where("kept")
     # ids that stay in one row and go in another cannot be told apart by id
     if gone.join(stays, gone.doc_id.eqNullSafe(stays.doc_id), "left_semi").isEmpty():
-        return docs.join(sized(gone.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+        ids = sized(gone.select(F.col("doc_id").alias(f"{own}gone")).distinct())
+        return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{own}gone")), "left_anti").select(*docs.columns)
     squeezed = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
-    order = Window.partitionBy("doc_id", "__sha").orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
-    numbered = docs.withColumn("__sha", squeezed).withColumn("__place", F.row_number().over(order))
-    ids = stays.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text"))
-    return numbered.where("__place = 1").join(ids, F.expr("doc_id <=> __id and __sha = __text"), "left_semi").select(*docs.columns)
+    order = Window.partitionBy("doc_id", f"{own}sha").orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
+    numbered = docs.withColumn(f"{own}sha", squeezed).withColumn(f"{own}place", F.row_number().over(order))
+    ids = stays.select(F.col("doc_id").alias(f"{own}id"), F.col("text_sha256").alias(f"{own}text"))
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{own}id")) & (F.col(f"{own}sha") == F.col(f"{own}text"))
+    return numbered.where(F.col(f"{own}place") == 1).join(ids, met, "left_semi").select(*docs.columns)

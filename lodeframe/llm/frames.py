@@ -39,6 +39,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has, whatever the case, for columns added beside a user's own."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

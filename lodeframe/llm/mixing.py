@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.frames import discard, sized, stored
+from lodeframe.llm.frames import discard, free_prefix, sized, stored
 from lodeframe.llm.words import WORD_PATTERN
 
 #: Fractional part of the golden ratio, in units of 2**-31 (nearest odd number).
@@ -168,19 +168,22 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     front.  Rows are told apart by id (null is an id), source and text; equal rows are
     taken equally often.  An empty table stays empty.
     """
-    key = [F.col("doc_id").cast("long").alias("__id"), F.col("source").cast("string").alias("__source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text")]
+    own = free_prefix(docs)
+    id_, source, text, size, slot = (f"{own}{c}" for c in ("id", "source", "text", "size", "slot"))
+    key = [F.col("doc_id").cast("long").alias(id_), F.col("source").cast("string").alias(source), F.xxhash64(F.coalesce("text", F.lit(""))).alias(text)]
     plain = docs.select(key[0].alias("doc_id"), key[1].alias("source"), "text")
     placed, turns = scheduled_turns(plain, weights, most)
     copies = placed.where("size > 0").join(turns, "row", "left").withColumn("copy", F.expr("coalesce(2 * words >= size, false)"))
     at = [F.min(F.when(F.col("copy") & (F.col("turn") == t), F.col("first_slot"))).alias(f"at{t}") for t in range(most)]
     # equal rows share the copies of all of them
-    copies = copies.groupBy(F.col("doc_id").alias("__i"), F.col("source").alias("__s"), F.col("text_hash").alias("__t")).agg(F.count_distinct("row").alias("rows"), F.count_if("copy").alias("copies"), *at)
+    met = [F.col(c).alias(f"{own}{n}") for c, n in (("doc_id", "i"), ("source", "s"), ("text_hash", "t"))]
+    copies = copies.groupBy(*met).agg(F.count_distinct("row").alias("rows"), F.count_if("copy").alias("copies"), *at)
     copies = copies.withColumn("times", F.expr("cast((2 * copies + rows) div (2 * rows) as int)")).where("times > 0")
     slots = F.expr(f"slice(array_sort(array({', '.join(f'at{t}' for t in range(most))})), 1, times)")
-    copies = copies.select("__i", "__s", "__t", F.explode(slots).alias("__slot"))
-    keyed = docs.select("*", *key, word_count("text").alias("__size"))
-    met = (F.col("__id").eqNullSafe(F.col("__i"))) & (F.col("__source").eqNullSafe(F.col("__s"))) & (F.col("__text") == F.col("__t"))
+    copies = copies.select(f"{own}i", f"{own}s", f"{own}t", F.explode(slots).alias(slot))
+    keyed = docs.select("*", *key, word_count("text").alias(size))
+    same = F.col(id_).eqNullSafe(F.col(f"{own}i")) & F.col(source).eqNullSafe(F.col(f"{own}s")) & (F.col(text) == F.col(f"{own}t"))
     names = docs.columns
-    some = keyed.where("__size > 0").join(sized(copies), met).select(*names, "__slot")
-    none = keyed.where("__size = 0").select(*names, F.lit(-1).cast("long").alias("__slot"))
-    return some.unionByName(none).repartitionByRange("__slot").sortWithinPartitions("__slot").select(*names)
+    some = keyed.where(F.col(size) > 0).join(sized(copies), same).select(*names, slot)
+    none = keyed.where(F.col(size) == 0).select(*names, F.lit(-1).cast("long").alias(slot))
+    return some.unionByName(none).repartitionByRange(slot).sortWithinPartitions(slot).select(*names)
