@@ -16,10 +16,15 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def clean(df: DataFrame) -> DataFrame:
     """NaN and infinite values of floating columns become NULL."""
-    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.col(c)).alias(c)
-    return df.select(*(finite(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name) for f in df.schema.fields))
+    finite = lambda c: F.when(~F.isnan(named(c)) & (F.abs(named(c)) < F.lit(float("inf"))), named(c)).alias(c)
+    return df.select(*(finite(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else named(f.name) for f in df.schema.fields))
 
 
 def number(x: str | Column) -> Column:

@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import partial
+from itertools import groupby
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.functions.columns import average_rank, by, col, keep, ratio
+from lodeframe.functions.columns import average_rank, by, col, keep, named, ratio
 
 Processor = Callable[[DataFrame, str], DataFrame]
 
@@ -220,20 +225,88 @@ def processor(function: Callable[..., Column], **kwargs: object) -> Processor:
     return run
 
 
-def processor_name(step: Processor) -> str:
+@dataclass(frozen=True)
+class Grouped:
+    """Code over whole cross-sections as a step of a chain, for what no column expression says.
+
+    ``function`` gets the rows of one date as a pandas frame, one row a code in the order of
+    codes, with a column for each processed value, and returns one of the same rows and columns;
+    so it may use all values of a date at once.  ``key="code"`` gives it the rows of one code
+    in the order of dates instead.  Neighbouring grouped steps of one key run in one pass behind
+    one shuffle; the rows of a group are in one task, and a group of more than ``most`` rows
+    is an error.
+    """
+
+    function: Callable[..., pd.DataFrame]
+    key: str = "date"
+    most: int = 1_000_000
+    keywords: dict = field(default_factory=dict)
+
+    @property
+    def __name__(self) -> str:
+        return self.function.__name__ + ("_" if self.keywords else "") + "_".join(f"{k}{v}" for k, v in self.keywords.items())
+
+
+def grouped(function: Callable[..., pd.DataFrame], key: str = "date", **keywords: object) -> Grouped:
+    """A function of the frame of one date (or one code) as a step of a chain."""
+    return Grouped(function, key, keywords=keywords)
+
+
+def apply_grouped(df: DataFrame, columns: list[str], steps: list[Grouped], keys: tuple[str, str] = ("date", "code")) -> DataFrame:
+    """``df`` with ``columns`` replaced, as doubles, by what the steps (of one key) make of them group by group.
+
+    All other columns pass through, also in rows whose key is null, which form a group.  A
+    step that returns other rows or columns than it got is an error.
+    """
+    key, most = steps[0].key, min(s.most for s in steps)
+    if key not in keys:
+        raise ValueError(f"a grouped step goes by one of {keys}, not {key!r}")
+    order = keys[1 - keys.index(key)]
+    calls = [(s.__name__, s.function, dict(s.keywords)) for s in steps]
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.num_rows > most:
+            raise ValueError(f"a group of {key} has {table.num_rows} rows, more than {most}")
+        table = table.sort_by(order)
+        frame = pd.DataFrame({c: table.column(c).to_numpy().astype(float) for c in columns}, index=pd.Index(table.column(order).to_pylist(), name=order))
+        for name, function, keywords in calls:
+            made = function(frame, **keywords)
+            if not isinstance(made, pd.DataFrame) or len(made) != len(frame) or list(made.columns) != list(frame.columns):
+                raise TypeError(f"grouped step {name!r} has to return a frame of the rows and columns that it gets")
+            frame = made
+        for c in columns:
+            values = frame[c].to_numpy(float)
+            table = table.set_column(table.column_names.index(c), c, pa.array(values, pa.float64(), mask=~np.isfinite(values)))
+        return table
+
+    typed = df.select(*(F.col(c).cast("double").alias(c) if c in columns else named(c) for c in df.columns))
+    return typed.groupBy(key).applyInArrow(run, typed.schema)
+
+
+def processor_name(step: Processor | Grouped) -> str:
     """Suffix of a step; keyword arguments of a partial are part of it."""
     if isinstance(step, partial):
         return "_".join([step.func.__name__, *(f"{k}{v}" for k, v in step.keywords.items())])
     return step.__name__
 
 
-def process(df: DataFrame, columns: list[str], steps: list[Processor]) -> DataFrame:
-    """Adds to each column a copy, named ``<column>__<step>__<step>``, that went through all steps; no steps, no copies."""
+def process(df: DataFrame, columns: list[str], steps: list[Processor | Grouped]) -> DataFrame:
+    """Adds to each column a copy, named ``<column>__<step>__<step>``, that went through all steps; no steps, no copies.
+
+    Column steps (:func:`processor`) stay in the engine.  Grouped steps (:func:`grouped`) run over
+    the copies of all columns together; neighbouring ones of one key share one pass.
+    """
     if not steps:
         return df
-    for c in columns:
-        out = "__".join([c, *map(processor_name, steps)])
-        df = df.withColumn(out, F.col(c))
-        for step in steps:
-            df = step(df, out)
-    return df
+    kept = [named(c) for c in df.columns]
+    # under plain names meanwhile: keyword arguments may put dots into the final ones
+    outs = {f"__out{i}": "__".join([c, *map(processor_name, steps)]) for i, c in enumerate(columns)}
+    df = df.select(*kept, *(named(c).alias(o) for c, o in zip(columns, outs, strict=True)))
+    for key, run in groupby(steps, lambda s: s.key if isinstance(s, Grouped) else None):
+        if key is not None:
+            df = apply_grouped(df, list(outs), list(run))
+            continue
+        for step in run:
+            for out in outs:
+                df = step(df, out)
+    return df.select(*kept, *(F.col(o).alias(name) for o, name in outs.items()))

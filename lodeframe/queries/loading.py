@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from lodeframe.operators import returns, transforms
 from lodeframe.plans.panels import Panels
 from lodeframe.queries import query, r
 from lodeframe.session import scratch_path
+from lodeframe.sources.refresh import Carry, refresh
 from lodeframe.sources.store import FactorStore, industry_dummies
 
 _D = datetime.date
@@ -130,6 +133,63 @@ def save_processors(p: Panels) -> DataFrame:
     return s.table("factor").select("date", "code", "price", tidy("price__zscore").alias("z"))
 
 
+def above_sector(frame: pd.DataFrame, sectors: int) -> pd.DataFrame:
+    """Every value less the mean of its sector (code modulo ``sectors``) on that date."""
+    return frame - frame.groupby(frame.index % sectors).transform("mean")
+
+
+def share_of_row(frame: pd.DataFrame) -> pd.DataFrame:
+    """Every value as a share of the absolute values of its code on that date."""
+    return frame.div(frame.abs().sum(axis=1, min_count=1).replace(0.0, np.nan), axis=0)
+
+
+@query(
+    f"""
+SELECT date, code, price, volume, {r('p / nullif(abs(p) + abs(v), 0)', 'p_share')}, {r('v / nullif(abs(p) + abs(v), 0)', 'v_share')}
+FROM (SELECT date, code, price, volume, pz - avg(pz) OVER s AS p, vz - avg(vz) OVER s AS v
+      FROM (SELECT date, code, price, CAST(volume AS DOUBLE) AS volume, (price - avg(price) OVER d) / nullif(stddev_samp(price) OVER d, 0) AS pz,
+                   (volume - avg(volume) OVER d) / nullif(stddev_samp(volume) OVER d, 0) AS vz
+            FROM panel WINDOW d AS (PARTITION BY date)) AS x WINDOW s AS (PARTITION BY date, code % 7)) AS y"""
+)
+def save_grouped(p: Panels) -> DataFrame:
+    """A column step and two steps of code over whole cross-sections, of two columns together."""
+    s = FactorStore(p.spark, scratch_path(p.spark))
+    steps = [transforms.processor(transforms.zscore), transforms.grouped(above_sector, sectors=7), transforms.grouped(share_of_row)]
+    s.save("factor", p.panel.select("date", "code", "price", F.col("volume").cast("double").alias("volume")), steps)
+    tail = "__".join(map(transforms.processor_name, steps))
+    return s.table("factor").select("date", "code", "price", "volume", tidy(f"price__{tail}").alias("p_share"), tidy(f"volume__{tail}").alias("v_share"))
+
+
+def rolling_price(rows: DataFrame) -> DataFrame:
+    """Mean price of six dates, three at least: looks back five dates."""
+    return cal.with_date_idx(rows).select("date", "code", transforms.rolling("price", 6, min_periods=3).alias("mean"))
+
+
+CARRIED = {"total": Carry("volume"), "n": Carry("price", "count"), "low": Carry("price", "min"), "high": Carry("price", "max"), "quoted": Carry("disc", "last")}
+
+
+@query(
+    f"""
+SELECT g.date, g.code, {r('g.mean', 'mean')}, CAST(total AS DOUBLE) AS total, n, low, high, quoted
+FROM (SELECT code, date, price, CASE WHEN count(price) OVER c >= 3 THEN avg(price) OVER c END AS mean FROM grid WINDOW c AS (PARTITION BY code ORDER BY k ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) AS g
+JOIN (SELECT date, code, sum(volume) OVER w AS total, count(price) OVER w AS n, min(price) OVER w AS low, max(price) OVER w AS high,
+             last_value(CASE WHEN (code + month(date)) % 3 = 0 THEN disc END IGNORE NULLS) OVER w AS quoted
+      FROM panel WINDOW w AS (PARTITION BY code ORDER BY date)) AS h ON h.date = g.date AND h.code = g.code""",
+    """cal AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM panel) AS x),
+grid AS (
+  SELECT c.code, cal.date, cal.k, p.price
+  FROM (SELECT DISTINCT code FROM panel) AS c CROSS JOIN cal LEFT JOIN panel AS p ON p.code = c.code AND p.date = cal.date)""",
+)
+def refresh_in_parts(p: Panels) -> DataFrame:
+    """A windowed and five running measures brought up to date in three runs, the last one in spans of two years."""
+    s = FactorStore(p.spark, scratch_path(p.spark))
+    sparse = F.when((F.col("code") + F.month("date")) % 3 == 0, F.col("disc")).alias("disc")
+    s.save("quotes", p.panel.select("date", "code", "price", F.col("volume").cast("double").alias("volume"), sparse))
+    for until, span in ((_D(1994, 6, 15), None), (_D(1996, 12, 1), None), (None, 24)):
+        refresh(s, "measures", "quotes", rolling_price, reach=5, carry=CARRIED, span=span, until=until)
+    return s.table("measures").select("date", "code", tidy("mean").alias("mean"), "total", "n", "low", "high", "quoted")
+
+
 @query(
     """
 SELECT q.date, q.code, coalesce(high > limit_down, false) AND coalesce(low < limit_up, false) AND NOT coalesce(st, false) AND NOT coalesce(suspended, false)

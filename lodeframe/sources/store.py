@@ -6,15 +6,17 @@ Everything but :meth:`FactorStore.save` and :meth:`FactorStore.upsert` is lazy.
 
 from __future__ import annotations
 
+import datetime
 import re
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.functions.columns import clean
+from lodeframe.functions.columns import clean, named
 from lodeframe.operators.calendar import neighbours
-from lodeframe.operators.transforms import Processor, process
+from lodeframe.operators.transforms import Grouped, Processor, process
 
 JOINS = {"inner", "left", "right", "full"}
 
@@ -55,9 +57,13 @@ class FactorStore:
             return self._attached[table]
         if self.root is None:
             return None
+        df = self._raw(table)
+        return None if df is None else clean(df)
+
+    def _raw(self, table: str) -> DataFrame | None:
         for path in (self.path(table), self._columns(table)):
             try:
-                return clean(self.spark.read.parquet(path))
+                return self.spark.read.parquet(path)
             except AnalysisException as error:
                 if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                     raise
@@ -139,27 +145,29 @@ class FactorStore:
                 df = df.where(F.col(self.time_col) >= F.lit(low))
             if high is not None:
                 df = df.where(F.col(self.time_col) <= F.lit(high))
-            part = df.select(*keys, *(F.col(c).alias(a) for a, c in columns[table].items()))
+            part = df.select(*keys, *(named(c).alias(a) for a, c in columns[table].items()))
             out = part if out is None else out.join(part, keys, how)
         return out.orderBy(*keys) if ordered else out
 
     def _bounds(self, base: str, begin: object, end: object, pad_begin: int, pad_end: int) -> tuple[object, object]:
-        """Bounds of dates after padding: one small action over the base calendar."""
+        """Bounds of dates after padding: nothing is read where both are given and neither is padded, else one small action over the base calendar."""
+        if begin is not None and end is not None and not pad_begin and not pad_end:
+            return begin, end
         t = F.col(self.time_col)
-        dates = self._known(base).select(self.time_col)
+        dates = self.dates(base)
         first, last = dates.agg(F.min(t), F.max(t)).first()
         low, high = (first if begin is None else begin), (last if end is None else end)
         if pad_begin:
-            found = dates.distinct().where(t <= F.lit(low)).orderBy(t.desc()).offset(pad_begin - 1).limit(1).first()
+            found = dates.where(t <= F.lit(low)).orderBy(t.desc()).offset(pad_begin - 1).limit(1).first()
             low = found[0] if found else first
         if pad_end:
-            found = dates.distinct().where(t >= F.lit(high)).orderBy(t).offset(pad_end).limit(1).first()
+            found = dates.where(t >= F.lit(high)).orderBy(t).offset(pad_end).limit(1).first()
             high = found[0] if found else last
         return low, high
 
     # --- save --------------------------------------------------------------------
 
-    def save(self, table: str, df: DataFrame, processors: list[Processor] | None = None) -> DataFrame:
+    def save(self, table: str, df: DataFrame, processors: list[Processor | Grouped] | None = None) -> DataFrame:
         """Upsert ``df`` with a processed copy of every value column; returns what was written."""
         keys = [self.time_col, self.code_col]
         if missing := [k for k in keys if k not in df.columns]:
@@ -201,14 +209,29 @@ class FactorStore:
         finally:
             new.unpersist()
 
+    def replace(self, table: str, df: DataFrame) -> None:
+        """Write ``df``, whose time column holds dates, in place of the partitions of its dates."""
+        rows = df.withColumn("date", F.to_date(self.time_col))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.path(table))
+
     # --- dates -------------------------------------------------------------------
 
+    def dates(self, table: str) -> DataFrame:
+        """The distinct dates of a table.  Those of one that was saved here are its partitions: only the files' listing is read."""
+        df = self._known(table)
+        if self.time_col == "date" and table not in self._attached:
+            files = [unquote(x) for x in self._raw(table).inputFiles()]
+            found = sorted({m[1] for f in files if (m := re.search(r"/date=(\d{4}-\d{2}-\d{2})/[^/]*$", f))})
+            if found and all("/date=" in f for f in files):
+                return self.spark.createDataFrame([(datetime.date.fromisoformat(d),) for d in found], "date date")
+        return df.select(self.time_col).where(F.col(self.time_col).isNotNull()).distinct()
+
     def date_range_of(self, table: str) -> DataFrame:
         """One row ``first_date, last_date``, NULL for an empty table."""
         df = self.table(table)
         if df is None:
             return self.spark.range(1).select(F.lit(None).cast("date").alias("first_date"), F.lit(None).cast("date").alias("last_date"))
-        return df.agg(F.min(self.time_col).alias("first_date"), F.max(self.time_col).alias("last_date"))
+        return self.dates(table).agg(F.min(self.time_col).alias("first_date"), F.max(self.time_col).alias("last_date"))
 
     def latest_date(self, table: str) -> object:
         return self.date_range_of(table).first()["last_date"]
