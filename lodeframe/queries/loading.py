@@ -35,6 +35,19 @@ def load_full_join(p: Panels) -> DataFrame:
     return store(p, "factor_a", "factor_b").load(paths, _D(1993, 1, 1), _D(1997, 12, 1))
 
 
+@query(
+    """
+SELECT date, code, price, volume, disc, mrq
+FROM (SELECT date, code, price, volume, disc FROM factor_a FULL JOIN factor_b USING (date, code)) AS x FULL JOIN report USING (date, code)"""
+)
+def load_bucketed(p: Panels) -> DataFrame:
+    """A full join of three tables that lie in buckets by their keys: only saving them shuffles."""
+    s = FactorStore(p.spark, scratch_path(p.spark))
+    for table, columns in (("factor_a", ["price", "volume"]), ("factor_b", ["disc"]), ("report", ["mrq"])):
+        s.save_bucketed(table, getattr(p, table).select("date", "code", *columns), 8)
+    return s.load(["factor_a/price", "factor_a/volume", "factor_b/disc", "report/mrq"])
+
+
 @query("SELECT date, code, price, cap FROM factor_a FULL JOIN factor_b USING (date, code)")
 def load_ordered(p: Panels) -> DataFrame:
     """S3, L1: sorted by date and code for output."""

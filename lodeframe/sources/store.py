@@ -11,12 +11,13 @@ import re
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.functions.columns import clean, named
 from lodeframe.operators.calendar import neighbours
 from lodeframe.operators.transforms import Grouped, Processor, process
+from lodeframe.sources import bucketed
 
 JOINS = {"inner", "left", "right", "full"}
 
@@ -61,6 +62,8 @@ class FactorStore:
         return None if df is None else clean(df)
 
     def _raw(self, table: str) -> DataFrame | None:
+        if (found := bucketed.opened(self.spark, self.path(table))) is not None:
+            return found
         for path in (self.path(table), self._columns(table)):
             try:
                 return self.spark.read.parquet(path)
@@ -139,16 +142,28 @@ class FactorStore:
             raise ValueError(f"base table {base!r} is not among {sorted(columns)}")
         low, high = self._bounds(base, begin, end, pad_begin, pad_end)
         keys, out = [self.time_col, self.code_col], None
-        for table in [base, *(t for t in columns if t != base)]:
-            df = self._known(table)
-            if low is not None:
-                df = df.where(F.col(self.time_col) >= F.lit(low))
-            if high is not None:
-                df = df.where(F.col(self.time_col) <= F.lit(high))
+        tables = [base, *(t for t in columns if t != base)]
+        if how == "full" and len(tables) > 2 and self._together(tables):
+            # left joins onto all keys: unlike a full join they leave the rows where they are.  Dates are never NULL here; that
+            # they might be keeps the filter from changing the columns' nullability, which a union without a shuffle needs alike
+            out, how = bucketed.spine([self._known(t).select(*keys).where(self._between(low, high) | F.col(self.time_col).isNull()) for t in tables]), "left"
+        for table in tables:
+            df = self._known(table).where(self._between(low, high))
             part = df.select(*keys, *(named(c).alias(a) for a, c in columns[table].items()))
             out = part if out is None else out.join(part, keys, how)
         return out.orderBy(*keys) if ordered else out
 
+    def _between(self, low: object, high: object) -> Column:
+        t = F.col(self.time_col)
+        return (F.lit(True) if low is None else t >= F.lit(low)) & (F.lit(True) if high is None else t <= F.lit(high))
+
+    def _together(self, tables: list[str]) -> bool:
+        """Whether all tables are bucketed on the keys in the same way, so that their keys are unique and known."""
+        if self.root is None or any(t in self._attached for t in tables):
+            return False
+        counts = {bucketed.buckets_of(self.spark, self.path(t)) for t in tables}
+        return None not in counts and len(counts) == 1
+
     def _bounds(self, base: str, begin: object, end: object, pad_begin: int, pad_end: int) -> tuple[object, object]:
         """Bounds of dates after padding: nothing is read where both are given and neither is padded, else one small action over the base calendar."""
         if begin is not None and end is not None and not pad_begin and not pad_end:
@@ -179,6 +194,15 @@ class FactorStore:
         self.upsert(table, df, keys)
         return df
 
+    def save_bucketed(self, table: str, df: DataFrame, buckets: int) -> None:
+        """Save ``df`` whole, dealt into buckets by (time, code) and sorted in them, in place of what the table held.
+
+        Tables with the same number of buckets are joined on their keys without a shuffle, at any
+        number of tables.  Keys are unique and not NULL.  Such a table is saved as a whole only: there
+        are no date partitions to upsert.
+        """
+        bucketed.write(df, self.path(table), [self.time_col, self.code_col], buckets)
+
     def upsert(self, table: str, df: DataFrame, keys: list[str]) -> None:
         """Replace rows whose keys are in ``df`` and add the others.
 
@@ -188,6 +212,8 @@ class FactorStore:
         that either side lacks become NULL.  No rows leave the table as it is, or
         make an empty one of these columns.  ``df`` is evaluated once.
         """
+        if bucketed.buckets_of(self.spark, self.path(table)) is not None:
+            raise ValueError(f"{table!r} is bucketed: save it as a whole")
         if self.time_col not in keys:
             raise ValueError(f"keys {keys} lack the time column {self.time_col!r}")
         new = df.withColumn("date", F.to_date(self.time_col)).persist()

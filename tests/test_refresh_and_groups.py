@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.operators import calendar as cal
 from lodeframe.operators import transforms
+from lodeframe.sources import bucketed
 from lodeframe.sources.refresh import Carry, done_until, refresh
 from lodeframe.sources.store import FactorStore
 
@@ -198,3 +199,39 @@ def test_dates_and_bounds_without_reading_data(filled, quotes, monkeypatch):
     assert loaded.count() == quotes.where(F.col("date").between(F.lit(day(2)), F.lit(day(4)))).count()
     padded = filled.load("quotes/x", day(5), day(6), pad_begin=3, pad_end=2).select("date").distinct().orderBy("date").collect()
     assert [r[0] for r in padded] == [day(n) for n in range(3, 9)]
+
+
+# --- buckets ---
+
+
+def test_joins_of_bucketed_tables_shuffle_nothing(spark, tmp_path, quotes):
+    plain, s = FactorStore(spark), FactorStore(spark, str(tmp_path))
+    for n, table in enumerate("abcd"):
+        rows = quotes.where(F.col("code") % 4 != n).select("date", "code", F.col("x").alias(f"x{table}"), F.col("v").alias(f"v{table}"))
+        plain.attach(table, rows)
+        s.save_bucketed(table, rows, 4)
+    paths = [f"{t}/{c}{t}" for t in "abcd" for c in "xv"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for how in ("full", "inner", "left"):
+            got, wanted = s.load(paths, day(3), day(15), join=how), plain.load(paths, day(3), day(15), join=how)
+            assert got.columns == wanted.columns
+            assert "Exchange" not in plan_of(got), how
+            assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect())), how
+        # another session opens the tables from their records
+        again = FactorStore(spark.newSession(), str(tmp_path))
+        for t in "abcd":
+            spark.sql(f"DROP TABLE {bucketed._name(s.path(t))}")
+        got = again.load(paths)
+        assert "Bucketed: true" in plan_of(got)
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.load(paths).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert s.latest_date("a") == day(23)
+    with pytest.raises(ValueError, match="as a whole"):
+        s.save("a", quotes)
+    for bad in (quotes.unionByName(quotes), quotes.withColumn("code", F.lit(None).cast("long")).limit(1)):
+        with pytest.raises(ValueError, match="unique and not NULL"):
+            s.save_bucketed("e", bad, 2)
+    s.save_bucketed("f", quotes.limit(0), 2)
+    assert s.table("f").count() == 0
