@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions.columns import col, number, ratio
 from lodeframe.operators.series import newey_west
+from lodeframe.operators.sliding import LINEAR_FROM, sliding_sums
 
 CONST = "const"
 
@@ -169,10 +170,10 @@ def time_series(returns: DataFrame, factor_returns: DataFrame, factors: list[str
     return fit(returns.join(factor_returns, date), ret, factors, [code], intercept=True, cov=cov, nw_lag=nw_lag, order=date)
 
 
-def rolling_regression(df: DataFrame, y: str, xs: list[str], window: int = 252, least: int = 60, intercept: bool = True, date: str = "date", code: str = "code") -> DataFrame:
+def rolling_regression(df: DataFrame, y: str, xs: list[str], window: int = 252, least: int = 60, intercept: bool = True, date: str = "date", code: str = "code", linear: bool | None = None) -> DataFrame:
     """``code, date, term, beta, t`` over the last ``window`` calendar dates (``date_idx``) of each code.
 
-    The products are summed by windows.  A constant and one regressor are solved by column
+    The products are summed by windows, long ones (or all with ``linear``) in time that does not depend on their length.  A constant and one regressor are solved by column
     algebra on the sums; more regressors as stacked systems, a batch of rows at a time.
     """
     terms = [*([CONST] if intercept else []), *xs]
@@ -183,7 +184,12 @@ def rolling_regression(df: DataFrame, y: str, xs: list[str], window: int = 252,
     rows = df.select(code, date, "date_idx", number(y).alias("__y"), *(c.alias(f"__x{i}") for i, c in enumerate(columns)))
     use = lambda c: F.when(F.expr(full), c)
     x = [F.col(f"__x{i}") for i in range(k)]
-    sums = rows.select(code, date, F.count(use(F.lit(1))).over(w).alias("n"), F.array(*(F.sum(use(c)).over(w) for c in _products(x, F.col("__y")))).alias("g"), F.sum(use(F.col("__y") * F.col("__y"))).over(w).alias("syy"))
+    summed = {"__n": F.lit(1), **{f"__g{i}": c for i, c in enumerate(_products(x, F.col("__y")))}, "__yy": F.col("__y") * F.col("__y")}
+    if window >= LINEAR_FROM if linear is None else linear:
+        sums = sliding_sums(rows, {name: use(c) for name, c in summed.items()}, window, [code])
+    else:
+        sums = rows.select(code, date, *(F.sum(use(c)).over(w).alias(name) for name, c in summed.items()))
+    sums = sums.select(code, date, F.coalesce("__n", F.lit(0)).cast("long").alias("n"), F.array(*(f"__g{i}" for i in range(len(summed) - 2))).alias("g"), F.col("__yy").alias("syy"))
     if intercept and len(xs) == 1:
         return _simple_line(sums, code, date, xs[0], max(least, k + 1))
 

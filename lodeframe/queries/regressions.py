@@ -87,6 +87,20 @@ def rolling_beta(p: Panels) -> DataFrame:
     return out.select("code", "date", tidy("beta").alias("beta"))
 
 
+@query(
+    f"""
+SELECT code, date, {r('CASE WHEN n >= 30 THEN b END', 'beta')}
+FROM (SELECT b.code, b.date, count(f + ret) OVER w AS n, regr_slope(CASE WHEN f IS NOT NULL THEN ret END, CASE WHEN ret IS NOT NULL THEN f END) OVER w AS b
+      FROM (SELECT base.*, dense_rank() OVER (ORDER BY base.date) AS k FROM base) AS b LEFT JOIN hl ON hl.date = b.date WINDOW w AS (PARTITION BY b.code ORDER BY k RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)) AS x""",
+    RET, _ROWS, _G, _HL,
+)
+def rolling_beta_long(p: Panels) -> DataFrame:
+    """Sixty dates, thirty at least, by sums over blocks."""
+    rows = cal.with_date_idx(base(p)).join(hl(p), "date", "left")
+    out = regression.rolling_regression(rows, "ret", ["f"], window=60, least=30, linear=True).where("term = 'f'")
+    return out.select("code", "date", tidy("beta").alias("beta"))
+
+
 @query(f"SELECT date, code, {r('price - my - b * (disc - mx)', 'ortho')} FROM (SELECT date, code, price, disc, regr_slope(price, disc) OVER d AS b, avg(disc) OVER d AS mx, avg(price) OVER d AS my FROM panel WINDOW d AS (PARTITION BY date)) AS x")
 def ortho_residual(p: Panels) -> DataFrame:
     """One baseline."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeframe.functions.columns import by, correlation, tidy
 from lodeframe.operators import calendar as cal
 from lodeframe.operators import transforms as t
+from lodeframe.operators.sliding import rolled
 from lodeframe.plans.panels import Panels
 from lodeframe.queries import query, r
 
@@ -147,6 +148,18 @@ def w_rolling(p: Panels) -> DataFrame:
     return grid.select("code", "date", tidy(t.rolling("price", 6, "sum")).alias("total"), tidy(t.rolling("price", 6)).alias("mean"))
 
 
+@query(
+    f"""
+SELECT code, date, {r('CASE WHEN count(price) OVER c >= 20 THEN sum(price) OVER c END', 'total')}, {r('CASE WHEN count(price) OVER c >= 20 THEN avg(price) OVER c END', 'mean')}
+FROM grid WINDOW c AS (PARTITION BY code ORDER BY k ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""",
+    _GRID,
+)
+def w_rolling_long(p: Panels) -> DataFrame:
+    """Fifty calendar dates, twenty present at least, by sums over blocks."""
+    rows = rolled(cal.dense_grid(p.panel), "price", 50, {"total": "sum", "mean": "mean"}, min_periods=20, linear=True)
+    return rows.select("code", "date", tidy("total").alias("total"), tidy("mean").alias("mean"))
+
+
 @query(
     f"""
 SELECT code, date, {r('CASE WHEN count(price) OVER c >= 4 THEN sum(price) OVER c END', 'total')}, {r('CASE WHEN count(price) OVER c >= 4 THEN avg(price) OVER c END', 'mean')}

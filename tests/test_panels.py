@@ -70,14 +70,15 @@ def test_ewm_over_many_blocks_as_pandas(spark, alpha):
     np.testing.assert_allclose(got.s.to_numpy(float)[5:], sums[5:], rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize("linear", [False, True])
 @pytest.mark.parametrize("xs", [["x"], ["x", "y"]])
-def test_rolling_regression_as_numpy(spark, xs):
+def test_rolling_regression_as_numpy(spark, xs, linear):
     rng = np.random.default_rng(5)
     frame = pd.DataFrame([(c, i, *rng.normal(size=3)) for c in (1, 2) for i in range(1, 40) if (c, i) != (2, 7)], columns=["code", "date_idx", "x", "y", "r"])
     frame.loc[3, "r"] = None
     frame.loc[frame.code == 2, "x"] = 1.5
     rows = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "code long, date_idx int, x double, y double, r double")
-    got = regression.rolling_regression(rows.withColumn("date", F.col("date_idx")), "r", xs, window=10, least=6).toPandas()
+    got = regression.rolling_regression(rows.withColumn("date", F.col("date_idx")), "r", xs, window=10, least=6, linear=linear).toPandas()
     assert len(got) == len(frame) * (1 + len(xs))
     for (code, day), own in got.groupby(["code", "date"]):
         used = frame[(frame.code == code) & frame.date_idx.between(day - 9, day)].dropna()
