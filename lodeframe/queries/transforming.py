@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions.columns import by, correlation, tidy
 from lodeframe.operators import calendar as cal
+from lodeframe.operators import order
 from lodeframe.operators import transforms as t
 from lodeframe.operators.sliding import rolled
 from lodeframe.plans.panels import Panels
@@ -97,6 +98,27 @@ def x_mad(p: Panels) -> DataFrame:
     return rows.select("date", "code", tidy("clipped").alias("clipped"), tidy("dropped").alias("dropped"))
 
 
+_LINES = """li AS (SELECT l_orderkey AS o, l_linenumber AS l, l_extendedprice AS x, CASE WHEN l_linenumber <= 3 THEN CAST(l_quantity AS DOUBLE) END AS q FROM lineitem),
+mm AS (SELECT median(x) AS m FROM li), dd AS (SELECT median(abs(x - m)) AS d FROM li, mm)"""
+
+
+@query(
+    f"""
+SELECT o, l, rank() OVER (ORDER BY x DESC) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS down,
+       CASE WHEN q IS NOT NULL THEN rank() OVER (PARTITION BY q IS NULL ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0 END AS tied,
+       {r('least(greatest(x, m - 2 * d), m + 2 * d)', 'clipped')}
+FROM li, mm, dd""",
+    _LINES,
+)
+def order_one_date(p: Panels) -> DataFrame:
+    """W4, W5, X9 of all order lines as one date, in ranges of values: ranks of spread and of tied values, median bounds."""
+    rows = p.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_extendedprice").alias("x"), F.when(F.col("l_linenumber") <= 3, F.col("l_quantity").cast("double")).alias("q"), F.lit(1).alias("date"))
+    rows = order.with_ranks(rows, "x", ["date"], "down", ascending=False)
+    rows = order.with_ranks(rows, "q", ["date"], "tied")
+    rows = order.with_median_bounds(rows, "x", 2.0, ["date"], "clipped")
+    return rows.select("o", "l", "down", "tied", tidy("clipped").alias("clipped"))
+
+
 @query(f"SELECT date, code, {r('least(greatest(price, m - 1.5 * s), m + 1.5 * s)', 'clipped')} FROM (SELECT date, code, price, avg(price) OVER d AS m, stddev_samp(price) OVER d AS s FROM panel WINDOW d AS (PARTITION BY date)) AS x")
 def x_std_clip(p: Panels) -> DataFrame:
     """X10."""
