@@ -20,6 +20,9 @@ BROADCAST_BYTES = 16 << 20
 #: Most bytes of one Arrow batch: a task holds one on either side of the Python border.
 BATCH_BYTES = 4 << 20
 
+#: Spark's setting to remove the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -55,7 +58,13 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lodeframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the written rows stand for the plan from here on: its shuffle files go when the write ends
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
