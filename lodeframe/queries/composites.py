@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.functions.columns import tidy
-from lodeframe.operators import portfolio
+from lodeframe.operators import portfolio, transforms
 from lodeframe.plans import composites, evaluate
 from lodeframe.plans.panels import Panels
 from lodeframe.queries import query, r
@@ -280,8 +280,8 @@ def report_series(p: Panels) -> DataFrame:
     return evaluate.return_distribution(single(p), 10)
 
 
-def refreshed(p: Panels, panel: DataFrame) -> DataFrame:
-    """The store after ``panel`` with zeros and then ``panel`` itself came by stream, each as a batch of its own."""
+def refreshed(p: Panels, panel: DataFrame, processors: list | None = None) -> DataFrame:
+    """The table of a store after ``panel`` with zeros and then ``panel`` itself came by stream, each as a batch of its own."""
     spark, source, root, checkpoint = p.spark, scratch_path(p.spark), scratch_path(p.spark), scratch_path(p.spark)
     rows = panel.select("date", "code", "price", F.col("volume").cast("double").alias("volume"), F.lit(2).alias("version"))
     old = rows.select("date", "code", F.lit(0.0).alias("price"), F.lit(0.0).alias("volume"), F.lit(1).alias("version"))
@@ -290,17 +290,18 @@ def refreshed(p: Panels, panel: DataFrame) -> DataFrame:
         version.write.mode("append").parquet(source)
         # the checkpoint remembers the files of the first batch
         stream = spark.readStream.schema(rows.schema).parquet(source)
-        upsert_stream(stream, s, "factor", checkpoint, order="version").awaitTermination()
-    return s.table("factor").select("date", "code", "price", "volume")
+        upsert_stream(stream, s, "factor", checkpoint, order="version", processors=processors).awaitTermination()
+    return s.table("factor")
 
 
 @query("SELECT date, code, price, volume FROM panel")
 def stream_refresh(p: Panels) -> DataFrame:
     """S9, S6 by stream: files arrive twice, the later rows replace the stored ones."""
-    return refreshed(p, p.panel)
+    return refreshed(p, p.panel).select("date", "code", "price", "volume")
 
 
-@query("SELECT date, code, price, volume FROM panel")
+@query(f"SELECT date, code, price, {r('(price - avg(price) OVER d) / nullif(stddev_samp(price) OVER d, 0)', 'z')} FROM panel WINDOW d AS (PARTITION BY date)")
 def stream_refresh_whole(p: Panels) -> DataFrame:
-    """S9, S6 by stream over the whole panel."""
-    return refreshed(p, p.panel)
+    """S9, S6, X16 by stream: every batch with a processed copy of its columns."""
+    rows = refreshed(p, p.panel, [transforms.processor(transforms.zscore)])
+    return rows.select("date", "code", "price", tidy("price__zscore").alias("z"))

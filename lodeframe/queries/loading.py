@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions.columns import tidy
 from lodeframe.operators import calendar as cal
-from lodeframe.operators import returns, transforms
+from lodeframe.operators import reshape, returns, transforms
 from lodeframe.plans.panels import Panels
 from lodeframe.queries import query, r
 from lodeframe.session import scratch_path
@@ -123,14 +123,13 @@ def upsert_merge(p: Panels) -> DataFrame:
     return merged(p, p.factor_a)
 
 
-@query(
-    """
-SELECT date, code, price, volume FROM factor_a WHERE NOT (code % 2 = 0 AND date >= DATE '1998-01-01')
-UNION ALL SELECT date, code, -price AS price, volume + 1 AS volume FROM factor_a WHERE code % 2 = 0 AND date >= DATE '1998-01-01'"""
-)
+@query("SELECT a.date, a.code, CASE WHEN a.code % 2 = 1 THEN a.price END AS price, CASE WHEN a.code % 2 = 1 THEN a.volume END AS volume, CASE WHEN a.code % 2 = 0 THEN p.disc END AS disc FROM factor_a AS a JOIN panel AS p ON p.date = a.date AND p.code = a.code")
 def upsert_merge_whole(p: Panels) -> DataFrame:
-    """S5, S6, J9 over the whole table."""
-    return merged(p, p.factor_a)
+    """S5, S6, J9 with other columns: a batch of half the codes has a column that the table lacks and lacks those it has."""
+    s = FactorStore(p.spark, scratch_path(p.spark))
+    s.save("factor", p.factor_a)
+    s.save("factor", p.factor_a.select("date", "code").where("code % 2 = 0").join(p.panel.select("date", "code", "disc"), ["date", "code"]))
+    return s.table("factor").select("date", "code", "price", "volume", "disc")
 
 
 @query(
@@ -272,6 +271,15 @@ def unstack_whole(p: Panels) -> DataFrame:
     return back.select("date", F.col("code").cast("long").alias("code"), "value", "name")
 
 
+@query("SELECT date, code, CAST(price AS DOUBLE) AS value, 'price' AS name FROM factor_a WHERE price IS NOT NULL UNION ALL SELECT date, code, CAST(volume AS DOUBLE), 'volume' FROM factor_a WHERE volume IS NOT NULL")
+def unstack_blocks(p: Panels) -> DataFrame:
+    """The whole table to dense arrays of 64 codes a block and back, without a column a code."""
+    columns = p.factor_a.select("date", "code", F.col("price").cast("double"), F.col("volume").cast("double"))
+    rows = columns.unpivot(["date", "code"], ["price", "volume"], "name", "value")
+    codes = reshape.dictionary(rows, "code")
+    return reshape.stacked(reshape.wide_blocks(rows, codes, ["date", "name"], block=64), codes, ["date", "name"]).select("date", "code", "value", "name")
+
+
 @query("SELECT date, code, cap FROM panel WHERE code % 3 <> 0 UNION ALL SELECT date, code, cap FROM panel WHERE code % 3 = 0 AND date < DATE '1995-01-01'")
 def union_parts(p: Panels) -> DataFrame:
     """Parts by range of dates put together, repeated keys once."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.functions.columns import quantile_bucket
-from lodeframe.operators import order, transforms
+from lodeframe.operators import order, reshape, transforms
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +73,21 @@ def test_quantiles_as_numpy(rows, frame):
     for day, own in frame.groupby("date"):
         if own.x.notna().any():
             np.testing.assert_allclose(got[day], np.quantile(own.x.dropna(), [0.05, 0.5, 0.95]), rtol=1e-12)
+
+
+def test_a_hundred_thousand_codes_to_blocks_and_back(spark):
+    rows = spark.range(300_000).select((F.col("id") % 3).alias("date"), F.concat(F.lit("c"), F.lpad((F.col("id") % 100_000).cast("string"), 6, "0")).alias("code"), F.when(F.col("id") % 11 != 0, F.rand(4)).alias("value"))
+    rows = rows.where("not (date = 1 and code < 'c050000')").cache()
+    codes = reshape.dictionary(rows)
+    assert codes.agg(F.min("place"), F.max("place"), F.count_distinct("place")).first() == (0, 99_999, 100_000)
+    wide = reshape.wide_blocks(rows, codes, ["date"]).cache()
+    assert "CartesianProduct" not in wide._jdf.queryExecution().executedPlan().toString()
+    assert {r.width for r in wide.collect()} == {1024, 100_000 % 1024}
+    assert wide.where("size(cells) <> width").isEmpty()
+    ordered = wide.where("date = 0 and block = 2").first().cells
+    assert ordered == [r.value for r in rows.where("date = 0 and code >= 'c002048' and code < 'c003072'").orderBy("code").collect()]
+    back = reshape.stacked(wide, codes, ["date"])
+    given = rows.where("value is not null").select("date", "code", "value")
+    assert back.exceptAll(given).isEmpty()
+    assert back.count() == given.count()
+    assert reshape.wide_blocks(rows.limit(0), reshape.dictionary(rows.limit(0)), ["date"]).count() == 0
