@@ -210,18 +210,27 @@ class FactorStore:
         of the new one; keys must be unique in ``df``.  Only the date partitions that ``df``
         touches are read and rewritten, each as a whole once all of them are computed.  Columns
         that either side lacks become NULL.  No rows leave the table as it is, or
-        make an empty one of these columns.  ``df`` is evaluated once.
+        make an empty one of these columns.  ``df`` is evaluated once; one small job tests keys,
+        times of day (refused where the time column is ``date``) and emptiness together.
         """
         if bucketed.buckets_of(self.spark, self.path(table)) is not None:
             raise ValueError(f"{table!r} is bucketed: save it as a whole")
         if self.time_col not in keys:
             raise ValueError(f"keys {keys} lack the time column {self.time_col!r}")
-        new = df.withColumn("date", F.to_date(self.time_col)).persist()
+        t = F.col(self.time_col)
+        # a saved date is a day: where the time column has that name, a time of day would be lost
+        cut = t.cast("timestamp") != F.to_date(t).cast("timestamp") if self.time_col == "date" else F.lit(False)
+        new = df.withColumn("__cut", cut).withColumn("date", F.to_date(t)).persist()
+        kept = new
         try:
-            if not new.groupBy(*keys).count().where("count > 1").isEmpty():
+            found = new.groupBy(*keys).agg(F.count("*").alias("n"), F.max("__cut").alias("cut")).agg(F.max("n"), F.max("cut")).first()
+            if found[1]:
+                raise ValueError("the time column 'date' holds times of day: give it another name, so that they are kept beside the partitions' dates")
+            if found[0] is not None and found[0] > 1:
                 raise ValueError(f"keys {keys} repeat in the new rows")
+            new = new.drop("__cut")
             old = self.table(table)
-            if new.isEmpty():
+            if found[0] is None:
                 if old is None:
                     new.write.mode("overwrite").parquet(self._columns(table))
                 return
@@ -233,7 +242,7 @@ class FactorStore:
             rows = rows.hint("rebalance", F.col("date"))
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.path(table))
         finally:
-            new.unpersist()
+            kept.unpersist()
 
     def replace(self, table: str, df: DataFrame) -> None:
         """Write ``df``, whose time column holds dates, in place of the partitions of its dates."""

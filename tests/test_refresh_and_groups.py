@@ -235,3 +235,18 @@ def test_joins_of_bucketed_tables_shuffle_nothing(spark, tmp_path, quotes):
             s.save_bucketed("e", bad, 2)
     s.save_bucketed("f", quotes.limit(0), 2)
     assert s.table("f").count() == 0
+
+
+def test_times_of_day_are_kept_or_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(datetime.datetime(2024, 1, 1, 9, 30), 1, 1.0), (datetime.datetime(2024, 1, 1, 9, 31), 1, 2.0)], "date timestamp, code long, x double")
+    with pytest.raises(ValueError, match="times of day"):
+        FactorStore(spark, str(tmp_path)).save("minutes", rows)
+    s = FactorStore(spark, str(tmp_path), time_col="time")
+    s.save("minutes", rows.withColumnRenamed("date", "time"))
+    s.save("minutes", rows.withColumnRenamed("date", "time").where("x = 2").withColumn("x", F.lit(3.0)))
+    got = [(r.time, r.code, r.x, r.date) for r in s.table("minutes").orderBy("time").collect()]
+    assert got == [(datetime.datetime(2024, 1, 1, 9, 30), 1, 1.0, day(0)), (datetime.datetime(2024, 1, 1, 9, 31), 1, 3.0, day(0))]
+    midnight = spark.createDataFrame([(datetime.datetime(2024, 1, 2), 1, 1.0)], "date timestamp, code long, x double")
+    plain = FactorStore(spark, str(tmp_path))
+    plain.save("days", midnight)
+    assert plain.table("days").first().date == day(1)
