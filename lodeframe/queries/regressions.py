@@ -12,7 +12,7 @@ from lodeframe.operators import portfolio, pricing, regression, series
 from lodeframe.plans.panels import Panels
 from lodeframe.queries import query, r
 from lodeframe.queries.ics import IC, LONG, RET, base, ics_of
-from lodeframe.queries.portfolios import _G, _ROWS, single
+from lodeframe.queries.portfolios import _G, _ROWS, _SINGLE, single
 
 _CS = """cs AS (
   SELECT date, n, b, my - b * mx AS a, r2 FROM (SELECT date, count(*) AS n, regr_slope(ret, disc) AS b, avg(disc) AS mx, avg(ret) AS my, regr_r2(ret, disc) AS r2 FROM base WHERE ret IS NOT NULL GROUP BY 1) AS x WHERE n >= 3),
@@ -121,6 +121,50 @@ def gmm(p: Panels) -> DataFrame:
     return out.select(tidy(F.col("lambda")[0]).alias("price"), tidy("j").alias("j"), tidy("pvalue").alias("pvalue"))
 
 
+@query(
+    f"""
+SELECT {r('CASE WHEN t > 2 THEN t - 2 ELSE t END * alpha * alpha / ((crr - cfr * cfr / cff) / (t - 1)) / (1 + mf * mf / (cff / (t - 1)))', 'grs')}, t AS n_dates, CAST(1 AS BIGINT) AS n_assets
+FROM (SELECT *, mr - cfr / cff * mf AS alpha
+      FROM (SELECT count(*) AS t, avg(ret) AS mr, avg(f) AS mf, regr_syy(ret, f) AS crr, regr_sxx(ret, f) AS cff, regr_sxy(ret, f) AS cfr
+            FROM groups_ JOIN hl ON hl.date = groups_.date WHERE grp = 3 AND ret IS NOT NULL AND f IS NOT NULL) AS x) AS y""",
+    RET, _ROWS, _G, _SINGLE, _HL,
+)
+def grs_one(p: Panels) -> DataFrame:
+    """R8 of one portfolio, where the statistic has a closed form."""
+    out = pricing.grs_test(single(p).where("grp = 3"), hl(p), ["f"])
+    return out.select(tidy("grs").alias("grs"), "n_dates", "n_assets")
+
+
+@query(
+    f"""
+SELECT {r('price', 'price')}, {r('t * (power(b1 - a1 * price, 2) + power(b5 - a5 * price, 2))', 'j')}
+FROM (SELECT *, (a1 * b1 + a5 * b5) / (a1 * a1 + a5 * a5) AS price
+      FROM (SELECT count(*) AS t, avg(one.ret * f) AS a1, avg(five.ret * f) AS a5, avg(one.ret) AS b1, avg(five.ret) AS b5
+            FROM groups_ AS one JOIN groups_ AS five ON five.date = one.date JOIN hl ON hl.date = one.date
+            WHERE one.grp = 1 AND five.grp = 5 AND one.ret IS NOT NULL AND five.ret IS NOT NULL AND f IS NOT NULL) AS x) AS y""",
+    RET, _ROWS, _G, _SINGLE, _HL,
+)
+def gmm_two(p: Panels) -> DataFrame:
+    """R9 of two portfolios in one step, where price and statistic have a closed form."""
+    out = pricing.gmm_linear(single(p).where("grp in (1, 5)"), hl(p), ["f"], two_step=False)
+    return out.select(tidy(F.col("lambda")[0]).alias("price"), tidy("j").alias("j"))
+
+
+@query(
+    f"""
+SELECT date, term, {r("CASE term WHEN 'const' THEN my - b1 * m1 - b2 * m2 WHEN 'disc' THEN b1 ELSE b2 END", 'beta')}, {r('(b1 * s1y + b2 * s2y) / syy', 'r2')}, n
+FROM (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2
+      FROM (SELECT date, count(*) AS n, avg(disc) AS m1, avg(lv) AS m2, avg(ret) AS my, regr_sxx(ret, disc) AS s11, regr_sxx(ret, lv) AS s22, regr_sxy(disc, lv) AS s12,
+                   regr_sxy(ret, disc) AS s1y, regr_sxy(ret, lv) AS s2y, regr_syy(ret, disc) AS syy
+            FROM (SELECT date, disc, ln(volume) AS lv, ret FROM base WHERE ret IS NOT NULL) AS w GROUP BY 1) AS x WHERE n >= 4) AS y, (VALUES ('const'), ('disc'), ('lv')) AS k(term)""",
+    RET,
+)
+def cs_regression_two(p: Panels) -> DataFrame:
+    """R1, R4 of two factors, by closed form in SQL."""
+    out = regression.cross_sectional(base(p).withColumn("lv", F.log("volume")), ["disc", "lv"], cov="none").where("beta is not null")
+    return out.select("date", "term", tidy("beta").alias("beta"), tidy("r2").alias("r2"), "n")
+
+
 def white(p: Panels) -> DataFrame:
     rows = regression.residuals(base(p).where("ret is not null"), "ret", ["disc"], ["date"])
     return regression.white_test(rows, "resid", ["disc"], ["date"])
