@@ -1,6 +1,6 @@
 """A folder of factor tables: load and join named columns, save, upsert, inspect.
 
-Each table is a Parquet directory, partitioned by ``date`` where it was saved here.
+Each table is Parquet, partitioned by ``date`` where it was saved here (see :mod:`versions`).
 Everything but :meth:`FactorStore.save` and :meth:`FactorStore.upsert` is lazy.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodeframe.functions.columns import clean, named
 from lodeframe.operators.calendar import neighbours
 from lodeframe.operators.transforms import Grouped, Processor, process
-from lodeframe.sources import bucketed
+from lodeframe.sources import bucketed, versions
 
 JOINS = {"inner", "left", "right", "full"}
 
@@ -64,6 +64,8 @@ class FactorStore:
     def _raw(self, table: str) -> DataFrame | None:
         if (found := bucketed.opened(self.spark, self.path(table))) is not None:
             return found
+        if (version := versions.latest(self.spark, self.path(table))) is not None:
+            return versions.read(self.spark, self.path(table), version)
         for path in (self.path(table), self._columns(table)):
             try:
                 return self.spark.read.parquet(path)
@@ -208,10 +210,11 @@ class FactorStore:
 
         The time column is one of the keys, so that the old row of a key lies on the date
         of the new one; keys must be unique in ``df``.  Only the date partitions that ``df``
-        touches are read and rewritten, each as a whole once all of them are computed.  Columns
-        that either side lacks become NULL.  No rows leave the table as it is, or
-        make an empty one of these columns.  ``df`` is evaluated once; one small job tests keys,
-        times of day (refused where the time column is ``date``) and emptiness together.
+        touches are read and written anew, and a record makes them visible together: a write that
+        was killed leaves the old rows.  Columns that either side lacks become NULL.  No rows leave
+        the table as it is, or make an empty one of these columns.  ``df`` is evaluated once; one small
+        job tests keys, times of day (refused where the time column is ``date``) and emptiness
+        together and finds the dates.  Missing keys equal each other.  A Parquet folder that was not saved here is taken over whole.
         """
         if bucketed.buckets_of(self.spark, self.path(table)) is not None:
             raise ValueError(f"{table!r} is bucketed: save it as a whole")
@@ -223,38 +226,46 @@ class FactorStore:
         new = df.withColumn("__cut", cut).withColumn("date", F.to_date(t)).persist()
         kept = new
         try:
-            found = new.groupBy(*keys).agg(F.count("*").alias("n"), F.max("__cut").alias("cut")).agg(F.max("n"), F.max("cut")).first()
+            per_key = new.groupBy(*keys).agg(F.count("*").alias("n"), F.max("__cut").alias("cut"), F.max("date").alias("day"))
+            found = per_key.agg(F.max("n"), F.max("cut"), F.collect_set("day"), F.max(F.col("day").isNull())).first()
             if found[1]:
                 raise ValueError("the time column 'date' holds times of day: give it another name, so that they are kept beside the partitions' dates")
             if found[0] is not None and found[0] > 1:
                 raise ValueError(f"keys {keys} repeat in the new rows")
             new = new.drop("__cut")
-            old = self.table(table)
+            version = versions.latest(self.spark, self.path(table))
+            old = self.table(table) if version is None else clean(versions.read(self.spark, self.path(table), version, {*found[2], *([None] if found[3] else [])}))
             if found[0] is None:
                 if old is None:
                     new.write.mode("overwrite").parquet(self._columns(table))
                 return
             rows = new
             if old is not None:
-                touched = old.join(new.select("date").distinct(), "date", "left_semi")
-                rows = touched.join(new, keys, "left_anti").unionByName(new, allowMissingColumns=True)
+                mine = new.select(*(named(k).alias(f"__key{i}") for i, k in enumerate(keys)))
+                rows = old.join(mine, [old[f"`{k}`"].eqNullSafe(mine[f"__key{i}"]) for i, k in enumerate(keys)], "left_anti").unionByName(new, allowMissingColumns=True)
             # a date's rows go to one task, or a few where there are many
-            rows = rows.hint("rebalance", F.col("date"))
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.path(table))
+            versions.write(rows.hint("rebalance", F.col("date")), self.path(table), version)
         finally:
             kept.unpersist()
 
     def replace(self, table: str, df: DataFrame) -> None:
-        """Write ``df``, whose time column holds dates, in place of the partitions of its dates."""
-        rows = df.withColumn("date", F.to_date(self.time_col))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self.path(table))
+        """Write ``df``, whose time column holds dates, in place of the partitions of its dates; other dates of the table stay."""
+        path = self.path(table)
+        versions.write(df.withColumn("date", F.to_date(self.time_col)), path, versions.latest(self.spark, path))
+
+    def vacuum(self, table: str) -> list[str]:
+        """Delete what later writes replaced and what killed ones left; see :func:`versions.vacuum`."""
+        version = versions.latest(self.spark, self.path(table))
+        return [] if version is None else versions.vacuum(self.spark, self.path(table), version)
 
     # --- dates -------------------------------------------------------------------
 
     def dates(self, table: str) -> DataFrame:
-        """The distinct dates of a table.  Those of one that was saved here are its partitions: only the files' listing is read."""
+        """The distinct dates of a table.  Those of one that was saved here are in its records; of other partitioned ones only the files' listing is read."""
         df = self._known(table)
         if self.time_col == "date" and table not in self._attached:
+            if (version := versions.latest(self.spark, self.path(table))) is not None:
+                return self.spark.createDataFrame([(d,) for d in version.dates()], "date date")
             files = [unquote(x) for x in self._raw(table).inputFiles()]
             found = sorted({m[1] for f in files if (m := re.search(r"/date=(\d{4}-\d{2}-\d{2})/[^/]*$", f))})
             if found and all("/date=" in f for f in files):
