@@ -9,6 +9,7 @@ from lodeframe.functions.columns import tidy
 from lodeframe.operators import portfolio, transforms
 from lodeframe.plans import composites, evaluate
 from lodeframe.plans.panels import Panels
+from lodeframe.plans.together import Test, Together, run_together
 from lodeframe.queries import query, r
 from lodeframe.queries.ics import IC, LONG, NW, RET, base, ics_of
 from lodeframe.queries.loading import _D, _FEASIBLE, store
@@ -231,19 +232,19 @@ def evaluations(p: Panels) -> dict[str, evaluate.Evaluation]:
     }
 
 
-@query(
-    f"""
+_TESTS = f"""
 SELECT ec.test_key, ec.factor, CASE WHEN ec.factor = 'disc_ortho' THEN 'inc' ELSE 'raw' END AS restype, n, {r('coverage', 'coverage')}, {r('mean', 'mean')}, {r('slope_mean', 'slope_mean')}
-FROM ec LEFT JOIN ei ON ei.test_key = ec.test_key AND ei.factor = ec.factor LEFT JOIN es ON es.test_key = ec.test_key AND es.factor = ec.factor""",
-    *_EVAL,
-)
+FROM ec LEFT JOIN ei ON ei.test_key = ec.test_key AND ei.factor = ec.factor LEFT JOIN es ON es.test_key = ec.test_key AND es.factor = ec.factor"""
+
+
+@query(_TESTS, *_EVAL)
 def evaluation_run(p: Panels) -> DataFrame:
     """Two tests end to end with feasibility, rebalancing and a baseline."""
     out = evaluate.run_tests(evaluations(p))
     return out.select("test_key", "factor", "restype", "n", tidy("coverage").alias("coverage"), tidy("mean").alias("mean"), tidy("slope_mean").alias("slope_mean"))
 
 
-@query(
+_BETWEEN = (
     f"SELECT date, f1, f2, {r('CASE WHEN NOT isnan(c) THEN c END', 'corr')} FROM (" + " UNION ALL ".join(f"SELECT date, '{a}' AS f1, '{b}' AS f2, corr({a}, {b}) AS c FROM wide GROUP BY 1" for i, a in enumerate(["h1__cap", "h1__disc", "h1__disc_ortho", "h2__disc"]) for b in ["h1__cap", "h1__disc", "h1__disc_ortho", "h2__disc"][i + 1 :]) + ") AS x",
     *_EVAL[:4],
     """wide AS (
@@ -251,11 +252,32 @@ def evaluation_run(p: Panels) -> DataFrame:
          max(x) FILTER (WHERE factor = 'disc_ortho') AS h1__disc_ortho, max(x) FILTER (WHERE test_key = 'h2') AS h2__disc
   FROM lf GROUP BY 1, 2)""",
 )
+
+
+@query(*_BETWEEN)
 def evaluation_correlation(p: Panels) -> DataFrame:
     """Correlations over the outer-joined factors of two tests."""
     return evaluate.total_correlation(evaluations(p)).select("date", "f1", "f2", tidy("corr").alias("corr"))
 
 
+def together(p: Panels) -> Together:
+    tests = {"h1": Test(("disc", "cap"), baseline=("cap",)), "h2": Test(("disc",), horizon=2)}
+    return run_together(p.quotes, p.instruments, p.panel.select("date", "code", "disc", "cap"), tests, groups=5, roll=12)
+
+
+@query(_TESTS, *_EVAL)
+def evaluation_together(p: Panels) -> DataFrame:
+    """The tests of ``evaluation_run`` as rows of one plan."""
+    out = together(p).summary()
+    return out.select("test_key", "factor", "restype", "n", tidy("coverage").alias("coverage"), tidy("mean").alias("mean"), tidy("slope_mean").alias("slope_mean"))
+
+
+@query(*_BETWEEN)
+def evaluation_together_correlation(p: Panels) -> DataFrame:
+    """Correlations over the factors of all tests of one plan."""
+    return together(p).correlation().select("date", "f1", "f2", tidy("corr").alias("corr"))
+
+
 _LOADED = "rows_ AS (SELECT p.date, p.code, p.disc, p.cap AS weight, r1 AS ret FROM panel AS p JOIN fu ON fu.date = p.date AND fu.code = p.code WHERE feasible AND r1 IS NOT NULL AND p.date BETWEEN DATE '1994-01-01' AND DATE '1996-12-01')"
 
 
