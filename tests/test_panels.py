@@ -217,6 +217,40 @@ def test_pricing_as_numpy(spark):
     gap = m - a @ price
     assert gmm["lambda"] == pytest.approx(price.tolist(), rel=1e-5)
     assert gmm.j == pytest.approx(t * gap @ w @ gap, rel=1e-4)
+    # the same in tiles of three portfolios, after a date that lacks one of them
+    lacking = assets.union(spark.createDataFrame([(DAY(1999, 1, 1), 0, 0.5)], assets.schema))
+    longer = factors.union(spark.createDataFrame([(DAY(1999, 1, 1), 0.1, 0.1)], factors.schema))
+    tiled = pricing.grs_test(lacking, longer, ["f", "g"], tile=3).first()
+    assert tiled.grs == pytest.approx(got.grs, rel=1e-9)
+    assert (tiled.pvalue, tiled.n_dates, tiled.n_assets) == (pytest.approx(got.pvalue), t, n)
+    tiled = pricing.gmm_linear(lacking, longer, ["f", "g"], tile=3).first()
+    assert tiled["lambda"] == pytest.approx(price.tolist(), rel=1e-7)
+    assert tiled.j == pytest.approx(t * gap @ w @ gap, rel=1e-7)
+    one = pricing.gmm_linear(lacking, longer, ["f", "g"], two_step=False, tile=3).first()
+    assert one.j == pytest.approx(t * ((m - a @ first) ** 2).sum(), rel=1e-7)
+    # a portfolio that is there twice, no dates, too few dates
+    twice = assets.union(assets.where("grp = 1").withColumn("grp", F.lit(9).cast("long")))
+    assert pricing.grs_test(twice, factors, ["f", "g"], tile=2).first().grs is None
+    assert pricing.gmm_linear(twice, factors, ["f", "g"], tile=2).first().j is None
+    assert pricing.grs_test(assets, factors.limit(0), ["f"], tile=2).first().asDict() == {"grs": None, "pvalue": None, "n_dates": 0, "n_assets": n}
+    assert pricing.gmm_linear(assets, factors.limit(0), ["f"], tile=2).count() == 0
+    assert pricing.grs_test(assets, factors.where("date < '2000-01-05'"), ["f"], tile=2).first().grs is None
+
+
+def test_pricing_of_many_portfolios(spark):
+    """More portfolios than one task solves, in tiles of which the last is narrow, against numpy."""
+    t, n = 1100, 600
+    days = spark.range(t).select(F.expr("date_add(date'2000-01-01', cast(id as int))").alias("date"), F.randn(5).alias("f"))
+    assets = days.crossJoin(spark.range(n).withColumnRenamed("id", "grp")).select("date", "grp", F.expr("0.02 + 0.01 * (grp % 7) * f + 0.05 * (pmod(xxhash64(date, grp), 100001) / 50000 - 1)").alias("ret"))
+    got = pricing.grs_test(assets, days, ["f"]).first()
+    wide = assets.toPandas().pivot(index="date", columns="grp", values="ret").to_numpy()
+    f = days.orderBy("date").toPandas().f.to_numpy()
+    x = np.column_stack([np.ones(t), f])
+    b = np.linalg.lstsq(x, wide, rcond=None)[0]
+    e = wide - x @ b
+    grs = (t - n - 1) / n * b[0] @ np.linalg.solve(e.T @ e / (t - 1), b[0]) / (1 + f.mean() ** 2 / f.var(ddof=1))
+    assert (got.n_dates, got.n_assets) == (t, n)
+    assert got.grs == pytest.approx(grs, rel=1e-7)
 
 
 def test_white_test_as_numpy(noisy):
