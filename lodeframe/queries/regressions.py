@@ -135,6 +135,22 @@ def grs_one(p: Panels) -> DataFrame:
     return out.select(tidy("grs").alias("grs"), "n_dates", "n_assets")
 
 
+@query(
+    f"""
+SELECT {r("(t - 3) / 2.0 * (t - 1) * (a2 * a2 * e44 - 2 * a2 * a4 * e24 + a4 * a4 * e22) / (e22 * e44 - e24 * e24) / (1 + (t - 1) * mf * mf / cff)", 'grs')}, t AS n_dates, CAST(2 AS BIGINT) AS n_assets
+FROM (SELECT t, mf, cff, m2 - c2f / cff * mf AS a2, m4 - c4f / cff * mf AS a4, c22 - c2f * c2f / cff AS e22, c44 - c4f * c4f / cff AS e44, c24 - c2f * c4f / cff AS e24
+      FROM (SELECT count(*) AS t, avg(f) AS mf, regr_sxx(two.ret, f) AS cff, avg(two.ret) AS m2, avg(four.ret) AS m4, regr_sxy(two.ret, f) AS c2f, regr_sxy(four.ret, f) AS c4f,
+                   regr_syy(two.ret, f) AS c22, regr_syy(four.ret, f) AS c44, regr_sxy(two.ret, four.ret) AS c24
+            FROM groups_ AS two JOIN groups_ AS four ON four.date = two.date JOIN hl ON hl.date = two.date
+            WHERE two.grp = 2 AND four.grp = 4 AND two.ret IS NOT NULL AND four.ret IS NOT NULL AND f IS NOT NULL) AS x) AS y""",
+    RET, _ROWS, _G, _SINGLE, _HL,
+)
+def grs_two(p: Panels) -> DataFrame:
+    """R8 of two portfolios, a tile each."""
+    out = pricing.grs_test(single(p).where("grp in (2, 4)"), hl(p), ["f"], tile=1)
+    return out.select(tidy("grs").alias("grs"), "n_dates", "n_assets")
+
+
 @query(
     f"""
 SELECT {r('price', 'price')}, {r('t * (power(b1 - a1 * price, 2) + power(b5 - a5 * price, 2))', 'j')}
