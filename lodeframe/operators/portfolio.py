@@ -76,12 +76,13 @@ def monotonicity_by_date(groups: DataFrame, n: int, date: str = "date", series:
     rows = groups.groupBy(*key, "grp").agg(F.avg("ret").alias("ret")).where("ret is not null")
     rows = rows.withColumn("__n", F.count("*").over(by(*key))).where(F.col("__n") >= max(5, n // 2))
     ranked = rows.withColumn("__g", average_rank("grp", by(*key))).withColumn("__r", average_rank("ret", by(*key)))
-    first = ranked.groupBy(*key).agg(correlation("__g", "__r").alias("spearman"), F.regr_slope("ret", "grp").alias("slope"))
-    other = rows.select(*key, F.col("grp").alias("g2"), F.col("ret").alias("r2"))
-    pairs = rows.join(other, key).where("grp < g2")  # n (n - 1) / 2 pairs a date, n groups
-    sign = F.signum(F.col("r2") - F.col("ret"))
-    tau = pairs.groupBy(*key).agg(ratio(F.sum(sign), F.sqrt(F.count("*") * F.sum(sign * sign))).alias("kendall"))
-    return first.join(tau, key, "left")
+    # n groups a date at most, and n (n - 1) / 2 signs of their differences
+    later = "transform(slice(__all, i + 2, size(__all)), y -> signum(y.ret - x.ret))"
+    signs = F.expr(f"flatten(transform(__all, (x, i) -> {later}))")
+    out = ranked.groupBy(*key).agg(correlation("__g", "__r").alias("spearman"), F.regr_slope("ret", "grp").alias("slope"), F.sort_array(F.collect_list(F.struct("grp", "ret"))).alias("__all"))
+    total = F.expr("aggregate(__signs, 0D, (a, s) -> a + s)")
+    met = F.expr("size(__signs) * aggregate(__signs, 0D, (a, s) -> a + s * s)")
+    return out.withColumn("__signs", signs).select(*key, "spearman", "slope", ratio(total, F.sqrt(met)).alias("kendall"))
 
 
 def monotonicity(groups: DataFrame, n: int, date: str = "date", least: int = 30, series: tuple[str, ...] = ()) -> DataFrame:
