@@ -99,7 +99,8 @@ def write(rows: DataFrame, path: str, before: Version | None) -> None:
 def vacuum(spark: SparkSession, path: str, version: Version) -> list[str]:
     """Delete partitions that a later record replaced and folders of writes that never ended; returns their names.
 
-    Not while a write runs, nor while a frame that was opened before the last write is still read.
+    Then the records become one file.  Not while a write runs or a table is opened, nor while a frame that
+    was opened before the last write is still read.
     """
     home = spark._jvm.org.apache.hadoop.fs.Path(_rows(path))
     files = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -116,4 +117,25 @@ def vacuum(spark: SparkSession, path: str, version: Version) -> list[str]:
             if name.startswith("date=") and name.removeprefix("date=") not in kept:
                 files.delete(part.getPath(), True)
                 gone.append(f"{folder}/{name}")
+    _merge_records(spark, path, version)
     return gone
+
+
+def _merge_records(spark: SparkSession, path: str, version: Version) -> None:
+    """One file of records, each with the dates that it still holds, in place of a file a write.
+
+    Merged and older records side by side, as a killed run leaves them, tell the same state once
+    replaced partitions are gone.
+    """
+    home = spark._jvm.org.apache.hadoop.fs.Path(_records(path))
+    files = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in files.listStatus(home) if f.getPath().getName().endswith(".parquet")]
+    if len(old) < 2:
+        return
+    merged = {}
+    for r in spark.read.schema(_RECORD).parquet(_records(path)).collect():
+        if dates := [d for d in r.dates if version.places[d] == r.folder]:
+            merged[r.folder] = (r.seq, r.folder, dates, r["columns"])
+    spark.createDataFrame([*merged.values()], _RECORD).coalesce(1).write.mode("append").parquet(_records(path))
+    for file in old:
+        files.delete(file, False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import DataFrameWriter
@@ -99,3 +100,24 @@ def test_a_folder_of_parquet_is_taken_over_whole(spark, tmp_path):
         assert s.latest_date(table) == day(3)
         s.save(table, rows(spark, [3, 4], 2.0, codes=(1,)))
         assert content(s, table) == sorted([(day(d), c, (2.0 if d == 3 and c == 1 else 1.0) * c) for d in range(4) for c in (1, 2, 3)] + [(day(4), 1, 2.0)], key=str)
+
+
+def test_vacuum_merges_records(spark, store, tmp_path):
+    store.save("t", rows(spark, range(4, 8), 2.0))
+    store.save("t", rows(spark, [7], 3.0).withColumn("y", F.lit("new")))
+    store.save("t", spark.createDataFrame([(None, 1, 5.0)], "date date, code long, x double"))
+    before, at = content(store), Path(store.path("t") + ".commits")
+    old = {f.name: f.read_bytes() for f in at.glob("*.parquet")}
+    assert len(old) == 4
+    columns, last = set(store.table("t").columns), store.latest_date("t")
+    store.vacuum("t")
+    assert len([*at.glob("*.parquet")]) == 1
+    assert content(store) == before
+    assert (set(store.table("t").columns), store.latest_date("t")) == (columns, last)
+    # a run that was killed before it deleted the older files
+    for name, data in old.items():
+        (at / name).write_bytes(data)
+    assert content(store) == before
+    store.save("t", rows(spark, [0], 9.0))
+    assert content(store) == sorted([r for r in before if r[0] != day(0)] + [(day(0), c, 9.0 * c) for c in (1, 2, 3)], key=str)
+    assert store.vacuum("t") and len([*at.glob("*.parquet")]) == 1
