@@ -1,8 +1,8 @@
-"""Wide tables of any number of codes: dense arrays in blocks instead of a column a code.
+"""Wide tables of any number of codes: blocks of dense arrays or of columns instead of a column a code.
 
 A dictionary numbers the codes in their order.  A wide row is cut into blocks of so many
-codes, each an array with one place a code; so the plan does not grow with the codes, none of
-them is collected, and no task holds more than blocks.
+codes, each an array (or a row of columns) with one place a code; so the plan does not grow
+with the codes, none of them is collected, and no task holds more than blocks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from lodeframe.session import scratch_path
 #: Codes of one block.
 BLOCK = 1024
 
+#: Columns of one block of columns.
+COLUMNS = 64
+
 
 def dictionary(rows: DataFrame, code: str = "code") -> DataFrame:
     """``code, place``: the distinct codes that are not NULL, numbered from 0 in their order.
@@ -55,3 +58,23 @@ def stacked(wide: DataFrame, codes: DataFrame, keys: list[str], code: str = "cod
     cells = wide.select(*keys, "block", "step", F.posexplode("cells").alias("__at", value)).where(F.col(value).isNotNull())
     cells = cells.withColumn("place", F.col("block") * F.col("step") + F.col("__at"))
     return cells.join(codes, "place").select(*keys, F.col("code").alias(code), value)
+
+
+def wide_columns(rows: DataFrame, codes: DataFrame, keys: list[str], code: str = "code", value: str = "value", block: int = COLUMNS) -> DataFrame:
+    """``keys, block, c0, c1, ...`` from long rows: one column a code of the block, NULL where it has no value.
+
+    Column ``c<i>`` of a block is the code with the place ``block * <block> + i``.  Absent values, several
+    of one code and keys, and rows without a code are treated as in :func:`wide_blocks`.
+    """
+    placed = rows.where(F.col(value).isNotNull()).join(codes.withColumnRenamed("code", "__code"), F.col(code) == F.col("__code"))
+    placed = placed.withColumn("__block", F.expr(f"place div {block}")).withColumn("__at", F.expr(f"cast(place % {block} as int)"))
+    # plain aggregates of a fixed number of places: nothing is collected to name them
+    return placed.groupBy(*keys, F.col("__block").alias("block")).agg(*(F.max(F.when(F.col("__at") == i, F.col(value))).alias(f"c{i}") for i in range(block)))
+
+
+def columns_stacked(wide: DataFrame, codes: DataFrame, keys: list[str], code: str = "code", value: str = "value") -> DataFrame:
+    """``keys, code, value`` from blocks of columns; absent cells drop out."""
+    names = [c for c in wide.columns if c not in (*keys, "block")]
+    cells = wide.withColumnsRenamed({c: str(i) for i, c in enumerate(names)}).unpivot([*keys, "block"], [str(i) for i in range(len(names))], "__at", value).where(F.col(value).isNotNull())
+    cells = cells.withColumn("place", F.col("block") * len(names) + F.col("__at").cast("long"))
+    return cells.join(codes, "place").select(*keys, F.col("code").alias(code), value)

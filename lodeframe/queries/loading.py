@@ -257,18 +257,18 @@ def stack_unstack(p: Panels) -> DataFrame:
 
 
 def unstack(rows: DataFrame) -> DataFrame:
-    """``date, name`` and a column a code from ``date, code, name, value``; the plan grows with the number of codes."""
+    """``date, name`` and a column a code from ``date, code, name, value``, for few codes: the plan grows with them (:func:`reshape.wide_columns` has any number)."""
     codes = [c.code for c in rows.select("code").distinct().orderBy("code").collect()]
     return rows.groupBy("date", "name").pivot("code", codes).agg(F.first("value"))
 
 
 @query("SELECT date, code, CAST(price AS DOUBLE) AS value, 'price' AS name FROM factor_a WHERE price IS NOT NULL UNION ALL SELECT date, code, CAST(volume AS DOUBLE), 'volume' FROM factor_a WHERE volume IS NOT NULL")
 def unstack_whole(p: Panels) -> DataFrame:
-    """The whole table from long to wide by code and back; absent cells drop out."""
+    """The whole table from long to wide by code, 64 columns a block of codes, and back; absent cells drop out."""
     columns = p.factor_a.select("date", "code", F.col("price").cast("double"), F.col("volume").cast("double"))
-    wide = unstack(columns.unpivot(["date", "code"], ["price", "volume"], "name", "value"))
-    back = wide.unpivot(["date", "name"], wide.columns[2:], "code", "value").where("value is not null")
-    return back.select("date", F.col("code").cast("long").alias("code"), "value", "name")
+    rows = columns.unpivot(["date", "code"], ["price", "volume"], "name", "value")
+    codes = reshape.dictionary(rows, "code")
+    return reshape.columns_stacked(reshape.wide_columns(rows, codes, ["date", "name"]), codes, ["date", "name"]).select("date", "code", "value", "name")
 
 
 @query("SELECT date, code, CAST(price AS DOUBLE) AS value, 'price' AS name FROM factor_a WHERE price IS NOT NULL UNION ALL SELECT date, code, CAST(volume AS DOUBLE), 'volume' FROM factor_a WHERE volume IS NOT NULL")
