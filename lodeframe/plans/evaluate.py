@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.functions.columns import by
 from lodeframe.operators import ic, portfolio, returns, series
 from lodeframe.operators.calendar import rebalance_dates
 from lodeframe.operators.regression import orthogonalise
@@ -150,8 +151,12 @@ def total_correlation(tests: dict[str, Evaluation], method: str = "pearson") ->
 
 
 def return_distribution(groups: DataFrame, bins: int = 30) -> DataFrame:
-    """``grp, bin, n``: histogram of each group's returns between its extremes."""
-    ends = groups.groupBy("grp").agg(F.min("ret").alias("lo"), F.max("ret").alias("hi"))
-    rows = groups.where("ret is not null").join(ends, "grp")
+    """``grp, bin, n``: histogram of each group's returns between its extremes.
+
+    Returns and extremes come from one evaluation: sums taken twice may differ in the last bit, and
+    the least return would then fall below its own extreme.
+    """
+    within = by("grp")
+    rows = groups.where("ret is not null").select("grp", "ret", F.min("ret").over(within).alias("lo"), F.max("ret").over(within).alias("hi"))
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("ret") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1, F.lit(bins))).otherwise(1)
     return rows.groupBy("grp", place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
