@@ -1,10 +1,10 @@
 """Ranks, quantiles and buckets of groups of any size: one date is many tasks.
 
 The values of a group are first counted (a tie that a third of all rows share arrives as one
-row a task), the distinct ones are dealt into ranges between approximate quantiles, and
-running counts inside a range are put on top of the counts of the ranges before it.  All
-results are exact; the approximate quantiles only decide where a range ends, and are written
-to the shared folder so that every reader sees the same ones.  Windows by date
+row a task), the distinct ones are dealt into ranges in their order, and running counts inside
+a range are put on top of the counts of the ranges before it.  All results are exact; the
+sample that Spark takes for the ranges only decides where one ends, and the dealt values are written
+to the shared folder so that every reader sees the same ranges.  Windows by date
 (:mod:`lodeframe.operators.transforms`) do the same with less work where a date fits one task.
 """
 
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from lodeframe.functions.columns import place_in
 from lodeframe.operators.transforms import bounded
-from lodeframe.session import scratch_path
+from lodeframe.session import kept
 
-#: Ranges that the values of one group are dealt into.
+#: Ranges that the values of all groups are dealt into.
 RANGES = 256
 
 
@@ -36,17 +36,12 @@ def _renamed(df: DataFrame, keys: list[str], *others: str) -> DataFrame:
 def distribution(df: DataFrame, x: str, keys: list[str], ranges: int = RANGES, times: str | None = None) -> DataFrame:
     """``keys, value, n, before, total``: how often each present value of ``x`` occurs in its group, the rows with smaller ones, and all.
 
-    A row counts as often as its column ``times`` says (once without it).  Writes one small table of
-    range ends; the rest is lazy.
+    A row counts as often as its column ``times`` says (once without it).  Writes the distinct
+    values with their counts and ranges; the rest is lazy.
     """
     often = F.col(times) if times else F.lit(1)
-    spark = df.sparkSession
     values = df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("value"), often.alias("n")).groupBy(*keys, "value").agg(F.sum("n").alias("n"))
-    ends = values.groupBy(*keys).agg(F.percentile_approx("value", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(20 * ranges)).alias("__ends"))
-    path = scratch_path(spark)
-    _renamed(ends, keys, "__ends").write.parquet(path)
-    ends = spark.read.parquet(path)
-    placed = values.join(ends, _on(values, ends, keys)).select(*keys, "value", "n", F.size(F.filter("__ends", lambda e: e < F.col("value"))).alias("__range"))
+    placed = kept(values.repartitionByRange(ranges, *keys, "value").withColumn("__range", F.spark_partition_id()))
     sums = placed.groupBy(*keys, "__range").agg(F.sum("n").alias("__sum"))
     by = Window.partitionBy(*keys)
     below = F.sum("__sum").over(by.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
@@ -58,11 +53,18 @@ def distribution(df: DataFrame, x: str, keys: list[str], ranges: int = RANGES, t
 
 
 def with_ranks(df: DataFrame, x: str, keys: list[str], out: str, ascending: bool = True, known: DataFrame | None = None) -> DataFrame:
-    """Adds the rank of ``x`` in its group, from 1, with the mean rank for ties; missing stays missing."""
+    """Adds the rank of ``x`` in its group, from 1, with the mean rank for ties; missing stays missing.
+
+    Rows without ``x`` meet nothing, so they are spread over the tasks of the join by all their columns.
+    """
     known = distribution(df, x, keys) if known is None else known
     rank = F.col("before") + (F.col("n") + 1) / 2
     ranks = _renamed(known.select(*keys, F.col("value").alias("__value"), (rank if ascending else F.col("total") + 1 - rank).alias("__rank")), keys, "__value", "__rank")
-    joined = df.join(ranks, _on(df, ranks, keys) & (F.col(x).cast("double") == F.col("__value")), "left")
+    ranks = ranks.withColumn("__none", F.lit(0))
+    # maps have no hash
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = F.when(F.col(x).isNull(), F.pmod(F.xxhash64(*hashed), F.lit(4096)).cast("int") + 1).otherwise(0)
+    joined = df.join(ranks, _on(df, ranks, keys) & (F.col(x).cast("double") == F.col("__value")) & (spread == F.col("__none")), "left")
     return joined.select(*df.columns, F.col("__rank").alias(out))
 
 
@@ -91,10 +93,10 @@ def with_buckets(df: DataFrame, x: str, n: int, keys: list[str], out: str, known
     return joined.select(*df.columns, place_in(F.col(x).cast("double"), F.col("__edges")).cast("int").alias(out))
 
 
-def with_median_bounds(df: DataFrame, x: str, dev: float, keys: list[str], out: str, drop: bool = False) -> DataFrame:
+def with_median_bounds(df: DataFrame, x: str, dev: float, keys: list[str], out: str, drop: bool = False, known: DataFrame | None = None) -> DataFrame:
     """Adds ``x`` bounded at the median and ``dev`` median absolute deviations around it, as :func:`lodeframe.operators.transforms.mad_outlier` does."""
     half = [(1, 2)]
-    known = distribution(df, x, keys)
+    known = distribution(df, x, keys) if known is None else known
     middle = _renamed(quantile_values(known, keys, half).select(*keys, F.col("edges")[0].alias("__mid")), keys, "__mid")
     away = known.join(middle, _on(known, middle, keys)).select(*keys, F.abs(F.col("value") - F.col("__mid")).alias("away"), "n")
     spread = _renamed(quantile_values(distribution(away, "away", keys, times="n"), keys, half).select(*keys, F.col("edges")[0].alias("__mad")), keys, "__mad")

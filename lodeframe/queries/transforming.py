@@ -113,9 +113,10 @@ FROM li, mm, dd""",
 def order_one_date(p: Panels) -> DataFrame:
     """W4, W5, X9 of all order lines as one date, in ranges of values: ranks of spread and of tied values, median bounds."""
     rows = p.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_extendedprice").alias("x"), F.when(F.col("l_linenumber") <= 3, F.col("l_quantity").cast("double")).alias("q"), F.lit(1).alias("date"))
-    rows = order.with_ranks(rows, "x", ["date"], "down", ascending=False)
-    rows = order.with_ranks(rows, "q", ["date"], "tied")
-    rows = order.with_median_bounds(rows, "x", 2.0, ["date"], "clipped")
+    x, q = (order.distribution(rows, c, ["date"]) for c in "xq")
+    rows = order.with_ranks(rows, "x", ["date"], "down", ascending=False, known=x)
+    rows = order.with_ranks(rows, "q", ["date"], "tied", known=q)
+    rows = order.with_median_bounds(rows, "x", 2.0, ["date"], "clipped", known=x)
     return rows.select("o", "l", "down", "tied", tidy("clipped").alias("clipped"))
 
 
