@@ -13,6 +13,7 @@ from lodeframe.plans.panels import Panels
 from lodeframe.queries import query, r
 from lodeframe.queries.ics import IC, LONG, RET, base, ics_of
 from lodeframe.queries.portfolios import _G, _ROWS, _SINGLE, single
+from lodeframe.session import kept
 
 _CS = """cs AS (
   SELECT date, n, b, my - b * mx AS a, r2 FROM (SELECT date, count(*) AS n, regr_slope(ret, disc) AS b, avg(disc) AS mx, avg(ret) AS my, regr_r2(ret, disc) AS r2 FROM base WHERE ret IS NOT NULL GROUP BY 1) AS x WHERE n >= 3),
@@ -61,6 +62,12 @@ def hl(p: Panels) -> DataFrame:
     return portfolio.high_minus_low(single(p)).withColumnRenamed("hl", "f")
 
 
+def groups_and_hl(p: Panels) -> tuple[DataFrame, DataFrame]:
+    """Group returns and the highest less the lowest of them, both from one evaluation: pricing tests read them many times."""
+    groups = kept(single(p.stored()))
+    return groups, kept(portfolio.high_minus_low(groups).withColumnRenamed("hl", "f"))
+
+
 @query(
     f"""
 SELECT code, 'const' AS term, {r('a', 'beta')}, n FROM ts UNION ALL SELECT code, 'f', {r('b')}, n FROM ts""",
@@ -110,14 +117,16 @@ def ortho_residual(p: Panels) -> DataFrame:
 @query()
 def grs(p: Panels) -> DataFrame:
     """Quantile groups on the high-minus-low return; tested against numpy."""
-    out = pricing.grs_test(single(p).where("grp < 5"), hl(p), ["f"])
+    groups, f = groups_and_hl(p)
+    out = pricing.grs_test(groups.where("grp < 5"), f, ["f"])
     return out.select(tidy("grs").alias("grs"), tidy("pvalue").alias("pvalue"), "n_dates", "n_assets")
 
 
 @query()
 def gmm(p: Panels) -> DataFrame:
     """R9; tested against numpy."""
-    out = pricing.gmm_linear(single(p), hl(p), ["f"])
+    groups, f = groups_and_hl(p)
+    out = pricing.gmm_linear(groups, f, ["f"])
     return out.select(tidy(F.col("lambda")[0]).alias("price"), tidy("j").alias("j"), tidy("pvalue").alias("pvalue"))
 
 
@@ -131,7 +140,8 @@ FROM (SELECT *, mr - cfr / cff * mf AS alpha
 )
 def grs_one(p: Panels) -> DataFrame:
     """R8 of one portfolio, where the statistic has a closed form."""
-    out = pricing.grs_test(single(p).where("grp = 3"), hl(p), ["f"])
+    groups, f = groups_and_hl(p)
+    out = pricing.grs_test(groups.where("grp = 3"), f, ["f"])
     return out.select(tidy("grs").alias("grs"), "n_dates", "n_assets")
 
 
@@ -147,7 +157,8 @@ FROM (SELECT t, mf, cff, m2 - c2f / cff * mf AS a2, m4 - c4f / cff * mf AS a4, c
 )
 def grs_two(p: Panels) -> DataFrame:
     """R8 of two portfolios, a tile each."""
-    out = pricing.grs_test(single(p).where("grp in (2, 4)"), hl(p), ["f"], tile=1)
+    groups, f = groups_and_hl(p)
+    out = pricing.grs_test(groups.where("grp in (2, 4)"), f, ["f"], tile=1)
     return out.select(tidy("grs").alias("grs"), "n_dates", "n_assets")
 
 
@@ -162,7 +173,8 @@ FROM (SELECT *, (a1 * b1 + a5 * b5) / (a1 * a1 + a5 * a5) AS price
 )
 def gmm_two(p: Panels) -> DataFrame:
     """R9 of two portfolios in one step, where price and statistic have a closed form."""
-    out = pricing.gmm_linear(single(p).where("grp in (1, 5)"), hl(p), ["f"], two_step=False)
+    groups, f = groups_and_hl(p)
+    out = pricing.gmm_linear(groups.where("grp in (1, 5)"), f, ["f"], two_step=False)
     return out.select(tidy(F.col("lambda")[0]).alias("price"), tidy("j").alias("j"))
 
 
