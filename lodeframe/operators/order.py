@@ -60,7 +60,8 @@ def with_ranks(df: DataFrame, x: str, keys: list[str], out: str, ascending: bool
     known = distribution(df, x, keys) if known is None else known
     rank = F.col("before") + (F.col("n") + 1) / 2
     ranks = _renamed(known.select(*keys, F.col("value").alias("__value"), (rank if ascending else F.col("total") + 1 - rank).alias("__rank")), keys, "__value", "__rank")
-    ranks = ranks.withColumn("__none", F.lit(0))
+    # zero of every value, but not a constant, which would not be a key of the join
+    ranks = ranks.withColumn("__none", F.pmod(F.xxhash64("__value"), F.lit(1)).cast("int"))
     # maps have no hash
     hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     spread = F.when(F.col(x).isNull(), F.pmod(F.xxhash64(*hashed), F.lit(4096)).cast("int") + 1).otherwise(0)
