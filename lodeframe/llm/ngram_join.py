@@ -43,6 +43,7 @@ _ROUNDS = 8
 #: Most documents in one block of a tile.
 BLOCK_ROWS = 1024
 _U32 = np.uint64(32)
+_TILE_CUT = np.uint64(16)
 
 
 def shingle_sets(raw: list[bytes], k: int) -> list[np.ndarray]:
@@ -153,8 +154,9 @@ def _set_rows(k: int):
 
 
 def _tile_rows(k: int, percent: int):
-    """Rows (spread, tile, rep, doc, score): of the rows of a batch that share a tile one is the head (rep = doc).
+    """Rows (tile, rep, doc, score): of the rows of a batch that share a tile one is the head (rep = doc).
 
+    Tiles keep 48 of their bits, so that less travels: tiles that fall together only add candidates.
     The head is the document that shares most tiles with others of the batch, its
     score; near the centre of a group of copies that number is largest.
     """
@@ -170,7 +172,7 @@ def _tile_rows(k: int, percent: int):
                     docs.append(np.full(len(t), ids[first + i], np.int64))
             if not tiles:
                 continue
-            tile, doc = np.concatenate(tiles), np.concatenate(docs)
+            tile, doc = np.concatenate(tiles) >> _TILE_CUT, np.concatenate(docs)
             order = np.lexsort((doc, tile))
             tile, doc = tile[order], doc[order]
             once = np.ones(len(tile), bool)
@@ -185,16 +187,15 @@ def _tile_rows(k: int, percent: int):
             order = np.lexsort((doc, -score, tile))
             tile, doc, score = tile[order], doc[order], score[order]
             rep = doc[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(new) else doc
-            spread = np.where(rep == doc, tile, mix(tile + doc.astype(np.uint64)))
             order = np.argsort(doc, kind="stable")  # rows of a document together compress best
-            cols = [pa.array(x[order]) for x in (spread.view(np.int64), tile.view(np.int64), rep, doc, score)]
-            yield pa.RecordBatch.from_arrays(cols, names=["spread", "tile", "rep", "doc", "score"])
+            cols = [pa.array(x[order]) for x in (tile.view(np.int64), rep, doc, score)]
+            yield pa.RecordBatch.from_arrays(cols, names=["tile", "rep", "doc", "score"])
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (spread, tile, score descending): (tile, hub, doc), heads on the tile's first head, others on their own head."""
+    """Rows sorted by (tile, score descending): (tile, hub, doc), heads on the tile's first head, others on their own head."""
     last_tile, hub = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -399,8 +400,9 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_
     by_id = members.groupBy("doc_id").agg(F.min("head").alias("head"), F.max("head").alias("other"), F.max(F.expr("head = doc_id")).alias("stands"))
     by_id = stored(by_id)
     alone = known.join(sized(by_id.where("not stands").select("doc_id")), "doc_id", "left_anti")
-    tiles = mapped(alone, _tile_rows(k, percent), "spread long, tile long, rep long, doc long, score int")
-    tiles = tiles.repartition("spread").sortWithinPartitions("spread", "tile", F.desc("score"), "doc")
+    tiles = mapped(alone, _tile_rows(k, percent), "tile long, rep long, doc long, score int")
+    # heads of a tile meet; the others are dealt over all tasks
+    tiles = tiles.repartition(F.when(F.col("rep") == F.col("doc"), F.col("tile")).otherwise(F.xxhash64("tile", "doc"))).sortWithinPartitions("tile", F.desc("score"), "doc")
     stars = stored(mapped(tiles, _stars, "tile long, hub long, doc long"))
     discard(members)
     tried = stored(stars.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct())
