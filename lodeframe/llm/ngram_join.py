@@ -19,7 +19,9 @@ in one bitmap only stands for an element missing from the other set, so the bit
 counts bound the overlap from above.  Survivors are decided by intersecting the
 sorted hash arrays.  Tiles left with more than one component after that compare
 the sets of different components, block against block of a bounded size; only pairs
-that pass the bound leave a task, each from the first of the tiles that it shares.
+that pass the bound leave a task.  Of tiles with the same members one is enough there, as near
+copies share most of their tiles, and a pair that shares one of the first few tiles of both leaves
+from the first of these only; what leaves twice is made one afterwards.
 
 *Skew.*  Every task first collapses equal tiles among its own rows, so a tile that
 a third of all documents share arrives as one row per batch.
@@ -42,6 +44,8 @@ from lodeframe.llm.words import Words, encoded_blocks, mix, shingle_hashes
 _ROUNDS = 8
 #: Most documents in one block of a tile.
 BLOCK_ROWS = 1024
+#: Tiles of a document that travel with each of its members: were it all, they would grow with their square.
+EARLIER = 16
 _U32 = np.uint64(32)
 _TILE_CUT = np.uint64(16)
 
@@ -319,7 +323,7 @@ def _across(percent: int):
                 # with several rows of one id the sizes are ranges; the bound then holds for the largest only
                 ok = (100 * c >= percent * (na + nb - c)) | (least[x[i]] != na) | (least[right[j]] != nb)
                 i, j = x[i[ok]], right[j[ok]]
-                # a pair that shares an earlier tile is met there
+                # a pair that is known to share an earlier tile is met there
                 first = np.fromiter((earlier(m).isdisjoint(earlier(n)) for m, n in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
                 p, q = doc[i[first]], doc[j[first]]
                 found_a.append(np.minimum(p, q))
@@ -363,12 +367,16 @@ def _mixed_tiles(stars: DataFrame, tried: DataFrame, links: DataFrame, parts: Da
 def _across_tiles(stars: DataFrame, mixed: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a mixed tile and pass the bound, block against block."""
     rows = stars.join(mixed, "tile", "left_semi")
-    members = stored(rows.select("tile", "doc").unionByName(rows.select("tile", F.col("hub").alias("doc"))).distinct())
-    sizes = members.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    every = stored(rows.select("tile", "doc").unionByName(rows.select("tile", F.col("hub").alias("doc"))).distinct())
+    # members of a tile are told by their number and 128 bits of their hashes
+    alike = every.groupBy("tile").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc")).alias("f1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("f2"))
+    sizes = alike.groupBy("size", "f1", "f2").agg(F.min("tile").alias("tile")).select("tile", F.ceil(F.col("size") / BLOCK_ROWS).alias("blocks"))
+    members = stored(every.join(sizes, "tile"))
+    discard(every, shuffles=False)
     sketch = sets.groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max_by("bits", "n").alias("bits"))
     sketch = sketch.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc"))
-    sketch = sketch.join(members.groupBy("doc").agg(F.collect_list("tile").alias("tiles")), "doc")
-    dealt = members.join(sizes, "tile").join(sketch, "doc").withColumn("earlier", F.expr("filter(tiles, t -> t < tile)")).withColumn("block", F.expr("pmod(xxhash64(doc), blocks)"))
+    sketch = sketch.join(members.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("tile")), 1, EARLIER).alias("tiles")), "doc")
+    dealt = members.join(sketch, "doc").withColumn("earlier", F.expr("filter(tiles, t -> t < tile)")).withColumn("block", F.expr("pmod(xxhash64(doc), blocks)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     dealt = dealt.select("tile", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc", "part", "least", "most", "bits", "earlier")
     dealt = dealt.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi")

@@ -107,6 +107,25 @@ def test_ngram_join_finds_chains_beyond_the_hub(spark):
     assert {r.doc_id: r.component_id for r in got} == root
 
 
+def test_tiles_with_equal_members_are_compared_once(spark, monkeypatch):
+    """What a member of a tile brings along grows neither with the tiles that have the same members nor with all tiles of its document."""
+    tiles, docs = 60, (1, 2, 3)
+    linked = [(t, 1, d) for t in range(tiles) for d in docs[1:]] + [(tiles + d, d, 10 + d) for d in docs] + [(100 + t, 1, 20 + t) for t in range(30)]
+    stars = stored(spark.createDataFrame(linked, "tile long, hub long, doc long"))
+    ids = [r.doc for r in stars.select("doc").union(stars.select("hub")).distinct().collect()]
+    shingles = np.sort(np.random.default_rng(3).integers(1 << 60, size=100).astype(np.uint64))
+    sets = spark.createDataFrame([(d, 100, ngram_join.bitmap(shingles)) for d in ids], "doc_id long, n long, bits binary")
+    parts = spark.createDataFrame([], "node long, component long")
+    met = []
+    monkeypatch.setattr(ngram_join, "mapped", lambda df, function, schema: met.append(df) or frames.mapped(df, function, schema))
+    pairs = ngram_join._across_tiles(stars, stars.select("tile").distinct(), sets, parts, 80).distinct()
+    want = {(a, b) for a in docs for b in docs if a < b} | {(d, 10 + d) for d in docs} | {(1, 20 + t) for t in range(30)}
+    assert {tuple(r) for r in pairs.collect()} == want
+    rows = met[0].collect()
+    assert len(rows) == 3 + 2 * 3 + 2 * 30
+    assert max(len(r.earlier) for r in rows) <= ngram_join.EARLIER
+
+
 def test_overlap_bound_is_a_bound():
     rng = np.random.default_rng(2)
     for _ in range(200):
