@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.operators import order
+from lodeframe.plans import panels
 from lodeframe.plans.panels import Panels
-from lodeframe.queries import composites, regressions
+from lodeframe.queries import composites, portfolios, regressions
+from lodeframe.session import kept
 
 
 def test_order_lines_are_not_summed_by_every_reader(spark, small):
@@ -17,6 +19,32 @@ def test_order_lines_are_not_summed_by_every_reader(spark, small):
         assert "l_suppkey" not in df._jdf.queryExecution().analyzed().toString()
 
 
+def scans(written: list) -> int:
+    """How often what was written reads the order lines."""
+    return sum(df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") for df in written)
+
+
+def test_quotes_and_panel_group_the_order_lines_once(spark, small, monkeypatch):
+    written = []
+    monkeypatch.setattr(panels, "kept", lambda df: written.append(df) or kept(df))
+    p, stored = Panels(spark, small), Panels(spark, small).stored("quotes")
+    assert scans(written) == 1
+    for name in ("panel", "quotes"):
+        want, got = getattr(p, name), getattr(stored, name)
+        assert got.columns == want.columns
+        assert got.orderBy("date", "code").collect() == want.orderBy("date", "code").collect()
+
+
+def test_pricing_tests_write_forward_returns_and_not_the_panel(spark, small, monkeypatch):
+    written = []
+    for module in (panels, regressions):
+        monkeypatch.setattr(module, "kept", lambda df: written.append(df.columns) or kept(df))
+    groups, _ = regressions.groups_and_hl(Panels(spark, small))
+    assert written[0] == ["date", "price", "disc", "ret"] and len(written) == 3
+    compared = [df.orderBy("date", "grp").toPandas() for df in (groups, portfolios.single(Panels(spark, small)))]
+    assert compared[0]["ret"].values == pytest.approx(compared[1]["ret"].values, rel=1e-12)
+
+
 @pytest.fixture
 def plain_joins(spark):
     for name, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
