@@ -12,7 +12,7 @@ from lodeframe.operators import portfolio, pricing, regression, series
 from lodeframe.plans.panels import Panels
 from lodeframe.queries import query, r
 from lodeframe.queries.ics import IC, LONG, RET, base, ics_of
-from lodeframe.queries.portfolios import _G, _ROWS, _SINGLE, single
+from lodeframe.queries.portfolios import _G, _ROWS, _SINGLE, N, single
 from lodeframe.session import kept
 
 _CS = """cs AS (
@@ -63,8 +63,12 @@ def hl(p: Panels) -> DataFrame:
 
 
 def groups_and_hl(p: Panels) -> tuple[DataFrame, DataFrame]:
-    """Group returns and the highest less the lowest of them, both from one evaluation: pricing tests read them many times."""
-    groups = kept(single(p.stored()))
+    """Group returns and the highest less the lowest of them, both from one evaluation: pricing tests read them many times.
+
+    Forward returns are written, not the panel: buckets read them twice and need no column more.
+    """
+    rows = kept(base(p).where("ret is not null").select("date", "price", "disc", "ret"))
+    groups = kept(portfolio.quantile_portfolios(rows, "price", N, weight="disc"))
     return groups, kept(portfolio.high_minus_low(groups).withColumnRenamed("hl", "f"))
 
 
